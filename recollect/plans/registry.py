@@ -1,11 +1,631 @@
-"""All registered queries and their SQL."""
+"""Registered queries: the engine's operators over the driver's tables, each with equivalent SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..functions import anchors as A, constants as C, text as T, vectors as V
+from ..operators import history as H, retrieval as R, store as S, tiers as TI
+
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- memories from documents: every derived column is a function of the key ---
+
+def memories(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return t(spark, d, "documents").select(
+        i.alias("id"), F.concat_ws(" ", "lang", "source").alias("task"), "text", (i * 60).alias("ts"), (i % 37 == 0).alias("cold"),
+        F.when((i % 10).isin(1, 2), i + 1).alias("superseded_by"), (i % 7 == 0).alias("suspect"),
+        F.element_at(F.array(*map(F.lit, C.TIERS)), (i % 3 + 1).cast("int")).alias("tier"), F.length("text").alias("body_length"), (i % 4 == 0).alias("anchored"),
+    )
+
+
+MEM = """mem AS (SELECT doc_id AS id, concat_ws(' ', lang, source) AS task, text, doc_id * 60 AS ts, doc_id % 37 = 0 AS cold,
+ CASE WHEN doc_id % 10 IN (1, 2) THEN doc_id + 1 END AS superseded_by, doc_id % 7 = 0 AS suspect,
+ CASE doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS tier, length(text) AS body_length, doc_id % 4 = 0 AS anchored FROM documents)"""
+VISIBLE = "NOT cold AND superseded_by IS NULL"
+
+
+@query(f"WITH {MEM} SELECT id, task, ts FROM mem WHERE {VISIBLE}")
+def visibility(spark, d):
+    return memories(spark, d).where(R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "task", "ts")
+
+
+@query(f"WITH {MEM} SELECT id, ts FROM mem WHERE task = 'en src0' AND {VISIBLE}")
+def by_task(spark, d):
+    return memories(spark, d).where((F.col("task") == "en src0") & R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "ts")
+
+
+@query(f"WITH {MEM} SELECT id, ts FROM mem WHERE suspect AND superseded_by IS NULL ORDER BY ts, id LIMIT 10")
+def worklist_oldest(spark, d):
+    return memories(spark, d).where("suspect and superseded_by is null").orderBy("ts", "id").limit(10).select("id", "ts")
+
+
+@query(f"WITH {MEM} SELECT id, substr(task, 1, 60) || ' :: flagged' AS example FROM mem WHERE suspect AND superseded_by IS NULL ORDER BY ts DESC, id LIMIT 10")
+def stale_examples(spark, d):
+    return memories(spark, d).where("suspect and superseded_by is null").orderBy(F.desc("ts"), "id").limit(10).select("id", F.concat(F.substring("task", 1, 60), F.lit(" :: flagged")).alias("example"))
+
+
+@query(f"WITH {MEM} SELECT count(*) AS total, count(*) FILTER (suspect AND superseded_by IS NULL) AS suspect_heads, count(superseded_by) AS superseded, count(*) FILTER (cold) AS cold_rows FROM mem")
+def stats(spark, d):
+    return memories(spark, d).agg(F.count("*").alias("total"), F.count_if(F.expr("suspect and superseded_by is null")).alias("suspect_heads"), F.count("superseded_by").alias("superseded"), F.count_if("cold").alias("cold_rows"))
+
+
+@query(f"WITH {MEM} SELECT id, task FROM mem ORDER BY ts DESC, id LIMIT 5")
+def newest_memories(spark, d):
+    return S.latest_first(memories(spark, d), 5).select("id", "task")
+
+
+@query(f"WITH {MEM} SELECT v.tier, count(mem.id) AS n FROM (VALUES ('short'), ('mid'), ('long')) v(tier) LEFT JOIN mem ON mem.tier = v.tier AND mem.body_length > 20000 GROUP BY 1")
+def tier_histogram(spark, d):
+    domain = spark.createDataFrame([(x,) for x in C.TIERS], "tier string")
+    return domain.join(memories(spark, d).where("body_length > 20000").groupBy("tier").agg(F.count("*").alias("c")), "tier", "left").select("tier", F.coalesce("c", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {MEM} SELECT count(*) FILTER (suspect) AS flagged, count(*) AS heads, count(*) FILTER (suspect) * 2 <= count(*) AND count(*) FILTER (suspect) > 0 AS banner FROM mem WHERE superseded_by IS NULL")
+def base_rate(spark, d):
+    return memories(spark, d).where("superseded_by is null").agg(F.count_if("suspect").alias("flagged"), F.count("*").alias("heads")).withColumn("banner", F.expr("flagged > 0 and flagged * 2 <= heads"))
+
+
+@query(f"WITH {MEM} SELECT id FROM mem WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = mem.id) ORDER BY ts, id LIMIT 1000")
+def missing_embedding(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return memories(spark, d).join(e, "id", "left_anti").orderBy("ts", "id").limit(1000).select("id")
+
+
+@query(f"WITH {MEM} SELECT id FROM mem WHERE superseded_by IS NULL AND id % 2 = 0 ORDER BY ts, id LIMIT 200")
+def missing_digest(spark, d):
+    return memories(spark, d).where("superseded_by is null and id % 2 = 0").orderBy("ts", "id").limit(200).select("id")
+
+
+@query("SELECT DISTINCT 'commit ' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS action FROM orders WHERE o_orderstatus = 'F'")
+def recorded_actions(spark, d):
+    return t(spark, d, "orders").where("o_orderstatus = 'F'").select(T.commit_action(F.md5(F.col("o_orderkey").cast("string"))).alias("action")).where(F.startswith("action", F.lit("commit "))).distinct()
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 500")
+def events_since(spark, d):
+    return t(spark, d, "events").where("event_id > 500").select("event_id", "event_type")
+
+
+# --- text ---
+
+BODY = "list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '(?i)^(co-authored-by|signed-off-by|-{3,}|\\*\\s*$)'))"
+
+
+@query(f"SELECT doc_id AS id FROM documents WHERE length(trim(array_to_string({BODY}, chr(10)))) >= 200 AND regexp_matches(lang || ' ' || trim(array_to_string({BODY}, chr(10))), '(?i)\\b(license|token|password)\\b')")
+def explanatory_filter(spark, d):
+    return t(spark, d, "documents").where(T.is_explanatory(F.col("lang"), F.col("text"), vocabulary=r"(?i)\b(license|token|password)\b")).select(F.col("doc_id").alias("id"))
+
+
+PROSE = r"len(list_filter(regexp_split_to_array(regexp_replace({}, '(^|\s)[-*•\d.)]+\s|[\w@./-]*/[\w@./-]+|[\w-]+\.[a-z]{{1,5}}\b|[A-Za-z_$][\w$]*(?:[.#][\w$]+)+', ' ', 'g'), '[^A-Za-z'']+'), lambda w: length(w) > 1))"
+
+
+@query(f"SELECT conv_id, turn, CAST({PROSE.format('text')} AS INTEGER) AS words FROM conversations")
+def prose_words(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", T.prose_words(F.col("text")).alias("words"))
+
+
+@query(f"SELECT CASE WHEN length(trim(text)) < 200 THEN 'too_short' WHEN {PROSE.format('trim(text)')} < 25 THEN 'bare_locations' ELSE 'accepted' END AS verdict, count(*) AS n FROM conversations GROUP BY 1")
+def guardrail_reject(spark, d):
+    return t(spark, d, "conversations").select(F.coalesce(T.reject_reason(F.col("text")), F.lit("accepted")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^(.+)#([A-Za-z_$][\\w$]*(\\.[A-Za-z_$][\\w$]*)*)$') THEN regexp_extract(url, '^(.+)#([A-Za-z_$][\\w$]*(\\.[A-Za-z_$][\\w$]*)*)$', 1) ELSE url END AS path, nullif(regexp_extract(url, '^(.+)#([A-Za-z_$][\\w$]*(\\.[A-Za-z_$][\\w$]*)*)$', 2), '') AS symbol FROM pages")
+def anchor_parse(spark, d):
+    return t(spark, d, "pages").select("page_id", A.parse_anchor(F.col("url")).alias("a")).select("page_id", "a.path", "a.symbol")
+
+
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all('fix #' || page_id || ' and ' || url || ' #' || (page_id % 5), '#(\\d{1,6})\\b', 1))), ',') AS refs FROM pages")
+def issue_refs(spark, d):
+    text = F.concat(F.lit("fix #"), F.col("page_id").cast("string"), F.lit(" and "), "url", F.lit(" #"), (F.col("page_id") % 5).cast("string"))
+    return t(spark, d, "pages").select("page_id", F.array_join(F.array_sort(T.issue_refs(text)), ",").alias("refs"))
+
+
+@query("SELECT CASE substr(l_returnflag, 1, 1) WHEN 'A' THEN 'added' WHEN 'D' THEN 'deleted' WHEN 'R' THEN 'renamed' ELSE 'modified' END AS kind, count(*) AS n FROM lineitem GROUP BY 1")
+def commit_kind(spark, d):
+    return t(spark, d, "lineitem").groupBy(A.change_kind(F.col("l_returnflag")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
+QTOKENS = "list_filter(list_transform(regexp_split_to_array(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9_]+'), lambda x: lower(x)), lambda x: length(x) > 2 AND NOT list_contains([" + STOP + "], x))"
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct({QTOKENS.format('text')})), ' ') AS terms FROM benchmark")
+def query_terms(spark, d):
+    return t(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(T.query_terms(F.col("text"))), " ").alias("terms"))
+
+
+ITOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+TRI = f"flatten(list_transform({ITOKENS}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INTEGER), 3))))"
+
+
+@query(f"SELECT p_partkey, array_to_string({TRI.format('p_name')}, '|') AS sequence, len(list_distinct({TRI.format('p_name')})) AS n_set FROM part")
+def trigram_sequences(spark, d):
+    return t(spark, d, "part").select("p_partkey", F.array_join(T.trigram_sequence(F.col("p_name")), "|").alias("sequence"), F.size(T.trigram_set(F.col("p_name"))).cast("long").alias("n_set"))
+
+
+# --- retrieval ---
+
+def questions(spark, d):
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+BM25 = f"""docs AS (SELECT doc_id AS id, {ITOKENS.format('text')} AS ts FROM documents), whole AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM docs),
+ terms AS (SELECT DISTINCT item_id AS qid, unnest({QTOKENS.format('text')}) AS term FROM benchmark),
+ post AS (SELECT id, len(ts) AS l, unnest(ts) AS term FROM docs), tf AS (SELECT term, id, l, count(*) AS f FROM post WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ part AS (SELECT term, id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / av)) AS p FROM tf JOIN df USING (term), whole),
+ bm AS (SELECT qid, id, sum(p) AS score FROM terms JOIN part USING (term) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {BM25} SELECT qid, count(*) AS hits, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM bm GROUP BY 1")
+def bm25_batch(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.bm25(questions(spark, d), docs).groupBy("qid").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
+
+
+def _round_rank(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Ranks over rounded scores, so that sums in another order rank alike."""
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), *keys)
+    return df.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+@query(f"WITH {BM25}, {MEM}, r AS (SELECT qid, bm.id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ts DESC, bm.id) AS rank FROM bm JOIN mem ON mem.id = bm.id WHERE {VISIBLE}) SELECT qid, id, score, rank FROM r WHERE rank <= 10")
+def bm25_topk(spark, d):
+    m = memories(spark, d)
+    hits = R.bm25(questions(spark, d), m.select("id", "text")).join(m.where(R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "ts"), "id")
+    return _round_rank(hits, [F.desc("ts"), "id"], 10).select("qid", "id", "score", "rank")
+
+
+@query()
+def bm25_stemmed(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _round_rank(R.bm25(questions(spark, d), docs, stemmed=True), ["id"], 10).select("qid", "id", "score", "rank")
+
+
+def part_names(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id"))
+
+
+SIM = f"""names AS (SELECT p_name AS text, min(p_partkey) AS id FROM part GROUP BY 1), seqs AS (SELECT id, text, {TRI.format('text')} AS s FROM names),
+ q AS (SELECT id AS qid, list_distinct(s) AS q3 FROM seqs), b AS (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM seqs),
+ ext AS (SELECT id, s[i:j] AS e FROM (SELECT id, s, i, unnest(range(i, len(s) + 1)) AS j FROM b)),
+ sim AS (SELECT qid, id, max(len(list_intersect(q3, e)) / len(list_distinct(list_concat(q3, e)))) AS score FROM q, ext GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SIM} SELECT qid, id, round(score, 6) AS score FROM sim WHERE score >= 0.35")
+def trigram_threshold(spark, d):
+    names = part_names(spark, d)
+    return R.trigram_leg(names.select(F.col("id").alias("qid"), F.col("text").alias("question")), names).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SIM}, r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM sim WHERE score >= 0.35) SELECT * FROM r WHERE rank <= 5")
+def trigram_topk(spark, d):
+    names = part_names(spark, d)
+    return _round_rank(R.trigram_leg(names.select(F.col("id").alias("qid"), F.col("text").alias("question")), names), ["id"], 5).select("qid", "id", "score", "rank")
+
+
+def vectors(spark, d):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+COS = "cos AS (SELECT b.item_id AS qid, m.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings m)"
+
+
+def question_vectors(spark, d):
+    return questions(spark, d).join(vectors(spark, d).withColumnRenamed("id", "qid"), "qid")
+
+
+@query(f"WITH {COS} SELECT qid, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS worst FROM cos GROUP BY 1")
+def cosine_batch(spark, d):
+    return R.vector_leg(question_vectors(spark, d), vectors(spark, d)).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("worst"))
+
+
+@query(f"WITH {COS}, r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM cos) SELECT * FROM r WHERE rank <= 10")
+def cosine_topk(spark, d):
+    return _round_rank(R.vector_leg(question_vectors(spark, d), vectors(spark, d)), ["id"], 10).select("qid", "id", "score", "rank")
+
+
+LEGS = f"""{BM25}, {COS}, {MEM},
+ lt AS (SELECT qid, bm.id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ts DESC, bm.id) AS rank FROM bm JOIN mem ON mem.id = bm.id WHERE {VISIBLE}),
+ lv AS (SELECT qid, cos.id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ts DESC, cos.id) AS rank FROM cos JOIN mem ON mem.id = cos.id WHERE {VISIBLE}),
+ legs AS (SELECT qid, id, 'text' AS leg, 1.0 / (60 + rank) AS p FROM lt WHERE rank <= 20 UNION ALL SELECT qid, id, 'vector', 0.5 / (60 + rank) FROM lv WHERE rank <= 20),
+ fused AS (SELECT qid, id, CAST(sum(p) AS DOUBLE) AS content, list_sort(list(DISTINCT leg)) AS ls FROM legs GROUP BY 1, 2),
+ scored AS (SELECT qid, f.id, ts, content, ls, anchored, content * CASE tier WHEN 'short' THEN 1.0 WHEN 'mid' THEN 1.1 ELSE 1.25 END * CASE WHEN body_length > 2000 THEN 1 / (1 + ln(body_length / 2000.0)) ELSE 1.0 END AS score FROM fused f JOIN mem ON mem.id = f.id)"""
+
+
+def legs(spark, d):
+    m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
+    rounded = lambda df: df.withColumn("score", F.round("score", 6))
+    text = R.rank_leg(rounded(R.bm25(questions(spark, d), m.select("id", "text"))), m)
+    vector = R.rank_leg(rounded(R.vector_leg(question_vectors(spark, d), vectors(spark, d))), m)
+    return m, {"text": text, "vector": vector}
+
+
+@query(f"WITH {LEGS} SELECT qid, id, round(content, 9) AS content_score, array_to_string(ls, '+') AS legs FROM scored")
+def rrf_fuse(spark, d):
+    m, ls = legs(spark, d)
+    return R.fuse(ls, m, limit=10**9).select("qid", "id", F.round("content_score", 9).alias("content_score"), F.array_join("legs", "+").alias("legs"))
+
+
+@query(f"WITH {LEGS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ts DESC, id) AS rank FROM scored) SELECT qid, id, rank, round(score, 9) AS score, CASE WHEN len(ls) > 1 THEN 'hybrid_match' WHEN ls[1] = 'text' THEN 'text_match' ELSE 'semantic_match' END AS reason, anchored FROM r WHERE rank <= 5")
+def hybrid_by_meaning(spark, d):
+    m, ls = legs(spark, d)
+    return R.fuse(ls, m).select("qid", "id", "rank", F.round("score", 9).alias("score"), "reason", "anchored")
+
+
+@query(f"WITH {MEM} SELECT id, round(CASE tier WHEN 'short' THEN 1.0 WHEN 'mid' THEN 1.1 ELSE 1.25 END * CASE WHEN body_length > 2000 THEN 1 / (1 + ln(body_length / 2000.0)) ELSE 1.0 END, 6) AS factor FROM mem")
+def tier_length_boost(spark, d):
+    return memories(spark, d).select("id", F.round(V.tier_boost(F.col("tier")) * V.length_prior(F.col("body_length")), 6).alias("factor"))
+
+
+@query(f"WITH {LEGS} SELECT qid FROM (SELECT qid, max(score) AS best FROM lv WHERE id <> qid GROUP BY 1) WHERE best < 0.6")
+def relevance_gate(spark, d):
+    _, ls = legs(spark, d)
+    m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
+    hits = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).withColumn("score", F.round("score", 6)).where("id <> qid").join(m.where("visible").select("id"), "id", "left_semi")
+    return R.gate(hits, 0.6)
+
+
+@query(f"WITH {COS}, best AS (SELECT qid, max(round(score, 6)) AS b FROM cos WHERE id <> qid GROUP BY 1) SELECT CAST(f.f AS DOUBLE) AS floor, count(*) FILTER (b >= f AND qid % 2 = 0) AS answered, count(*) FILTER (b >= f AND qid % 2 = 1) AS leaked FROM best, (VALUES (0.0), (0.2), (0.3), (0.5), (0.7), (0.9)) f(f) GROUP BY 1")
+def gate_sweep(spark, d):
+    floors = spark.createDataFrame([(x,) for x in (0.0, 0.2, 0.3, 0.5, 0.7, 0.9)], "floor double")
+    best = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b"))
+    return best.crossJoin(floors).groupBy("floor").agg(F.count_if(F.expr("b >= floor and qid % 2 = 0")).alias("answered"), F.count_if(F.expr("b >= floor and qid % 2 = 1")).alias("leaked"))
+
+
+GOLD = "gold AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+@query(f"WITH {BM25}, {GOLD}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm), f AS (SELECT g.qid, min(rank) AS rank FROM gold g LEFT JOIN r ON r.qid = g.qid AND r.id = g.id AND r.rank <= 10 GROUP BY 1) SELECT count(*) AS questions, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM f")
+def mrr_recall(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = questions(spark, d)
+    gold = docs.join(q, F.contains(docs.text, q.question)).select("qid", "id")
+    ranked = _round_rank(R.bm25(q, docs), ["id"], 10).select("qid", "id", "rank")
+    found = gold.join(ranked, ["qid", "id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
+    return found.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query(f"WITH tok AS (SELECT item_id, unnest({QTOKENS.format('text')}) AS w FROM benchmark), h AS (SELECT item_id, {FNV.format('w')} AS h FROM tok) SELECT item_id, h % 1536 AS idx, CAST(sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM h GROUP BY 1, 2")
+def hash_embed_sparse(spark, d):
+    tok = t(spark, d, "benchmark").select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("w"))
+    return tok.groupBy("item_id", V.hashed_index(F.col("w")).alias("idx")).agg(F.sum(V.hashed_sign(F.col("w"))).alias("weight"))
+
+
+@query(f"WITH tok AS (SELECT item_id, unnest({QTOKENS.format('text')}) AS w FROM benchmark), h AS (SELECT item_id, {FNV.format('w')} AS h FROM tok), v AS (SELECT item_id, h % 1536 AS idx, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS w FROM h GROUP BY 1, 2), n AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM v GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w) / any_value(na.n * nb.n), 6) AS cosine FROM v a JOIN v b ON a.idx = b.idx AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2 HAVING any_value(na.n * nb.n) > 0")
+def hash_embed_cosine(spark, d):
+    v = hash_embed_sparse(spark, d)
+    n = v.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n")).where("n > 0")
+    v = v.join(n, "item_id").withColumn("u", F.col("weight"))
+    a, b = (v.select(F.col("item_id").alias(x), "idx", F.col("u").alias(f"u{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    return a.join(b, "idx").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")) / F.first(F.col("na") * F.col("nb")), 6).alias("cosine"))
+
+
+# --- chains, renames, staleness ---
+
+def links(spark, d):
+    return memories(spark, d).select("id", "superseded_by")
+
+
+@query(f"WITH RECURSIVE {MEM}, c(id, cur, depth) AS (SELECT id, id, 0 FROM mem UNION ALL SELECT c.id, m.superseded_by, depth + 1 FROM c JOIN mem m ON m.id = c.cur WHERE m.superseded_by IS NOT NULL) SELECT id, max_by(cur, depth) AS head, CAST(max(depth) AS BIGINT) AS depth FROM c GROUP BY 1")
+def supersede_head(spark, d):
+    return H.heads(links(spark, d))
+
+
+@query(f"WITH {MEM} SELECT id, CAST(id - 21 AS INTEGER) AS depth FROM mem WHERE id IN (21, 22, 23)")
+def supersede_chain(spark, d):
+    return H.chain_of(links(spark, d), 22)
+
+
+@query(f"WITH {MEM}, p AS (SELECT id AS old, id + 1 AS new FROM mem WHERE id % 10 IN (2, 3) UNION ALL SELECT id, id - 1 FROM mem WHERE id % 10 = 3 UNION ALL SELECT id, id FROM mem WHERE id % 10 = 5 UNION ALL SELECT id, -5 FROM mem WHERE id % 10 = 6 UNION ALL SELECT id, id + 5 FROM mem WHERE id % 10 = 1) SELECT old, new, CASE WHEN old = new THEN 'self' WHEN new NOT IN (SELECT id FROM mem) THEN 'unknown' WHEN old % 10 = 2 THEN 'same' WHEN old % 10 = 1 THEN 'fork' WHEN new = old - 1 THEN 'cycle' ELSE 'ok' END AS verdict FROM p")
+def cycle_check(spark, d):
+    m = links(spark, d)
+    case = lambda where, new: m.where(where).select(F.col("id").alias("old"), new.cast("long").alias("new"))
+    i = F.col("id")
+    p = case("id % 10 in (2, 3)", i + 1).unionAll(case("id % 10 = 3", i - 1)).unionAll(case("id % 10 = 5", i)).unionAll(case("id % 10 = 6", F.lit(-5))).unionAll(case("id % 10 = 1", i + 5))
+    return H.would_cycle(m, p)
+
+
+def changes(spark, d):
+    """Commits are orders, touched paths their parts; every fiftieth part was renamed to the next. Newest first by seq."""
+    o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o"), day.alias("date")).distinct()
+    name = lambda c: F.concat(F.lit("src/p"), c.cast("string"))
+    renamed = F.col("p") % 50 == 0
+    return rows.select((-F.col("date") * 100_000_000_000 - F.col("o") * 10_000 - F.col("p")).alias("seq"), F.when(renamed, name(F.col("p") + 1)).otherwise(name(F.col("p"))).alias("path"), F.when(renamed, name(F.col("p"))).alias("previous_path"), F.when(renamed, "renamed").otherwise("modified").alias("kind"), F.md5(F.col("o").cast("string")).alias("sha"), "date", "o")
+
+
+CHG = """chg AS (SELECT DISTINCT -(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 100000000000) - l_orderkey * 10000 - l_partkey AS seq, CASE WHEN l_partkey % 50 = 0 THEN 'src/p' || (l_partkey + 1) ELSE 'src/p' || l_partkey END AS path,
+ CASE WHEN l_partkey % 50 = 0 THEN 'src/p' || l_partkey END AS previous_path, CASE WHEN l_partkey % 50 = 0 THEN 'renamed' ELSE 'modified' END AS kind, md5(CAST(l_orderkey AS VARCHAR)) AS sha, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS date, l_orderkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"WITH {CHG} SELECT path FROM chg UNION SELECT previous_path FROM chg WHERE previous_path IS NOT NULL")
+def changed_path_universe(spark, d):
+    return H.changed_paths(changes(spark, d))
+
+
+@query(f"WITH RECURSIVE {CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM chg WHERE previous_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT path FROM chg UNION SELECT previous_path FROM rn), c(path, name) AS (SELECT path, path FROM p UNION SELECT c.path, rn.path FROM c JOIN rn ON rn.previous_path = c.name) SELECT path, name FROM c")
+def rename_closure(spark, d):
+    ch = changes(spark, d)
+    return H.path_closure(H.changed_paths(ch), H.rename_map(ch))
+
+
+def order_memories(spark, d):
+    """Every tenth order as a memory anchored on its parts, as of its date."""
+    ch = changes(spark, d).where("o % 10 = 0")
+    anchors = ch.select(F.col("o").alias("id"), F.coalesce("previous_path", "path").alias("path")).distinct()
+    m = ch.groupBy(F.col("o").alias("id")).agg(F.max("date").alias("as_of")).withColumn("suspect", F.col("id") % 30 == 0).withColumn("suspect_reason", F.when(F.col("suspect"), "kept from before"))
+    return anchors, m
+
+
+STALE = f"""{CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM chg WHERE previous_path IS NOT NULL GROUP BY 1),
+ anc AS (SELECT DISTINCT o AS id, coalesce(previous_path, path) AS path FROM chg WHERE o % 10 = 0), mm AS (SELECT o AS id, max(date) AS as_of, o % 30 = 0 AS suspect FROM chg WHERE o % 10 = 0 GROUP BY 1, 3),
+ nm AS (SELECT id, path AS name FROM anc UNION SELECT id, rn.path FROM anc JOIN rn ON rn.previous_path = anc.path),
+ tc AS (SELECT seq, path AS name FROM chg UNION SELECT seq, previous_path FROM chg WHERE previous_path IS NOT NULL),
+ met AS (SELECT DISTINCT nm.id, chg.* FROM nm JOIN tc ON tc.name = nm.name JOIN chg ON chg.seq = tc.seq JOIN mm ON mm.id = nm.id AND chg.date > mm.as_of),
+ f AS (SELECT id, count(*) AS n, max(date) AS newest, min_by(kind || ' ' || CASE WHEN kind = 'renamed' THEN previous_path || ' -> ' || path ELSE path END || ' in ' || substr(sha, 1, 8), seq) AS why FROM met GROUP BY 1)"""
+
+
+@query(f"WITH {STALE} SELECT mm.id, n IS NOT NULL OR suspect AS possibly_stale, CASE WHEN n > 1 THEN why || ' (+' || (n - 1) || ' more)' WHEN n = 1 THEN why WHEN suspect THEN 'kept from before' END AS reason, newest, coalesce(n, 0) AS n_changes FROM mm LEFT JOIN f ON f.id = mm.id")
+def stale_verdicts(spark, d):
+    anchors, m = order_memories(spark, d)
+    ch = changes(spark, d)
+    return H.verdicts(anchors, m, ch, H.path_closure(anchors.select("path"), H.rename_map(ch)))
+
+
+@query(f"WITH {STALE} SELECT count(*) AS candidates, count(*) FILTER (n IS NOT NULL OR suspect) AS marked FROM mm LEFT JOIN f ON f.id = mm.id")
+def mark_suspects(spark, d):
+    return stale_verdicts(spark, d).agg(F.count("*").alias("candidates"), F.count_if("possibly_stale").alias("marked"))
+
+
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7 AND l_orderkey % 10 NOT IN (1, 2)")
+def anchor_semijoin(spark, d):
+    li = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("ps"))
+    m = li.select("id", F.transform(F.filter("ps", lambda p: p % 2 == 0), lambda p: F.struct(p.cast("string").alias("path"), F.lit(None).cast("string").alias("symbol"))).alias("anchors"), F.transform(F.filter("ps", lambda p: p % 2 == 1), lambda p: p.cast("string")).alias("related_nodes"), F.when((F.col("id") % 10).isin(1, 2), F.col("id") + 1).alias("superseded_by"))
+    return H.on_paths(m, t(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("path"))).select("id")
+
+
+# --- links ---
+
+def touches(spark, d):
+    return changes(spark, d).select(F.coalesce("previous_path", "path").alias("file"), F.col("o").alias("commit"), "date", F.col("o").alias("seq"))
+
+
+FOLLOW = f"{CHG}, tch AS (SELECT coalesce(previous_path, path) AS file, o, date FROM chg), fu AS (SELECT o AS source, p AS target, file FROM (SELECT *, count(*) OVER (PARTITION BY file) AS n, lag(o) OVER w AS p, lag(date) OVER w AS pd FROM tch WINDOW w AS (PARTITION BY file ORDER BY date, o)) WHERE n <= 60 AND p IS NOT NULL AND date - pd <= 14)"
+
+
+@query(f"WITH {FOLLOW} SELECT source, target, file FROM fu")
+def follows_up(spark, d):
+    return H.follow_ups(touches(spark, d), 14, 60)
+
+
+SHARE = "si AS (SELECT b.o_orderkey AS source, a.o_orderkey AS target, a.o_custkey AS ref FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6))"
+
+
+@query(f"WITH {SHARE} SELECT source, target, ref FROM si")
+def shares_issue(spark, d):
+    return H.shared_references(t(spark, d, "orders").select(F.col("o_custkey").alias("ref"), F.col("o_orderkey").alias("commit")))
+
+
+EDGES = f"{FOLLOW}, {SHARE}, ed AS (SELECT DISTINCT source, target, 'follows_up' AS relation, 1 AS strength, 0.5 AS confidence FROM fu UNION ALL SELECT source, target, 'shares_issue', 2, 0.8 FROM si), best AS (SELECT source, target, max_by(relation, strength) AS relation, max(confidence) AS confidence FROM ed GROUP BY 1, 2)"
+
+
+def edges(spark, d):
+    f = follows_up(spark, d).select("source", "target").distinct().select("source", "target", F.lit("follows_up").alias("relation"), F.lit(1).alias("strength"), F.lit(3).alias("rule"), F.lit(0.5).alias("confidence"))
+    s = shares_issue(spark, d).select("source", "target", F.lit("shares_issue").alias("relation"), F.lit(2).alias("strength"), F.lit(2).alias("rule"), F.lit(0.8).alias("confidence"))
+    return H.strongest(f.unionAll(s))
+
+
+@query(f"WITH {EDGES} SELECT source, target, relation FROM best")
+def link_precedence(spark, d):
+    return edges(spark, d).select("source", "target", "relation")
+
+
+@query(f"WITH {EDGES}, m AS (SELECT source AS id, relation FROM best UNION ALL SELECT target, relation FROM best) SELECT (SELECT count(*) FROM best) AS n_edges, count(DISTINCT id) AS linked, round(count(DISTINCT id) / (SELECT count(*) FROM orders), 6) AS share FROM m")
+def link_coverage(spark, d):
+    e = edges(spark, d)
+    ends = e.select("source").unionAll(e.select("target")).distinct().agg(F.count("*").alias("linked"))
+    return e.agg(F.count("*").alias("n_edges")).crossJoin(ends).crossJoin(t(spark, d, "orders").agg(F.count("*").alias("n"))).select("n_edges", "linked", F.round(F.col("linked") / F.col("n"), 6).alias("share"))
+
+
+@query(f"WITH {EDGES}, seeds AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 30), both_ways AS (SELECT source AS id, target AS other, confidence FROM best UNION ALL SELECT target, source, confidence FROM best), n AS (SELECT other AS id, CAST(confidence AS DOUBLE) AS confidence, CAST(rank AS INTEGER) AS seed_rank, row_number() OVER (PARTITION BY other ORDER BY confidence DESC, rank) AS r FROM seeds JOIN both_ways USING (id) WHERE other NOT IN (SELECT id FROM seeds)) SELECT id, confidence, seed_rank FROM n WHERE r = 1 ORDER BY confidence DESC, seed_rank, id LIMIT 10")
+def one_hop(spark, d):
+    top = t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30)
+    seeds = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))).select(F.col("o_orderkey").alias("id"), "rank")
+    return H.one_hop(seeds, edges(spark, d), 10)
+
+
+# --- accesses and tiers ---
+
+DAY = 86_400_000
+
+
+def event_log(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return t(spark, d, "events").select("event_id", "event_type", ms.alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("id"), F.concat_ws("-", F.col("user_id").cast("string"), F.floor(ms / DAY).cast("string")).alias("session"))
+
+
+EV = f"ev AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id, user_id || '-' || (epoch_us(ts) // 1000 // {DAY}) AS session FROM events)"
+ACC = f"{EV}, wr AS (SELECT id, min_by(session, event_id) AS session FROM ev WHERE event_type = 'signup' GROUP BY 1), acc AS (SELECT ev.id, ev.session, count(*) AS hits, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN any_value(wr.session) IS NOT DISTINCT FROM ev.session THEN 'self' ELSE 'provisional' END AS outcome FROM ev LEFT JOIN wr ON wr.id = ev.id WHERE event_type IN ('click', 'view') GROUP BY 1, 2)"
+
+
+def access_rows(spark, d):
+    ev = event_log(spark, d)
+    writers = ev.where("event_type = 'signup'").groupBy("id").agg(F.min_by("session", "event_id").alias("session"))
+    return TI.accesses(ev.where("event_type in ('click', 'view')"), writers)
+
+
+@query(f"WITH {ACC} SELECT id, session, hits, first_seen, last_seen, outcome FROM acc")
+def session_upsert(spark, d):
+    return access_rows(spark, d).select("id", "session", "hits", "first_seen", "last_seen", "outcome")
+
+
+@query(f"WITH {ACC} SELECT id, CAST(sum(hits) AS BIGINT) AS access_count, max(last_seen) AS last_accessed FROM acc GROUP BY 1")
+def access_counters(spark, d):
+    return access_rows(spark, d).groupBy("id").agg(F.sum("hits").alias("access_count"), F.max("last_seen").alias("last_accessed"))
+
+
+SET = f"{ACC}, st AS (SELECT session, CASE WHEN count(*) FILTER (event_type = 'error') > count(*) FILTER (event_type = 'purchase') THEN 'rejected' ELSE 'confirmed' END AS verdict, max(ts) AS settled_at, max(event_id) AS settle_seq FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY 1), us AS (SELECT DISTINCT id, session FROM ev WHERE event_type = 'click'), sd AS (SELECT acc.id, acc.session, hits, last_seen, CASE WHEN outcome <> 'provisional' OR verdict IS NULL THEN outcome WHEN verdict = 'rejected' THEN 'rejected' WHEN us.id IS NOT NULL THEN 'confirmed' ELSE 'unused' END AS outcome, settled_at, settle_seq FROM acc LEFT JOIN st ON st.session = acc.session LEFT JOIN us ON us.id = acc.id AND us.session = acc.session)"
+
+
+def settled(spark, d):
+    ev = event_log(spark, d)
+    e = ev.where("event_type in ('purchase', 'error')").groupBy("session").agg(F.when(F.count_if(F.col("event_type") == "error") > F.count_if(F.col("event_type") == "purchase"), "rejected").otherwise("confirmed").alias("outcome"), F.max("ts").alias("settled_at"), F.max("event_id").alias("settle_seq"))
+    return TI.settle(access_rows(spark, d), e, ev.where("event_type = 'click'").select("id", "session"))
+
+
+@query(f"WITH {SET} SELECT outcome, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits FROM sd GROUP BY 1")
+def settle_outcomes(spark, d):
+    return settled(spark, d).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"))
+
+
+NOW = 1_706_745_600_000  # 2024-02-01
+START = NOW - C.CREDIT_WINDOW_DAYS * DAY
+STATES = f"""{SET}, me AS (SELECT CAST(i AS BIGINT) AS id, CASE i % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS tier, {NOW - 40 * DAY} + i * {DAY // 4} AS tier_changed_at, (i % 5) * 100 AS credit_watermark FROM range(0, 120) r(i)),
+ lc AS (SELECT id, max(settled_at) AS lc FROM sd WHERE outcome = 'confirmed' GROUP BY 1),
+ ts AS (SELECT me.id, tier, tier_changed_at, credit_watermark, count(*) FILTER (outcome = 'confirmed') AS confirmed_sessions, count(*) FILTER (outcome = 'confirmed' AND settle_seq > credit_watermark AND settled_at >= {START}) AS promotion_credit,
+  coalesce(max(settle_seq) FILTER (outcome = 'confirmed' AND settle_seq > credit_watermark AND settled_at >= {START}), credit_watermark) AS credit_seq, count(*) FILTER (outcome = 'rejected' AND settled_at > greatest(tier_changed_at, coalesce(lc, tier_changed_at))) AS rejected_since,
+  CAST(coalesce(sum(hits), 0) AS BIGINT) AS access_count, max(last_seen) AS last_accessed FROM me LEFT JOIN sd ON sd.id = me.id LEFT JOIN lc ON lc.id = me.id GROUP BY 1, 2, 3, 4)"""
+
+
+def states(spark, d):
+    i = F.col("id")
+    m = spark.range(120).select("id", F.element_at(F.array(*map(F.lit, C.TIERS)), (i % 3 + 1).cast("int")).alias("tier"), (i * (DAY // 4) + (NOW - 40 * DAY)).alias("tier_changed_at"), (i % 5 * 100).alias("credit_watermark"))
+    return TI.tier_states(m, settled(spark, d), START)
+
+
+@query(f"WITH {STATES} SELECT id, tier, tier_changed_at, credit_watermark, confirmed_sessions, promotion_credit, credit_seq, rejected_since, access_count, last_accessed FROM ts")
+def tier_states(spark, d):
+    return states(spark, d)
+
+
+DECIDE = "CASE WHEN tier = 'short' AND promotion_credit >= 1 THEN 'promoted_distinct_session' WHEN tier = 'mid' AND promotion_credit >= 2 THEN 'promoted_sustained' WHEN idle > lim AND tier = 'short' THEN 'gc_candidate' WHEN idle > lim THEN 'demoted_idle' WHEN rejected_since >= 3 AND tier <> 'short' THEN 'demoted_rejected' ELSE 'unchanged' END"
+
+
+@query(f"WITH {STATES}, x AS (SELECT *, ({NOW} - coalesce(last_accessed, tier_changed_at)) / {DAY} AS idle, CASE tier WHEN 'short' THEN 30 WHEN 'mid' THEN 90 ELSE 180 END AS lim FROM ts), y AS (SELECT id, tier, {DECIDE} AS reason FROM x) SELECT id, reason, CASE WHEN reason = 'promoted_distinct_session' THEN 'mid' WHEN reason = 'promoted_sustained' THEN 'long' WHEN reason LIKE 'demoted%' THEN CASE tier WHEN 'long' THEN 'mid' ELSE 'short' END ELSE tier END AS new_tier FROM y")
+def tier_decisions(spark, d):
+    return TI.decide(states(spark, d), NOW, DAY).select("id", "reason", "new_tier")
+
+
+@query(f"WITH {STATES} SELECT id, coalesce(last_accessed, tier_changed_at) AS idle_since FROM ts WHERE tier = 'short' AND coalesce(last_accessed, tier_changed_at) < {NOW - 2 * DAY} ORDER BY 2, 1 LIMIT 1000")
+def idle_candidates(spark, d):
+    return TI.idle_candidates(states(spark, d), NOW - 2 * DAY)
+
+
+@query("SELECT * FROM (VALUES ('raw', 0, 7, 393, 45, 355), ('broad', 1, 21, 378, 45, 354), ('narrow', 213, 102, 85, 6, 181)) v(strategy, short, mid, long, wrong, sound)")
+def promotion_simulation(spark, d):
+    ids = [f"mem-{i}" for i in range(400)]
+    traffic, misleading = TI.build_traffic(ids)
+    rows = [(m, seq, outcome, m in relied) for seq, got, relied, outcome in traffic for m in dict.fromkeys(got)]
+    ev = spark.createDataFrame(rows, "id string, seq long, outcome string, relied boolean")
+    every = spark.createDataFrame([(i, i in misleading) for i in ids], "id string, wrong boolean")
+    out = None
+    for name in ("raw", "broad", "narrow"):
+        r = every.join(TI.replay_strategy(ev, name), "id", "left").withColumn("tier", F.coalesce("tier", F.lit("short")))
+        up = F.col("tier") != "short"
+        n = lambda c: F.count_if(c).cast("int")
+        one = r.agg(*(n(F.col("tier") == x).alias(x) for x in C.TIERS), n(up & F.col("wrong")).alias("wrong"), n(up & ~F.col("wrong")).alias("sound")).select(F.lit(name).alias("strategy"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+# --- events, context, streams ---
+
+@query("WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'ExperienceRecorded' WHEN 'purchase' THEN 'ExperienceSuperseded' WHEN 'view' THEN 'CodeChanged' WHEN 'signup' THEN 'SymbolAdded' ELSE event_type END AS t FROM events) SELECT count(*) FILTER (t LIKE 'Experience%') AS applied, count(*) FILTER (t IN ('CodeChanged', 'SymbolAdded')) AS retired, count(*) FILTER (t NOT LIKE 'Experience%' AND t NOT IN ('CodeChanged', 'SymbolAdded')) AS unrecognised FROM e")
+def event_replay_counts(spark, d):
+    names = F.create_map(*map(F.lit, ["click", "ExperienceRecorded", "purchase", "ExperienceSuperseded", "view", "CodeChanged", "signup", "SymbolAdded"]))
+    return S.replay_counts(t(spark, d, "events").select(F.coalesce(F.try_element_at(names, F.col("event_type")), "event_type").alias("event_type")))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def first_occurrence_dedupe(spark, d):
+    return S.first_occurrences(t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+def keyset_equivalence(spark, d):
+    """What page-by-page reading by key would give; one scan needs no pages."""
+    return t(spark, d, "events").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("WITH RECURSIVE r AS (SELECT conv_id AS grp, CAST(turn AS BIGINT) AS rank, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), f(grp, k, rank, shown, rest) AS (SELECT grp, k, rank, least(len, 3000), greatest(3000 - len, 200) FROM r WHERE k = 1 UNION ALL SELECT r.grp, r.k, r.rank, least(r.len, f.rest), greatest(f.rest - r.len, 200) FROM f JOIN r ON r.grp = f.grp AND r.k = f.k + 1) SELECT grp, rank, shown FROM f")
+def body_budget(spark, d):
+    return S.body_budget(t(spark, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("rank"), F.length("text").alias("len")))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'assistant' ORDER BY turn DESC, conv_id LIMIT 10")
+def context_topn(spark, d):
+    return t(spark, d, "conversations").where("role = 'assistant'").orderBy(F.desc("turn"), "conv_id").limit(10).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, string_agg('- [' || role || '] ' || substr(text, 1, 60), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
+def chat_context(spark, d):
+    line = F.concat(F.lit("- ["), "role", F.lit("] "), F.substring("text", 1, 60))
+    rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))).alias("xs"))
+    return rows.select("conv_id", F.array_join(F.transform("xs", lambda s: s.x), "\n").alias("context"))
+
+
+@query("SELECT o_orderpriority AS stratum, count(*) AS n, round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 6) AS precision_ FROM orders GROUP BY 1")
+def stratified_precision(spark, d):
+    return t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0)), 6).alias("precision_"))
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, d):
+    w = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n")
+
+
+@query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM g GROUP BY user_id, k")
+def session_windows(spark, d):
+    s = S.session_windows(t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours")
+    return s.select("user_id", F.unix_millis("start").alias("start_ms"), "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def dedupe_watermark(spark, d):
+    from ..streaming import events as E
+    import uuid
+
+    return E.finished(E.distinct_keys(E.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), f"dedupe_{uuid.uuid4().hex}")
+
+
+@query("SELECT id, session, count(*) AS hits FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id, CAST(user_id AS VARCHAR) AS session FROM events) GROUP BY 1, 2")
+def access_stream(spark, d):
+    from ..streaming import events as E
+    import uuid
+
+    log = E.read_events(spark, f"{d}/events.parquet").select(F.get_json_object("props", "$.k").cast("long").alias("id"), F.col("user_id").cast("string").alias("session"), "ts")
+    return E.finished(E.access_state(log, "100 days"), f"access_{uuid.uuid4().hex}", "complete").select("id", "session", "hits")
