@@ -10,9 +10,10 @@ the code length of a text is the sum over its bits.
 A document is the sequence of its lower-cased words, joined by spaces and closed by a line feed, which no word holds:
 text and token sequence determine each other, so the score stands beside the unigram base score.
 
-Counts are gathered from all training documents by distributed aggregation. The model's nodes are grouped, summed and
-weighted by joins. What is broadcast is checked: nodes beyond max_nodes are scored in blocks, each with its own pass;
-words rarer than what max_words holds are looked up by a shuffle join.
+Counts are gathered from all training documents by distributed aggregation, and the model's nodes are weighted by
+joins; the model never passes through the driver. What is broadcast is checked: the most frequent grams with their log
+probabilities, at most max_grams, and the most frequent words, at most max_words. All others, and the grams that
+training never saw, are looked up by shuffle joins, so results are the same at every size.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from math import lgamma, log, pi
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import Scratch
-from .text import U, ascii_words, mix, word_hashes
+from .text import U, ascii_words, word_hashes
 
 END = U(0x9AE16A3B2F90404F)  # the end's place among the word hashes
 PAD = b"\n"
@@ -148,117 +149,102 @@ def build_nodes(grams: DataFrame, depth: int, scratch: Scratch) -> list[DataFram
     return out
 
 
-def _block(ctx: np.ndarray, depth: int, blocks: int) -> np.ndarray:
-    """A context's block: by its two nearest bytes, so that all depths from 2 on lie in one."""
-    return (mix(ctx & U(0xFFFF)) % U(blocks)).astype(np.int64) if depth >= 2 else np.zeros(len(ctx), np.int64)
-
-
-class Model:
-    """Sorted keys and probabilities of each depth; log10 probabilities of grams seen in training come from one table."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], grams: np.ndarray):
-        self.tables, self.depth = tables, len(tables) - 1
-        self.grams = np.sort(grams)
-        self.seen = self._slow(self.grams) if len(grams) else np.zeros(0)
-
-    def _slow(self, grams: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(grams))
-        ctx, byte = grams >> U(8), (grams & U(255)).astype(np.int64)
-        for i in range(8):
-            place, p, open_ = U(1 << i) | (byte >> (8 - i)).astype(U), np.full(len(grams), 0.5), np.arange(len(grams))
-            for d in range(self.depth, -1, -1):
-                key, prob = self.tables[d]
-                if not len(open_) or not len(key):
-                    continue
-                want = (((ctx[open_] & U((1 << 8 * d) - 1)) << U(8)) | place[open_]).astype(U)
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                hit = key[at] == want
-                p[open_[hit]] = prob[at[hit]]
-                open_ = open_[~hit]
-            total += np.log10(np.where((byte >> (7 - i)) & 1 == 1, p, 1 - p))
-        return total
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(grams, return_inverse=True)
-        if not len(distinct):
-            return np.zeros(0)
-        out = np.empty(len(distinct))
-        at = np.minimum(np.searchsorted(self.grams, distinct), max(len(self.grams) - 1, 0))
-        hit = self.grams[at] == distinct if len(self.grams) else np.zeros(len(distinct), bool)
-        out[hit] = self.seen[at[hit]] if hit.any() else out[hit]
-        out[~hit] = self._slow(distinct[~hit])
-        return out[back]
-
-
-def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
-    table = df.select(*names).toArrow()
-    return [table[n].to_numpy() for n in names]
-
-
-def _load(spark, nodes: list[DataFrame], grams: DataFrame, depth: int, block: int, blocks: int):
-    """One block's model as a broadcast; the caller has checked its size."""
-    tables = []
-    for d, df in enumerate(nodes):
-        key, p = _arrays(df, "key", "p")
-        key = key.astype(np.int64).view(U)
-        if blocks > 1 and d >= 2:
-            mine = _block(key >> U(8), d, blocks) == block
-            key, p = key[mine], p[mine]
-        order = np.argsort(key)
-        tables.append((key[order], p[order]))
-    (g,) = _arrays(grams, "key")
-    g = g.astype(np.int64).view(U)
-    if blocks > 1:
-        g = g[_block(g >> U(8), depth, blocks) == block]
-    return spark.sparkContext.broadcast(Model(tables, g))
-
-
-def _lookup(key: np.ndarray, n: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(grams: DataFrame) -> DataFrame:
+    """(gram, place, bit): a gram's eight decisions."""
+    i = grams.select(F.col("key").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    byte = "cast(gram & 255 as int)"
+    return i.select("gram", F.expr(f"(1 << i) | ({byte} >> (8 - i))").alias("place"), F.expr(f"({byte} >> (7 - i)) & 1").alias("bit"))
+
+
+def _key(d: int) -> Column:
+    return F.expr(f"(((gram >> 8) & {(1 << 8 * d) - 1}L) << 8) | place").alias("key")
+
+
+def _summed(bits: DataFrame) -> DataFrame:
+    return bits.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("score")).select(F.col("gram").alias("key"), "score")
+
+
+def seen_scores(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(key, score): log10 probabilities of grams seen in training, all of whose decisions have nodes at full depth."""
+    return _summed(_bits(grams).select("gram", "bit", _key(len(nodes) - 1)).join(nodes[-1], "key"))
+
+
+def unseen_scores(grams: DataFrame, nodes: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(key, score) of other grams: each decision takes its deepest node; without any node a bit has probability 1/2."""
+    open_ = _bits(grams)
+    found = []
+    for d in range(len(nodes) - 1, -1, -1):
+        tried = scratch.keep(open_.select("gram", "place", "bit", _key(d)).join(nodes[d], "key", "left").select("gram", "place", "bit", "p"), f"tried-{d}")
+        found.append(tried.where("p is not null").select("gram", "bit", "p"))
+        open_ = tried.where("p is null").select("gram", "place", "bit")
+    found.append(open_.select("gram", "bit", F.lit(0.5).alias("p")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionAll(f)
+    return _summed(every)
+
+
+def _lookup(key: np.ndarray, value: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(key):
-        return np.zeros(len(want), bool), np.zeros(len(want), np.int64)
+        return np.zeros(len(want), bool), np.zeros(len(want), value.dtype)
     at = np.minimum(np.searchsorted(key, want), len(key) - 1)
     hit = key[at] == want
-    return hit, np.where(hit, n[at], 0)
+    return hit, np.where(hit, value[at], 0)
+
 
+def _split(values: np.ndarray, owner: np.ndarray, n: int) -> list:
+    parts = np.split(values.view(np.int64), np.cumsum(np.bincount(owner, minlength=n))[:-1])
+    return [p if len(p) else None for p in parts]
 
-def _score(depth: int, model, common, total: int, distinct: int, block: int, blocks: int):
+
+def _score(depth: int, common, log_n: float):
     def run(batches):
-        m, (key, n) = model.value, common.value
-        log_n = np.log10(total + 0.5 * (distinct + 1))
+        (words_key, words_n), (grams_key, grams_score) = common.value
         for rows, words in _groups(batches):
+            n = len(words)
             code, size = _codes([b" ".join(w) + b"\n" for w in words], depth)
-            owner = np.repeat(np.arange(len(words)), size)
-            if blocks > 1:
-                mine = _block(code >> U(8), depth, blocks) == block
-                code, owner = code[mine], owner[mine]
-            score = np.bincount(owner, m.score(code), len(words))
-            counts, known, base, rare = np.array([len(w) + 1 for w in words], np.int64), np.zeros(len(words), np.int64), np.zeros(len(words)), [None] * len(words)
-            if block == 0:
-                hashes = np.concatenate([np.append(word_hashes(w), END) for w in words])
-                token_of = np.repeat(np.arange(len(words)), counts)
-                u, back = np.unique(hashes, return_inverse=True)
-                hit, c = _lookup(key, n, u)
-                hit, c = hit[back], c[back]
-                known = np.bincount(token_of, hit, len(words)).astype(np.int64)
-                base = np.bincount(token_of, np.where(hit, np.log10(c + 0.5) - log_n, 0.0), len(words))
-                miss, edge = hashes[~hit].view(np.int64), np.cumsum(np.bincount(token_of[~hit], minlength=len(words)))
-                rare = [a if len(a) else None for a in np.split(miss, edge[:-1])]
+            owner = np.repeat(np.arange(n), size)
+            u, back = np.unique(code, return_inverse=True)
+            hit, value = (x[back] for x in _lookup(grams_key, grams_score, u))
+            score, missing = np.bincount(owner, value, n), _split(code[~hit], owner[~hit], n)
+
+            counts = np.array([len(w) + 1 for w in words], np.int64)
+            hashes = np.concatenate([np.append(word_hashes(w), END) for w in words])
+            owner = np.repeat(np.arange(n), counts)
+            u, back = np.unique(hashes, return_inverse=True)
+            hit, c = (x[back] for x in _lookup(words_key, words_n, u))
+            known = np.bincount(owner, hit, n).astype(np.int64)
+            base = np.bincount(owner, np.where(hit, np.log10(c + 0.5) - log_n, 0.0), n)
             ids, held = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.int64()))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), pa.array(_split(hashes[~hit], owner[~hit], n), pa.list_(pa.int64())), pa.array(missing, pa.list_(pa.int64()))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "missing"],
             )
 
     return run
 
 
-def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold: int = 1, max_nodes: int = 12_000_000, max_words: int = 2_000_000) -> DataFrame:
+def _frequent(counts: DataFrame, most: int) -> int:
+    """The least count that at most `most` keys reach; one row of sums tells."""
+    steps = [1, *(int(2 ** (i / 2)) for i in range(2, 80))]
+    sums = counts.agg(*(F.count_if(F.col("n") >= s).alias(f"c{i}") for i, s in enumerate(steps))).first()
+    return next((s for s, c in zip(steps, sums) if c <= most), 1 << 62)
+
+
+def _sorted_arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    table = df.select("key", value).toArrow()
+    key, v = table["key"].to_numpy().astype(np.int64).view(U), table[value].to_numpy()
+    order = np.argsort(key)
+    return key[order], v[order]
+
+
+def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold: int = 1, max_grams: int = 2_000_000, max_words: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
 
     The model learns from the rows whose crc32(doc_id as text) mod folds is not held_fold; a null doc_id is in no fold
-    and is learned from. Null and empty texts are the end alone. score and base_score are log10 probabilities;
-    bits_per_byte is the model's code length. An empty table gives an empty result; with no training rows the base
-    score is that of the formula and every bit has probability 1/2. Repeated rows each count and each have a row.
+    and is learned from. Null and empty texts are the end alone. score and base_score are log10 probabilities. An
+    empty table gives an empty result; with no training rows the base score is that of the formula and every bit has
+    probability 1/2. Repeated rows each count and each have a row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "context-tree")
@@ -266,37 +252,32 @@ def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold:
     counts = scratch.keep(docs.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     nodes = build_nodes(grams, depth, scratch)
+    seen = scratch.keep(seen_scores(grams, nodes).join(grams, "key"), "seen")
 
-    steps = [1, *(int(2 ** (i / 2)) for i in range(2, 80))]
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count_if(F.col("n") >= s) for s in steps)).first()
-    total, distinct = sums[0], sums[1]
-    least = next((s for s, c in zip(steps, sums[2:]) if c <= max_words), 1 << 62)
-    key, n = _arrays(words.where(F.col("n") >= least), "key", "n")
-    key = key.astype(np.int64).view(U)
-    order = np.argsort(key)
-    common = spark.sparkContext.broadcast((key[order], n[order].astype(np.int64)))
-    n_nodes = sum(df.count() for df in nodes) + grams.count()
-    blocks = -(-n_nodes // max_nodes) or 1
-
-    parts = []
-    for block in range(blocks):
-        model = _load(spark, nodes, grams, depth, block, blocks)
-        scored = docs.mapInArrow(_score(depth, model, common, total, distinct, block, blocks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-        parts.append(scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), f"scored-{block}"))
-        model.unpersist()
-    out = parts[0]
-    for p in parts[1:]:  # the same rows in the same tasks: the row numbers agree
-        out = out.join(p.select("row", F.col("score").alias("more")), "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
-    rare = out.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
-    rare = rare.groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_score"), F.count("*").alias("rare_n"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log_n = float(np.log10(total + 0.5 * (distinct + 1)))
-    out = out.join(rare, "row", "left").select(
+    least_word, least_gram = _frequent(words, max_words), _frequent(grams, max_grams)
+    frequent = (_sorted_arrays(words.where(F.col("n") >= least_word), "n"), _sorted_arrays(seen.where(F.col("n") >= least_gram), "score"))
+    common = spark.sparkContext.broadcast(frequent)
+    del frequent
+    scored = docs.mapInArrow(_score(depth, common, log_n), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, missing array<long>")
+    out = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    common.unpersist()
+
+    rare = out.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least_word), "key", "left")
+    rare = rare.groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) - log_n).alias("rare_score"))
+    missing = out.select("row", F.explode("missing").alias("key"))
+    fresh = scratch.keep(missing.select("key").distinct().join(seen.select("key"), "key", "left_anti"), "unseen")
+    table = seen.where(F.col("n") < least_gram).select("key", "score").unionAll(unseen_scores(fresh, nodes, scratch))
+    more = missing.join(scratch.keep(table, "rest"), "key").groupBy("row").agg(F.sum("score").alias("more"))
+    for name in ("seen", "unseen", *(f"{x}-{d}" for x in ("down", "tried") for d in range(depth + 1))):
+        scratch.drop(name)
+    return out.join(rare, "row", "left").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce(F.col("rare_score") - F.col("rare_n") * F.lit(log_n), F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
-    return out
