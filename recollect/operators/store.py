@@ -46,9 +46,9 @@ class Store:
         if rows.where("confidence < 0 or confidence > 1").limit(1).count():
             raise ValueError("confidence must lie between 0 and 1")
         fresh = rows.join(self.facts().select("id"), "id", "left_anti").dropDuplicates(["id"])
-        names = self.spark.createDataFrame([], EXPERIENCE).columns
+        fields = self.facts().schema.fields
         n = fresh.count()
-        fresh.select(*(F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names)).write.mode("append").parquet(f"{self.path}/facts")
+        fresh.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("append").parquet(f"{self.path}/facts")
         return n
 
     def note(self, rows: DataFrame) -> None:
