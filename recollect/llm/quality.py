@@ -178,9 +178,13 @@ def judge_quality(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps
 
 
 def keep_good(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: int = 4, least_rows: int = 50) -> DataFrame:
-    """The rows of docs that judge_quality() keeps, with all columns; each row is judged by itself, so texts stay where they are."""
+    """The rows of docs that judge_quality() keeps, with all columns.
+
+    Statistics are taken once and written beside the rows that pass the base rules; the estimates read only the
+    statistics back, and the verdict joins nothing but the estimates, so texts stay where they are.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    features = scratch.keep(_features(_grouped(docs)).where("not base_failed").select("lang", "source", *X), "features")
-    stats = robust_estimates(features, scratch, share, steps)
-    rows = _features(_grouped(docs, F.struct("*").alias("_row")), "_row")
-    return _judged(rows, stats, cut, least_rows).where("kept").select("_row.*")
+    rows = _features(_grouped(docs, F.struct("*").alias("_row")), "_row").select("lang", "source", "_row", *X, "base_failed")
+    held = scratch.keep(rows, "rows").where("not base_failed")
+    stats = robust_estimates(held.select("lang", "source", *X), scratch, share, steps)
+    return _judged(held, stats, cut, least_rows).where("kept").select("_row.*")
