@@ -89,6 +89,10 @@ class Codec:
             self.old, self.young = self.young, {}
         self.young[key] = ids
 
+    def forget(self) -> None:
+        """Frees what is remembered: idle workers then hold the model only."""
+        self.young, self.old = {}, {}
+
     def _stretch(self, key: str) -> bytes:
         out = self._recall(key)
         if out is None:

@@ -26,7 +26,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process: what it remembers serves all its tasks."""
+    """One codec for each worker process; its model serves all the worker's tasks."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec.from_json(path, pattern) if path.endswith(".json") else Codec.from_ranks(path, pattern)
     return _codecs[path, pattern]
@@ -73,7 +73,8 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _pack(path: str, pattern: str, end: int, capacity: int, max_piece: int, windows: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path, pattern).encode
+        own = codec(path, pattern)
+        encode = own.encode
         last = end.to_bytes(4, "little")
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         types = [pa.int64()] * 7 + [pa.binary()]
@@ -115,6 +116,7 @@ def _pack(path: str, pattern: str, end: int, capacity: int, max_piece: int, wind
                 if len(out) >= 20_000:
                     yield flush()
         settle()
+        own.forget()
         yield flush()
 
     return run

@@ -38,9 +38,17 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        where = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(where)
+    def keep(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """df as a written table; batch_rows bounds what Python workers get at once, where rows are whole texts."""
+        where, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if batch_rows:
+            self.spark.conf.set(key, batch_rows)
+        try:
+            df.write.mode("overwrite").parquet(where)
+        finally:
+            if batch_rows:
+                self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, name: str) -> None:
