@@ -113,6 +113,17 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 GROUP = ["lang", "source", "pool"]
+#: Groups up to which the estimates are broadcast (400 bytes each); beyond, rows meet them by salted shuffle joins.
+MOST_GROUPS = 20_000
+SALTS = 64
+
+
+def _meet(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with their group's estimates; a hot group's rows never go to one task."""
+    if stats.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS:
+        return rows.join(F.broadcast(stats), keys, how)
+    salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return salted.join(stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
 def robust_estimates(features: DataFrame, scratch: Scratch, share: float, steps: int) -> DataFrame:
@@ -132,7 +143,7 @@ def robust_estimates(features: DataFrame, scratch: Scratch, share: float, steps:
     stats = scratch.keep(_cholesky(start), "start")
     scale = _consistency(share)
     for s in range(steps):
-        near = _distance(rows.join(stats, GROUP)).withColumn("bin", F.least(F.floor(F.log2(F.col("d2") + 1) * 16), F.lit(BINS)))
+        near = _distance(_meet(rows, stats, GROUP)).withColumn("bin", F.least(F.floor(F.log2(F.col("d2") + 1) * 16), F.lit(BINS)))
         binned = near.groupBy(*GROUP, "n_all", "bin").agg(*_moments())
         before = F.sum("n").over(Window.partitionBy(*GROUP).orderBy("bin")) - F.col("n")
         nearest = binned.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n_all") * share))
@@ -153,7 +164,7 @@ def _judged(features: DataFrame, stats: DataFrame, cut: float, least_rows: int)
     own = stats.where(f"not pool and n_all >= {least_rows}").drop("pool", "n_all")
     pool = stats.where("pool").drop(*GROUP, "n_all")
     names = pool.columns
-    held = features.join(own, ["lang", "source"], "left").join(F.broadcast(pool.select(*(F.col(c).alias(f"all_{c}") for c in names))), how="left")
+    held = _meet(features, own, ["lang", "source"], "left").join(F.broadcast(pool.select(*(F.col(c).alias(f"all_{c}") for c in names))), how="left")
     held = held.select(*features.columns, *(F.coalesce(c, f"all_{c}").alias(c) for c in names))
     return _distance(held).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut))
 

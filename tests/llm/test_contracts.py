@@ -246,7 +246,9 @@ def base_quality(text):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(inside)
 
 
-def test_quality(docs, rows):
+@pytest.mark.parametrize("most", [quality.MOST_GROUPS, 0])
+def test_quality(docs, rows, most, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_GROUPS", most)
     out = quality.judge_quality(docs).collect()
     want = []
     for i, t in rows:
