@@ -18,6 +18,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(checked, F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm))
 
 
+def mean_pool(vectors: Column) -> Column:
+    """The mean of an array of vectors, of length one; null for none, and where its length is zero or not finite."""
+    zero = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
+    total = F.when(F.size(vectors) > 0, F.aggregate(vectors, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double"))))
+    norm = F.sqrt(dot(total, total))
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(total, lambda x: x / norm))
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a; ASCII input, as the query tokens are."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.anchors import suspect_reason
+from ..functions.text import commit_action, reverted_shas, reverted_subject
 
 
 def heads(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -125,6 +126,29 @@ def shared_references(refs: DataFrame, most: int = 6) -> DataFrame:
     return a.join(b, "ref").where("target < source").select("source", "target", "ref")
 
 
+def reverts(commits: DataFrame) -> DataFrame:
+    """(source, target): the commit that a revert (sha, subject, body, date) names by an unambiguous sha or prefix, else the latest earlier one of the quoted subject.
+
+    Prefixes meet by their first seven digits; subjects by one ordered pass, so that no pairs of a common subject arise.
+    """
+    named = commits.select(F.col("sha").alias("source"), F.explode(reverted_shas(F.col("body"))).alias("ref")).withColumn("ref", F.lower("ref"))
+    shas = commits.select(F.col("sha").alias("target"), F.substring("sha", 1, 7).alias("head"))
+    met = named.withColumn("head", F.substring("ref", 1, 7)).join(shas, "head").where(F.startswith("target", F.col("ref")) & (F.col("source") != F.col("target")))
+    by_sha = met.groupBy("source", "ref").agg(F.min("target").alias("target"), F.max("target").alias("other")).where("target = other").select("source", "target").distinct()
+
+    none = F.lit(None).cast("string")
+    quoting = commits.join(by_sha, commits.sha == by_sha.source, "left_anti").select(reverted_subject(F.col("subject")).alias("subject"), "date", F.lit(1).alias("late"), none.alias("sha"), F.col("sha").alias("source")).where("subject is not null")
+    rows = commits.select("subject", "date", F.lit(0).alias("late"), "sha", none.alias("source")).unionAll(quoting)
+    before = Window.partitionBy("subject").orderBy("date", "late", "sha").rowsBetween(Window.unboundedPreceding, -1)
+    by_subject = rows.withColumn("target", F.last("sha", ignorenulls=True).over(before)).where("source is not null and target is not null").select("source", "target")
+    return by_sha.unionAll(by_subject)
+
+
+def memories_of(memories: DataFrame, shas: DataFrame) -> DataFrame:
+    """The memories (action) captured from the commits (sha)."""
+    return memories.join(shas.select(commit_action(F.col("sha")).alias("action")), "action", "left_semi")
+
+
 def strongest(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target): the strongest relation, ties to the first rule."""
     order = Window.partitionBy("source", "target").orderBy(F.desc("strength"), "rule")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import anchors as A, constants as C, text as T, vectors as V
-from ..operators import history as H, retrieval as R, store as S, tiers as TI
+from ..operators import evals as E, history as H, retrieval as R, store as S, tiers as TI
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -314,6 +314,21 @@ def mrr_recall(spark, d):
     return found.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+@query("WITH d AS (SELECT vec_id // 4 AS grp, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT grp, i, avg(CAST(x AS DOUBLE)) AS x FROM d GROUP BY 1, 2), n AS (SELECT grp, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT grp, i AS dim, round(x / n, 6) AS x FROM m JOIN n USING (grp) WHERE n > 0")
+def mean_pooling(spark, d):
+    chunks = vectors(spark, d).groupBy(F.expr("id div 4").alias("grp")).agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("cs"))
+    return chunks.select("grp", F.posexplode(V.mean_pool(F.transform("cs", lambda c: c.vec))).alias("p", "x")).select("grp", (F.col("p") + 1).cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {COS}, {GOLD}, best AS (SELECT qid, max(round(score, 6)) AS b FROM cos WHERE id <> qid GROUP BY 1), k AS (SELECT *, qid IN (SELECT qid FROM gold) AS on_topic FROM best) SELECT CAST(f.f AS DOUBLE) AS floor, count(*) FILTER (b >= f AND on_topic) AS answered, count(*) FILTER (b >= f AND NOT on_topic) AS leaked FROM k, (VALUES (0.2), (0.4), (0.6), (0.8)) f(f) GROUP BY 1")
+def gate_answered_leaked(spark, d):
+    floors = spark.createDataFrame([(x,) for x in (0.2, 0.4, 0.6, 0.8)], "floor double")
+    docs, q = t(spark, d, "documents"), questions(spark, d)
+    gold = docs.join(q, F.contains(docs.text, q.question)).select("qid").distinct().withColumn("gold", F.lit(True))
+    best = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b")).join(gold, "qid", "left")
+    return best.crossJoin(floors).groupBy("floor").agg(F.count_if(F.expr("b >= floor and gold is not null")).alias("answered"), F.count_if(F.expr("b >= floor and gold is null")).alias("leaked"))
+
+
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
@@ -439,6 +454,28 @@ def shares_issue(spark, d):
     return H.shared_references(t(spark, d, "orders").select(F.col("o_custkey").alias("ref"), F.col("o_orderkey").alias("commit")))
 
 
+REVERTING = """cm AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN o_orderkey % 20 = 10 THEN 'Revert "change ' || o_custkey % 50 || '"' ELSE 'change ' || o_custkey % 50 END AS subject, CAST(o_orderdate AS DATE) AS date,
+ CASE WHEN o_orderkey % 20 = 0 THEN substr(md5(CAST(o_orderkey - 1 AS VARCHAR)), 1, 12) WHEN o_orderkey % 20 = 5 THEN md5(CAST(o_orderkey - 2 AS VARCHAR)) END AS ref FROM orders),
+ rs AS (SELECT a.sha AS source, b.sha AS target FROM cm a JOIN cm b ON starts_with(b.sha, a.ref)),
+ rq AS (SELECT sha AS source, date, regexp_extract(subject, '^Revert "(.+)"$', 1) AS quoted FROM cm WHERE starts_with(subject, 'Revert')),
+ rv AS (SELECT * FROM rs UNION ALL SELECT source, target FROM (SELECT rq.source, cm.sha AS target, row_number() OVER (PARTITION BY rq.source ORDER BY cm.date DESC, cm.sha DESC) AS r FROM rq JOIN cm ON cm.subject = quoted AND cm.date <= rq.date) WHERE r = 1)"""
+
+
+@query(f"WITH {REVERTING} SELECT source, target FROM rv")
+def revert_links(spark, d):
+    key = lambda c: F.md5(c.cast("string"))
+    k, topic = F.col("o_orderkey"), F.concat(F.lit("change "), (F.col("o_custkey") % 50).cast("string"))
+    subject = F.when(k % 20 == 10, F.concat(F.lit('Revert "'), topic, F.lit('"'))).otherwise(topic)
+    body = F.when(k % 20 == 0, F.concat(F.lit("This reverts commit "), F.substring(key(k - 1), 1, 12), F.lit("."))).when(k % 20 == 5, F.concat(F.lit("This reverts commit "), key(k - 2)))
+    return H.reverts(t(spark, d, "orders").select(key(k).alias("sha"), subject.alias("subject"), body.alias("body"), F.col("o_orderdate").cast("date").alias("date")))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE 'commit ' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) IN (SELECT 'commit ' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) FROM lineitem WHERE l_quantity > 49)")
+def memories_for_commits(spark, d):
+    m = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.commit_action(F.md5(F.col("o_orderkey").cast("string"))).alias("action"))
+    return H.memories_of(m, t(spark, d, "lineitem").where("l_quantity > 49").select(F.md5(F.col("l_orderkey").cast("string")).alias("sha"))).select("id")
+
+
 EDGES = f"{FOLLOW}, {SHARE}, ed AS (SELECT DISTINCT source, target, 'follows_up' AS relation, 1 AS strength, 0.5 AS confidence FROM fu UNION ALL SELECT source, target, 'shares_issue', 2, 0.8 FROM si), best AS (SELECT source, target, max_by(relation, strength) AS relation, max(confidence) AS confidence FROM ed GROUP BY 1, 2)"
 
 
@@ -602,6 +639,32 @@ def stratified_precision(spark, d):
     return t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0)), 6).alias("precision_"))
 
 
+@query("SELECT conv_id, turn, round((CASE WHEN contains(lower(text), 'a') OR contains(lower(text), 'zu') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'qu') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'er') THEN 1 ELSE 0 END) / 3.0, 6) AS score FROM conversations WHERE text IS NOT NULL")
+def keyword_grading(spark, d):
+    rows = t(spark, d, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", F.round(E.keyword_score(F.col("text"), [["A", "zu"], ["qu"], ["License", "er"]]), 6).alias("score"))
+
+
+@query("SELECT l_linestatus AS condition, count(*) AS n, round(avg(CAST(l_discount AS DOUBLE)), 6) AS mean_score, round(avg(CAST(l_linenumber AS DOUBLE)), 6) AS mean_turns, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean_seconds, round(sum(CAST(l_extendedprice AS DOUBLE)), 2) AS total_cost FROM lineitem GROUP BY 1")
+def run_summary(spark, d):
+    f = lambda c, name: F.col(c).cast("double").alias(name)
+    runs = t(spark, d, "lineitem").select(F.col("l_linestatus").alias("condition"), f("l_discount", "score"), f("l_linenumber", "turns"), f("l_quantity", "seconds"), f("l_extendedprice", "cost"))
+    s = E.run_summary(runs)
+    return s.select("condition", "n", *(F.round(c, 6).alias(c) for c in ("mean_score", "mean_turns", "mean_seconds")), F.round("total_cost", 2).alias("total_cost"))
+
+
+@query(f"WITH {SET}, k AS (SELECT id, CAST(sum(CASE WHEN outcome = 'confirmed' THEN 1 ELSE 0 END) AS BIGINT) AS credit FROM sd GROUP BY 1) SELECT credit, count(*) AS n FROM k GROUP BY 1")
+def credit_histogram(spark, d):
+    return E.credit_histogram(settled(spark, d).select("id", (F.col("outcome") == "confirmed").cast("long").alias("credit")))
+
+
+@query("WITH s AS (SELECT o_orderpriority AS relation, o_totalprice > 150000 AS good FROM orders WHERE o_orderkey % 5 = 0), p AS (SELECT o_orderpriority AS relation, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT relation, count(*) AS k, count(*) FILTER (good) AS g FROM s GROUP BY 1) SELECT round(sum(g) / sum(k), 6) AS precision_, round(sum(CAST(g AS DOUBLE) / k * n) / sum(n), 6) AS weighted FROM k JOIN p USING (relation)")
+def weighted_precision(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("relation"), (F.col("o_totalprice") > 150000).alias("good"), "o_orderkey")
+    r = E.weighted_precision(o.where("o_orderkey % 5 = 0"), o.groupBy("relation").agg(F.count("*").alias("n")))
+    return r.select(F.round("precision", 6).alias("precision_"), F.round("weighted", 6).alias("weighted"))
+
+
 @query("SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, d):
     w = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -616,16 +679,16 @@ def session_windows(spark, d):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedupe_watermark(spark, d):
-    from ..streaming import events as E
+    from ..streaming import events as ST
     import uuid
 
-    return E.finished(E.distinct_keys(E.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), f"dedupe_{uuid.uuid4().hex}")
+    return ST.finished(ST.distinct_keys(ST.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), f"dedupe_{uuid.uuid4().hex}")
 
 
 @query("SELECT id, session, count(*) AS hits FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id, CAST(user_id AS VARCHAR) AS session FROM events) GROUP BY 1, 2")
 def access_stream(spark, d):
-    from ..streaming import events as E
+    from ..streaming import events as ST
     import uuid
 
-    log = E.read_events(spark, f"{d}/events.parquet").select(F.get_json_object("props", "$.k").cast("long").alias("id"), F.col("user_id").cast("string").alias("session"), "ts")
-    return E.finished(E.access_state(log, "100 days"), f"access_{uuid.uuid4().hex}", "complete").select("id", "session", "hits")
+    log = ST.read_events(spark, f"{d}/events.parquet").select(F.get_json_object("props", "$.k").cast("long").alias("id"), F.col("user_id").cast("string").alias("session"), "ts")
+    return ST.finished(ST.access_state(log, "100 days"), f"access_{uuid.uuid4().hex}", "complete").select("id", "session", "hits")
