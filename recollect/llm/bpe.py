@@ -8,6 +8,8 @@ bounded: two generations of at most MEMO entries each.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,8 +77,14 @@ class Codec:
         return cls(model_from_ranks(ranks), {"".join(table[b] for b in t): r for t, r in ranks.items()}, pattern)
 
     def _piece(self, piece: str) -> bytes:
-        chars = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
-        return np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+        if piece[0] == " " and piece[1:].isalpha() and piece.isascii():  # letters stand for themselves
+            chars = self.to_chars[0x20] + piece[1:]
+        else:
+            chars = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
+        ids = array("I", [t.id for t in self.model.tokenize(chars)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _recall(self, key: str) -> bytes | None:
         found = self.old.get(key)
@@ -96,8 +104,9 @@ class Codec:
     def _stretch(self, key: str) -> bytes:
         out = self._recall(key)
         if out is None:
-            pieces = self.find(key)
-            if len(pieces) == 1:
+            # The public pattern takes a space and letters whole.
+            pieces = () if key[0] == " " and key[1:].isalpha() and key.isascii() else self.find(key)
+            if len(pieces) < 2:
                 out = self._piece(key)
             else:
                 parts = []
