@@ -32,6 +32,16 @@ TEMPLATES = {
 }
 
 
+def lower_ascii(text: Column) -> Column:
+    """The text (null: empty) with A-Z lower-cased, and no other character turned into an ASCII one.
+
+    lower() gives ASCII letters for two characters only; whatever else it changes stays a word's non-ASCII character.
+    """
+    t = F.coalesce(text, F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.contains(t, F.lit("\u0130")) | F.contains(t, F.lit("\u212a")), F.translate(t, upper, upper.lower())).otherwise(F.lower(t))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -47,7 +57,7 @@ def _template_sets(spark, templates: dict[str, list[str]]) -> list[tuple[str, li
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents hold each token of a fixed vocabulary; one row for each of them reaches the driver."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(lower_ascii(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
     row = docs.select(spaced.alias("t")).agg(*(F.count_if(F.contains("t", F.lit(f" {w} "))).alias(f"c{i}") for i, w in enumerate(vocabulary))).first()
     return dict(zip(vocabulary, row))
 
@@ -66,7 +76,7 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
     need = [ceil(percent * len(ws) / 100) for _, ws in ordered]
     prefixes = sorted({w for (_, ws), n in zip(ordered, need) for w in ws[: len(ws) - n + 1]})
 
-    low = F.lower(F.coalesce("text", F.lit("")))
+    low = lower_ascii(F.col("text"))
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     maybe_phrase = "|".join(gap.join(p.split()) for p in phrases)
     maybe_block = "(" + "|".join(sorted(prefixes)) + ")"

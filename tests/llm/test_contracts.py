@@ -236,6 +236,13 @@ def test_licenses(docs, rows):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_lower_only_ascii(spark):
+    notice = "This wor{} is licensed under the GNU General Public License, version 3."
+    same = spark.createDataFrame([(1, notice.format("k")), (2, notice.format("\u212a")), (3, "UNDER THE MIT LICENSE \u0130"), (4, "under the m\u0130t license")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, round(r.score, 6)) for r in licenses.scan_licenses(same).collect()}
+    assert got == {1: (12, 0, 1.0), 2: (12, 0, round(11 / 12, 6)), 3: (5, 1, 1.0), 4: (4, 0, 0.0)}
+
+
 def base_quality(text):
     t = text or ""
     w = SPLIT.findall(t)
