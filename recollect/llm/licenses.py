@@ -1,10 +1,12 @@
 """License scans by an exact set-similarity join of text blocks with licence templates, in DataFrame functions only.
 
-A block is a line. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A block meets
-a template if it holds at least `percent` of the template's distinct tokens. Such a block must hold one of the
+A block is a line, or a window of consecutive tokens over several lines, for notices that are wrapped. A template's
+windows are as long as it can be and still make up `percent` of one; tokens of lines that meet the template by
+themselves count in no window. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A
+block meets a template if it holds at least `percent` of the template's distinct tokens. Such a block must hold one of the
 template's first |T| - ceil(percent * |T|) + 1 tokens (prefix filter), have at least ceil(percent * |T|) tokens
-(length filter), and the tokens left in the template after the first shared one must suffice (positional filter). The
-templates are a bounded constant, so the join is against literals: no document moves, and a hot source is only rows.
+(length filter), and the tokens left in the template after the first shared one must suffice (positional filter). Windows
+are looked for only around the prefix tokens. The templates are a bounded constant, so the join is against literals: no document moves, and a hot source is only rows.
 """
 
 from __future__ import annotations
@@ -46,13 +48,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _template_sets(spark, templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
-    """The templates' distinct tokens, cut by the rule that cuts the documents."""
+def _template_tokens(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
+    """The templates' tokens in order, cut by the rule that cuts the documents."""
     import re
 
     cut = re.compile(WORD)
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    return [(label, list(dict.fromkeys(cut.findall(t.translate(lower))))) for label, texts in sorted(templates.items()) for t in texts]
+    return [(label, cut.findall(t.translate(lower))) for label, texts in sorted(templates.items()) for t in texts]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -65,11 +67,14 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, in
 def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """Words, phrase places, labels and score of each row of docs (doc_id, text), and the blocks found.
 
-    blocks lists (line, label, share) of every line and template that meet the threshold; base_labels come from the
+    blocks lists (line, label, share) of every line and template that meet the threshold, then those of the windows: of
+    windows that start close together the best, the first of equals, with the line of its first token; base_labels come from the
     phrases, labels from both. score is the largest share (1 for a phrase), 0 without a find. A null text counts as
     empty. Repeated rows each have a row; further columns are ignored; an empty table gives an empty result.
     """
-    sets = _template_sets(docs.sparkSession, templates)
+    texts = _template_tokens(templates)
+    sets = [(label, list(dict.fromkeys(ws))) for label, ws in texts]
+    spans = [ceil(100 * len(ws) / percent) for _, ws in texts]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     frequency = document_frequencies(docs, vocabulary)
     ordered = [(label, sorted(ws, key=lambda w: (frequency[w], w))) for label, ws in sets]
@@ -79,9 +84,11 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
     low = lower_ascii(F.col("text"))
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     maybe_phrase = "|".join(gap.join(p.split()) for p in phrases)
-    maybe_block = "(" + "|".join(sorted(prefixes)) + ")"
+    inside = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    anywhere = "(" + "|".join(prefixes) + ")"
+    maybe_block = f"(?<!{inside})(?:{'|'.join(prefixes)})(?!{inside})"  # whole tokens; slower, so after the one above
     base = docs.select("doc_id", low.alias("low"))
-    base = base.select("doc_id", "low", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.rlike("low", F.lit(maybe_phrase)).alias("has_phrase"), F.rlike("low", F.lit(maybe_block)).alias("has_block"))
+    base = base.select("doc_id", "low", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.rlike("low", F.lit(maybe_phrase)).alias("has_phrase"), (F.rlike("low", F.lit(anywhere)) & F.rlike("low", F.lit(maybe_block))).alias("has_block"))
 
     def places(w: Column) -> Column:
         def at(phrase: str, label: str) -> Column:
@@ -93,27 +100,74 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
 
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     kind = "array<struct<line:bigint,label:string,share:double>>"
+    by_template = "array<struct<template:int,line:bigint,label:string,share:double>>"
+
+    def block(template: int, line: Column, share: Column) -> Column:
+        return F.struct(F.lit(template).alias("template"), line.cast("long").alias("line"), F.lit(ordered[template][0]).alias("label"), share.alias("share"))
 
     def met(line: Column, number: Column) -> Column:
         def against(b: Column) -> Column:
             found = []
-            for (label, ws), n in zip(ordered, need):
+            for k, ((_, ws), n) in enumerate(zip(ordered, need)):
                 literal = F.array(*map(F.lit, ws))
                 shared = lambda t, ws=ws: F.array_intersect(t, b)
                 head = F.array(*map(F.lit, ws[: len(ws) - n + 1]))
                 first = F.array_position(literal, F.element_at(F.array_intersect(head, b), 1))
                 full = F.size(shared(literal))
                 passes = (F.size(b) >= n) & F.arrays_overlap(head, b) & (F.lit(len(ws)) - first + 1 >= n) & (full >= n)
-                found.append(F.when(passes, F.array(F.struct(number.cast("long").alias("line"), F.lit(label).alias("label"), (full / len(ws)).alias("share")))).otherwise(F.array().cast(kind)))
+                found.append(F.when(passes, F.array(block(k, number, full / len(ws)))).otherwise(F.array().cast(by_template)))
             return F.flatten(F.array(*found))
 
-        return F.when(F.rlike(line, F.lit(maybe_block)), let(F.array_distinct(tokens(line)), against)).otherwise(F.array().cast(kind))
+        return F.when(F.rlike(line, F.lit(maybe_block)), let(F.array_distinct(tokens(line)), against)).otherwise(F.array().cast(by_template))
+
+    def windows(w: Column, lines: Column) -> Column:
+        """Blocks over several lines, from the text's tokens (t, line) and the blocks of its lines."""
+
+        def of(k: int, places: Column) -> Column:
+            ws, n, span = ordered[k][1], need[k], spans[k]
+            literal, head = F.array(*map(F.lit, ws)), F.array(*map(F.lit, ws[: len(ws) - n + 1]))
+            own = F.transform(F.filter(lines, lambda b: b.template == k), lambda b: b.line)
+
+            def held(start: Column, length: Column) -> Column:
+                """How many of the template's tokens a stretch holds, lines that meet it by themselves left out."""
+                rest = F.filter(F.slice(w, start, length), lambda x: ~F.array_contains(own, x.line))
+                return F.size(F.array_intersect(literal, F.transform(rest, lambda x: x.t)))
+
+            def best(at: Column) -> Column:
+                starts = F.array_sort(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(first(p), p)))))
+                starts = F.filter(starts, lambda i: F.array_contains(literal, F.element_at(w, i).t))
+                each = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), held(i, F.lit(span)).alias("n"))), lambda x: x["n"] >= n)
+
+                def step(kept: Column, x: Column) -> Column:
+                    last = F.try_element_at(kept, F.lit(-1))
+                    apart = last.isNull() | (x["at"] >= last["at"] + n)
+                    return F.when(apart, F.concat(kept, F.array(x))).when(x["n"] > last["n"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
+
+                kept = F.aggregate(each, F.array().cast("array<struct<at:int,n:int>>"), step)
+                return F.transform(kept, lambda x: block(k, F.element_at(w, x["at"]).line, x["n"] / len(ws)))
+
+            first = lambda p: F.greatest(p - (span - 1), F.lit(1))
+            at = F.transform(F.filter(places, lambda p: F.array_contains(head, p.t) & ~F.array_contains(own, p.line)), lambda p: p["at"])
+            at = F.filter(at, lambda p: held(first(p), p - first(p) + span) >= n)
+            return let(at, lambda x: F.when(F.size(x) > 0, best(x)).otherwise(F.array().cast(by_template)))
+
+        def near(places: Column) -> Column:
+            return F.flatten(F.array(*(of(k, places) for k in range(len(ordered)))))
+
+        heads = F.array(*map(F.lit, prefixes))
+        each = F.transform(w, lambda x, i: F.struct((i + 1).alias("at"), x.t.alias("t"), x.line.alias("line")))
+        return let(F.filter(each, lambda x: F.array_contains(heads, x.t)), lambda places: F.when(F.size(places) > 0, near(places)).otherwise(F.array().cast(by_template)))
+
+    def judged(parts: Column) -> Column:
+        numbered = F.flatten(F.transform(parts, lambda line, k: F.transform(tokens(line), lambda t: F.struct(t.alias("t"), k.cast("long").alias("line")))))
+        both = let(F.flatten(F.transform(parts, met)), lambda lines: F.concat(lines, F.when(F.size(parts) > 1, let(numbered, lambda w: windows(w, lines))).otherwise(F.array().cast(by_template))))
+        return F.transform(both, lambda b: F.struct(b.line.alias("line"), b.label.alias("label"), b.share.alias("share")))
 
     rows = base.select(
         "doc_id",
         "n_words",
         F.when(F.col("has_phrase"), let(tokens(F.col("low")), places)).otherwise(none).alias("places"),
-        F.when(F.col("has_block"), F.flatten(F.transform(F.split("low", "\n"), met))).otherwise(F.array().cast(kind)).alias("blocks"),
+        F.when(F.col("has_block"), let(F.split("low", "\n"), judged)).otherwise(F.array().cast(kind)).alias("blocks"),
     )
     starts = F.transform("places", lambda p: p.start)
     base_labels = F.array_distinct(F.transform("places", lambda p: p.label))

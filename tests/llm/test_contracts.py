@@ -243,6 +243,28 @@ def test_licenses_lower_only_ascii(spark):
     assert got == {1: (12, 0, 1.0), 2: (12, 0, round(11 / 12, 6)), 3: (5, 1, 1.0), 4: (4, 0, 0.0)}
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    docs, want = [], {}
+    for n, (label, texts) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for m, notice in enumerate(texts):
+            for width in (24, 40):
+                lines = textwrap.wrap(notice, width)
+                alike = {x for x, ts in licenses.TEMPLATES.items() for t in ts for b in [set(WORD4.findall(t.lower()))] if len(b & set(WORD4.findall(notice.lower()))) >= 0.8 * len(b)}
+                for style, body in enumerate(["\n".join(" * " + x for x in lines), "import os\nrem some code above\n" + "\n".join("rem " + x for x in lines) + "\nmore code", "\r\n".join(lines)]):
+                    docs.append((10_000 * n + 1000 * m + 10 * width + style, "intro words\n" + body + "\nclosing words of the text"))
+                    want[docs[-1][0]] = (label, alike)
+    far = " \n".join(w for w in licenses.TEMPLATES["bsd"][0].split() for w in (w, *["filler"] * 9))
+    bsd = "\n".join(textwrap.wrap(licenses.TEMPLATES["bsd"][0], 40))
+    docs += [(-1, far), (-2, f"x\n{bsd}\n{'y ' * 60}\n{bsd}\n{licenses.TEMPLATES['bsd'][0]}")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (label, alike) in want.items():
+        assert {label} <= set(got[i].labels.split(",")) <= alike and got[i].score >= 0.8
+    assert got[-1].labels == "" and got[-1].score == 0
+    assert sorted((b.line, b.label, b.share) for b in got[-2].blocks) == [(1, "bsd", 1.0), (2 + bsd.count("\n") + 1, "bsd", 1.0), (2 + 2 * bsd.count("\n") + 2, "bsd", 1.0)]
+
+
 def base_quality(text):
     t = text or ""
     w = SPLIT.findall(t)
