@@ -53,6 +53,23 @@ def test_bm25_golden(spark):
     assert got["ba", 1] == pytest.approx(0.3534859284, rel=1e-6) and got["ba", 5] == pytest.approx(8.3856502e-07)
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_bm25_phrases(spark, stemmed):
+    import math
+
+    docs = spark.createDataFrame([(1, "set retry_count here, retry count there"), (2, "retry the count"), (3, "count retry"), (4, "Retry-Count"), (5, "foo foo foo"), (6, "foo_foo bar"), (7, "x"), (8, "y"), (9, "z"), (10, "w")], "id long, text string")
+    asked = spark.createDataFrame([("snake", "retry_count"), ("twice", "foo_foo"), ("none", "___"), ("both", "retry retry_count")], "qid string, question string")
+    got = {(r.qid, r.id): r.score for r in retrieval.bm25(asked, docs, stemmed).collect()}
+
+    def part(df, tf, length):
+        return math.log((10 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 2.4))
+
+    assert {k for k in got if k[0] in ("snake", "twice", "none")} == {("snake", 1), ("snake", 4), ("twice", 5), ("twice", 6)}
+    assert got["snake", 1] == pytest.approx(part(2, 2, 7)) and got["snake", 4] == pytest.approx(part(2, 1, 2))
+    assert got["twice", 5] == pytest.approx(part(2, 2, 3)) and got["twice", 6] == pytest.approx(part(2, 1, 3))
+    assert got["both", 3] == pytest.approx(part(4, 1, 2)) and got["both", 4] == pytest.approx(part(4, 1, 2) + part(2, 1, 2))
+
+
 def test_anchors_and_hashes(spark):
     cases = [("src/parse.ts#parseAnchor", "src/parse.ts", "parseAnchor"), ("docs/note#2.md#heading", "docs/note#2.md", "heading"), ("src/parse.ts#", "src/parse.ts#", None), ("docs/C#-notes.md", "docs/C#-notes.md", None), ("test/fixtures/issue#123.ts", "test/fixtures/issue#123.ts", None), ("src/a.ts#Class.method", "src/a.ts", "Class.method")]
     got = spark.createDataFrame(cases, "t string, p string, s string").select(anchors.parse_anchor(F.col("t")).alias("a"), "p", "s").collect()
