@@ -68,17 +68,16 @@ def rename_map(changes: DataFrame) -> DataFrame:
     return changes.where("previous_path is not null").groupBy("previous_path").agg(F.max_by("path", "seq").alias("path"))
 
 
-def path_closure(paths: DataFrame, renames: DataFrame, rounds: int = 64) -> DataFrame:
-    """(path, name): each path and all its later names; a frontier stops at names already seen, so rings end."""
+def path_closure(paths: DataFrame, renames: DataFrame) -> DataFrame:
+    """(path, name): each path and all its later names, however many; a frontier stops at names already seen, so rings end."""
     seen = frontier = _cut(paths.select("path", F.col("path").alias("name")).distinct())
     step = renames.select(F.col("previous_path").alias("name"), F.col("path").alias("next"))
-    for _ in range(rounds):
+    while True:
         fresh = frontier.join(step, "name").select("path", F.col("next").alias("name")).distinct()
         frontier = _cut(fresh.join(seen, ["path", "name"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = _cut(seen.unionAll(frontier))
-    return seen
 
 
 def changed_paths(changes: DataFrame) -> DataFrame:

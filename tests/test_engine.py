@@ -92,6 +92,12 @@ def test_chains(spark):
     assert {(r.path, r.name) for r in history.path_closure(ring.select("path"), ring).collect()} == {(x, y) for x in "ab" for y in "ab"}
 
 
+def test_path_closure_of_many_renames(spark):
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(70)], "previous_path string, path string").coalesce(1)
+    start = spark.createDataFrame([("p0",)], "path string")
+    assert {r.name for r in history.path_closure(start, chain).collect()} == {f"p{i}" for i in range(71)}
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path))
     rows = spark.createDataFrame([("a", "t", "o", 0.7), ("b", "t", "o", 0.5)], "id string, task string, observation string, confidence double")
