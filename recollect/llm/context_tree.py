@@ -11,18 +11,21 @@ A document is the sequence of its lower-cased words, joined by spaces and closed
 text and token sequence determine each other, so the score stands beside the unigram base score.
 
 Counts are gathered from all training documents by distributed aggregation, and the model's nodes are weighted by
-joins; the model never passes through the driver. What is broadcast is checked: the most frequent grams with their log
-probabilities, at most max_grams, and the most frequent words, at most max_words. All others, and the grams that
-training never saw, are looked up by shuffle joins, so results are the same at every size.
+joins. Through the driver pass only the most frequent grams with their log probabilities, at most max_grams, and the
+most frequent words, at most max_words, 16 bytes each, which are broadcast. All others, and the grams that training
+never saw, are looked up by shuffle joins, so results are the same at every size.
+
+A Python worker holds that broadcast (24 MB by default), one Arrow batch of BATCH_BYTES, one group of texts of
+GROUP_BYTES with about 100 bytes of arrays for each of their bytes, and, where it counts, up to `most` counted keys
+with about 50 bytes each; the only thing that can exceed this is one text larger than a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lgamma, log, pi
+from math import log, pi
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,21 +34,22 @@ from .text import U, ascii_words, word_hashes
 
 END = U(0x9AE16A3B2F90404F)  # the end's place among the word hashes
 PAD = b"\n"
-_LGAMMA = np.array([lgamma(i + 0.5) for i in range(1 << 12)])
-_LFACT = np.array([lgamma(i + 1) for i in range(1 << 13)])
+#: Bytes of text that a Python worker works on at once, and bytes of the Arrow batches that it gets.
+GROUP_BYTES = 256 << 10
+BATCH_BYTES = 1 << 20
 
 
-def _table(table: np.ndarray, x: np.ndarray, shift: float) -> np.ndarray:
-    """lgamma(x + shift), from the table or by Stirling's series."""
-    small = table[np.minimum(x, len(table) - 1).astype(np.int64)]
-    z = np.maximum(x + shift, 1.0)
-    return np.where(x < len(table), small, (z - 0.5) * np.log(z) - z + 0.5 * log(2 * pi) + 1 / (12 * z) - 1 / (360 * z**3))
+def _lgamma(z: Column) -> Column:
+    """lgamma of z > 0, by Stirling's series eight steps up, where its error is below 1e-11."""
+    y, steps = z + 8.0, z
+    for i in range(1, 8):
+        steps = steps * (z + float(i))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - F.ln(steps)
 
 
-def log_kt(n0: pd.Series, n1: pd.Series) -> pd.Series:
+def log_kt(n0: Column, n1: Column) -> Column:
     """ln of the Krichevsky-Trofimov block probability of n0 zeros and n1 ones."""
-    a, b = n0.to_numpy(np.float64), n1.to_numpy(np.float64)
-    return pd.Series(_table(_LGAMMA, a, 0.5) + _table(_LGAMMA, b, 0.5) - _table(_LFACT, a + b, 1.0) - log(pi))
+    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - log(pi)
 
 
 def _codes(docs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +66,7 @@ def _codes(docs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[at], size
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[list[bytes]]]]:
+def _groups(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Iterator[tuple[list, list[list[bytes]]]]:
     rows, words, total = [], [], 0
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
@@ -86,7 +90,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n, first) if len(key) else n
 
 
-def _count(depth: int, most: int = 3_000_000):
+def _count(depth: int, most: int = 1_000_000):
     """kind 0: (depth + 1)-grams, 1: words; summed within a task until it holds `most` of them."""
 
     def run(batches):
@@ -119,12 +123,11 @@ def _count(depth: int, most: int = 3_000_000):
 def build_nodes(grams: DataFrame, depth: int, scratch: Scratch) -> list[DataFrame]:
     """For each depth a table (key, p): key = context << 8 | place of the decision, p the mixed probability of a one."""
     levels: list[DataFrame] = []
-    kt = F.pandas_udf(log_kt, "double")
     for d in range(depth, -1, -1):  # counts, and ln P_w bottom up
         bits = grams.select(F.expr(f"((key >> 8) & {(1 << 8 * d) - 1}L)").alias("ctx"), F.expr("cast(key & 255 as int)").alias("byte"), "n").groupBy("ctx", "byte").agg(F.sum("n").alias("n"))
         bits = bits.select("ctx", "byte", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
         bits = bits.select(F.expr("(ctx << 8) | ((1 << i) | (byte >> (8 - i)))").alias("key"), F.expr("(byte >> (7 - i)) & 1").alias("bit"), "n")
-        node = bits.groupBy("key").agg(F.expr("sum(if(bit = 0, n, 0L))").alias("n0"), F.expr("sum(if(bit = 1, n, 0L))").alias("n1")).withColumn("pe", kt("n0", "n1"))
+        node = bits.groupBy("key").agg(F.expr("sum(if(bit = 0, n, 0L))").alias("n0"), F.expr("sum(if(bit = 1, n, 0L))").alias("n1")).withColumn("pe", log_kt(F.col("n0"), F.col("n1")))
         if levels:
             up = F.expr(f"(((key >> 8) & {(1 << 8 * d) - 1}L) << 8) | (key & 255)")
             below = levels[-1].groupBy(up.alias("key")).agg(F.sum("pw").alias("pc"))
@@ -238,7 +241,7 @@ def _sorted_arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     return key[order], v[order]
 
 
-def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold: int = 1, max_grams: int = 2_000_000, max_words: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold: int = 1, max_grams: int = 1_000_000, max_words: int = 500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
 
     The model learns from the rows whose crc32(doc_id as text) mod folds is not held_fold; a null doc_id is in no fold
@@ -249,7 +252,7 @@ def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold:
     spark = docs.sparkSession
     scratch = Scratch(spark, "context-tree")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(f"crc32(cast(doc_id as string)) % {folds} = {held_fold}"), F.lit(False)).alias("held_out"), "text")
-    counts = scratch.keep(docs.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.keep(docs.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts", BATCH_BYTES)
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     nodes = build_nodes(grams, depth, scratch)
     seen = scratch.keep(seen_scores(grams, nodes).join(grams, "key"), "seen")
@@ -261,7 +264,7 @@ def score_documents(docs: DataFrame, depth: int = 5, folds: int = 5, held_fold:
     common = spark.sparkContext.broadcast(frequent)
     del frequent
     scored = docs.mapInArrow(_score(depth, common, log_n), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, missing array<long>")
-    out = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    out = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored", BATCH_BYTES)
     common.unpersist()
 
     rare = out.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least_word), "key", "left")

@@ -24,8 +24,8 @@ from .scratch import Scratch
 from .text import U, ascii_words, mix, shingles, word_hashes
 
 MAX = U(0xFFFFFFFFFFFFFFFF)
-#: Whole texts that a Python worker holds at once.
-BATCH_ROWS = 1000
+#: Bytes of the Arrow batches of whole texts that a Python worker gets.
+BATCH_BYTES = 2 << 20
 
 
 def fast_similarity_sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = scratch.keep(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches", BATCH_ROWS)
+    sig = scratch.keep(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches", BATCH_BYTES)
     some = sig.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.keep(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
 
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     stars = ranked.join(pivot, "key").select(F.expr("-p.by").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).where("a <> b").where(fits("na", "nb")).select("a", "b").distinct()
 
     members = buckets.select("rep").distinct()
-    sets = scratch.keep(docs.join(members, docs.doc_id == members.rep, "left_semi").mapInArrow(_full_sets(k), "rep long, items array<long>").distinct(), "sets", BATCH_ROWS)
+    sets = scratch.keep(docs.join(members, docs.doc_id == members.rep, "left_semi").mapInArrow(_full_sets(k), "rep long, items array<long>").distinct(), "sets", BATCH_BYTES)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
