@@ -6,9 +6,14 @@ keeps its smallest (round, hash), so each of the t coordinates is filled after a
 Documents with equal shingle sets become one class first, so copies never meet in pairs. Classes that agree on a band
 share a bucket. A bucket emits no pairs of its own: every member is held against the bucket's most central member only
 (linear), and what is linked contracts into components. For buckets that still hold several components, the members are
-joined exactly: rarest-first prefixes of the full sets with length and positional filters, across components only. A
-link is lost only if a pair agrees on no band at all, which at the threshold has probability (1 - s^rows)^bands, 5e-8
-by default.
+joined exactly: rarest-first prefixes of the full sets with length and positional filters, across components only. The
+smaller set of a pair offers the short prefix that it needs as the smaller one, the larger set asks with the long one;
+so texts that share a core and differ too much in the rest do not meet at all. A link is lost only if a pair agrees on
+no band at all, which at the threshold has probability (1 - s^rows)^bands, 5e-8 by default.
+
+Hot shingles: those that more than one row in SPLIT holds are at most SPLIT, so what is known of them is broadcast, and
+their rows are dealt in blocks of BLOCK, each block of askers against each block of offers as a key of its own. All
+other shingles are too rare to weigh on a task.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ from .text import U, ascii_words, mix, shingles, word_hashes
 MAX = U(0xFFFFFFFFFFFFFFFF)
 #: Bytes of the Arrow batches of whole texts that a Python worker gets.
 BATCH_BYTES = 2 << 20
+#: Shingles held by more than one of SPLIT rows are hot; there are at most SPLIT of them.
+SPLIT = 5000
+#: Rows of a hot shingle in one block.
+BLOCK = 512
 
 
 def fast_similarity_sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -127,6 +136,53 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     return scratch.keep(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots), f"{name}-out")
 
 
+def _asked(n: str, percent: int) -> str:
+    """How many of its rarest tokens a set of n must look at to meet every smaller set that it is linked with."""
+    return f"{n} - ({percent} * {n} + 99) div 100 + 1"
+
+
+def _offered(n: str, percent: int) -> str:
+    """How many of its rarest tokens a set of n must show to be met by every set at least as large that it is linked with."""
+    return f"{n} - ({2 * percent} * {n} + {99 + percent}) div {100 + percent} + 1"
+
+
+def _with_frequency(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
+    """tokens (h, ...) with the df of frequency (h, df); rows of hot tokens stay where they are."""
+    limit = _hot(tokens)
+    hot = F.broadcast(frequency.where(F.col("df") > limit))
+    rest = tokens.join(hot.select("h"), "h", "left_anti")
+    return tokens.join(hot, "h").unionByName(rest.join(frequency.where(F.col("df") <= limit), "h"))
+
+
+def _hot(rows: DataFrame) -> int:
+    """The count that at most SPLIT keys of these rows exceed."""
+    return rows.count() // SPLIT
+
+
+def candidates(prefix: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of different comp that pass all filters, from the rows (rep, n, comp, h, pos) of the long prefixes.
+
+    A pair of sizes m <= n shares at least percent / (100 + percent) * (m + n) tokens if it is linked. So it shares one
+    that lies in the long prefix of the larger set and the short prefix of the smaller one; equal sizes go by rep. Keys
+    are the token, the larger set's length class (a factor of 100 / percent each) and the two blocks.
+    """
+    limit = _hot(prefix)
+    held = scratch.keep(prefix.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c"), "met")
+    hot = F.broadcast(held.where(F.col("c") > limit).select("h", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("blocks")))
+    cold = held.where(F.col("c") <= limit).select("h", F.lit(1).cast("long").alias("blocks"))
+    rows = prefix.join(hot, "h").unionByName(prefix.join(hot.select("h"), "h", "left_anti").join(cold, "h"))
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    # A set and one of at most 100 / percent times its size lie in the same or the next class.
+    rows = rows.withColumn("length", F.floor(F.ln("n") / F.ln(F.lit(100 / percent)) + 1e-9))
+    named = lambda s: [F.col(c).alias(c + s) for c in ("rep", "n", "comp", "pos")]
+    asked = rows.select("h", "length", F.col("own").alias("x"), F.col("other").alias("y"), *named("_a"))
+    offered = rows.where(f"pos <= {_offered('n', percent)}").withColumn("length", F.explode(F.array("length", F.col("length") + 1)))
+    offered = offered.select("h", "length", F.col("other").alias("x"), F.col("own").alias("y"), *named("_b"))
+    pairs = asked.join(offered, ["h", "length", "x", "y"]).where("(n_b < n_a or (n_b = n_a and rep_b < rep_a)) and comp_a <> comp_b").where(f"100 * n_b >= {percent} * n_a")
+    pairs = pairs.where(f"(100 + {percent}) * (1 + least(n_a - pos_a, n_b - pos_b)) >= {percent} * (n_a + n_b)")
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text; further columns are ignored).
 
@@ -164,25 +220,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     rest = scratch.keep(held.join(mixed, "key", "left_semi").select("rep", "n", "comp").distinct(), "rest")
     tokens = scratch.keep(rest.join(sets, "rep").select("rep", "n", "comp", F.explode("items").alias("h")), "tokens")
-    frequency = tokens.groupBy("h").agg(F.count("*").alias("df"))
+    frequency = scratch.keep(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
     # Tokens of one member only stand first in its order and meet nobody; they are counted, not ranked.
-    shared = tokens.join(frequency.where("df > 1"), "h")
+    shared = _with_frequency(tokens, frequency)
     of_rep = Window.partitionBy("rep")
     ranked_tokens = shared.select("rep", "n", "comp", "h", F.row_number().over(of_rep.orderBy("df", "h")).alias("r"), F.count("*").over(of_rep).alias("m"))
-    prefix = scratch.keep(ranked_tokens.select("rep", "n", "comp", "h", F.expr("n - m + r").alias("pos")).where(f"pos <= n - ceil({percent} * n / 100) + 1"), "prefix")
-    across = prefix.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    met = prefix.join(across, "h", "left_semi")
-    as_ = lambda s: met.select("h", *(F.col(c).alias(c + s) for c in ("rep", "n", "comp", "pos")))
-    pairs = as_("_a").join(as_("_b"), "h").where("rep_a < rep_b and comp_a <> comp_b").where(fits("n_a", "n_b"))
-    pairs = pairs.where(f"(100 + {percent}) * (1 + least(n_a - pos_a, n_b - pos_b)) >= {percent} * (n_a + n_b)")
-    links = verified(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
+    prefix = scratch.keep(ranked_tokens.select("rep", "n", "comp", "h", F.expr("n - m + r").alias("pos")).where(f"pos <= {_asked('n', percent)}"), "prefix")
+    pairs = candidates(prefix, percent, scratch)
+    links = verified(pairs)
     label = rest.select("rep", "comp").distinct()
     lifted = links.join(label.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
     second = connected_components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, "rest")
 
     named = reps.join(first, reps.rep == first.node, "left").select("s1", "s2", F.coalesce("comp", "rep").alias("c1"))
     named = scratch.keep(named.join(second, named.c1 == second.node, "left").select("s1", "s2", F.coalesce("comp", "c1").alias("component_id")), "named")
-    for name in ("buckets", "sets", "tokens", "prefix", "rest", "star-out", "rest-out", "classes"):
+    for name in ("buckets", "sets", "tokens", "frequency", "prefix", "met", "rest", "star-out", "rest-out", "classes"):
         scratch.drop(name)
     linked = some.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

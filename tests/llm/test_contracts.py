@@ -100,6 +100,33 @@ def test_near_duplicate_cloud(spark):
     assert got == comp
 
 
+def test_near_duplicate_candidates(spark, monkeypatch):
+    """Texts with a common core, none linked, meet in no pair; blocks and hot shingles change no result."""
+    import random
+
+    from recollect.llm.scratch import Scratch
+
+    def candidates(n):
+        # 67 of 76 tokens are common to all, so any two have 67 / 85; the long prefixes of 16 reach into the core.
+        rows = [(i, 76, i, 10_000 + j, j) for i in range(n) for j in range(10, 17)]
+        prefix = spark.createDataFrame(rows, "rep long, n long, comp long, h long, pos long")
+        return near_dedup.candidates(prefix, 80, Scratch(spark, "test")).count()
+
+    assert candidates(500) == 0 and candidates(2000) == 0
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choice([w, w, w, w, w, w, w, w, w, f"e{rng.randrange(40)}"]) for w in base[rng.randrange(6) :])) for i in range(400)]
+    sets = [(i, shingle_set(t, 1)) for i, t in texts]
+    links = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if 100 * len(s & t) >= 80 * len(s | t)]
+    comp = components(range(400), links)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    for split in (10, 5000):
+        monkeypatch.setattr(near_dedup, "SPLIT", split)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), k=1).collect()}
+        assert got == comp
+
+
 def test_keep_one_of_each(docs):
     out = near_dedup.keep_one_of_each(docs)
     assert out.columns == docs.columns
