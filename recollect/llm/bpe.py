@@ -1,8 +1,10 @@
 """Byte-level BPE with the tokenizers library: encoding, offsets, decoding.
 
-A text is cut at single spaces between non-spaces, where the public pattern always cuts too; what lies between is
-remembered with its ids, so that the pattern and the library's merges run once for each distinct stretch. The memory is
-bounded: two generations of at most MEMO entries each.
+A text is cut at single spaces between non-spaces, where the public pattern always cuts too (a pattern that fails a
+trial of this gets whole texts); what lies between is remembered with its ids, so that the pattern and the library's
+merges run once for each distinct stretch. The memory is bounded: two generations of at most MEMO entries of at most
+LONGEST characters each. Strings of the tokenizer's added tokens are ordinary text, as the vocabulary files' own description has it: no
+document can bring in a token that ends one.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ import regex
 from tokenizers import Tokenizer, models
 
 MEMO = 400_000
+LONGEST = 48
+#: Ends and beginnings of words with which a pattern is tried.
+TRIAL = ["a", "Z", "\u00e9t\u00e9", "12", "\u00b2", "!?", "'s", "_", "-", "\u4e2d\u6587", "\U0001f600", "\u0301", "\x00"]
 
 
 def byte_table() -> list[str]:
@@ -55,6 +60,8 @@ class Codec:
 
     def __init__(self, model: models.BPE, vocabulary: dict[str, int], pattern: str):
         self.model, self.find = model, regex.compile(pattern).findall
+        self.cuts = all(self.find(f"{a} {b}") == self.find(a) + self.find(f" {b}") for a in TRIAL for b in TRIAL)
+        self.letters = self.find(" abcxyzABCXYZ") == [" abcxyzABCXYZ"]
         table = byte_table()
         self.to_chars = str.maketrans({chr(b): table[b] for b in range(256)})
         back = {ord(c): b for b, c in enumerate(table)}
@@ -67,7 +74,7 @@ class Codec:
 
     @classmethod
     def from_json(cls, path: str, pattern: str) -> Codec:
-        """The library's own file; special tokens' strings in a text are ordinary text."""
+        """The library's own file; the strings of added tokens are ordinary text (the library's encode_special_tokens)."""
         t = Tokenizer.from_file(path)
         return cls(t.model, t.get_vocab(with_added_tokens=False), pattern)
 
@@ -93,6 +100,8 @@ class Codec:
         return found
 
     def _remember(self, key: str, ids: bytes) -> None:
+        if len(key) > LONGEST:
+            return
         if len(self.young) >= MEMO:
             self.old, self.young = self.young, {}
         self.young[key] = ids
@@ -105,7 +114,7 @@ class Codec:
         out = self._recall(key)
         if out is None:
             # The public pattern takes a space and letters whole.
-            pieces = () if key[0] == " " and key[1:].isalpha() and key.isascii() else self.find(key)
+            pieces = () if self.letters and key[0] == " " and key[1:].isalpha() and key.isascii() else self.find(key)
             if len(pieces) < 2:
                 out = self._piece(key)
             else:
@@ -121,6 +130,8 @@ class Codec:
         return out
 
     def _stretches(self, text: str) -> list[str]:
+        if not self.cuts:
+            return [text]
         parts = text.split(" ")
         out, held = [], parts[0]
         for part in parts[1:]:

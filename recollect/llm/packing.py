@@ -1,6 +1,7 @@
 """Packing into sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into whole sequences and a tail, the tail into pieces of at most max_piece ids. The pieces of
+A document's ids are cut into whole sequences and a tail, which stays whole, so a document that fits a sequence is
+never cut (a max_piece below the capacity cuts tails, for fuller sequences). The tails of
 about `windows` sequences form a block. Differencing starts with one partial partition for each piece, all other
 windows empty, and keeps merging the two of largest spread, the fullest windows of one onto the emptiest of the other,
 until one partition is left, with near-equal windows. Where one exceeds the capacity, the number of windows rises by
@@ -122,12 +123,13 @@ def _pack(path: str, pattern: str, end: int, capacity: int, max_piece: int, wind
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end: int = 1, capacity: int = 2048, max_piece: int = 256, windows: int = 64, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end: int = 1, capacity: int = 2048, max_piece: int | None = None, windows: int = 64, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): its place in the document and in its sequence.
 
-    A null or empty text is the end id alone. A null doc_id stays null. Repeated rows are packed each. sequence_id is
+    A null or empty text is the end id alone; the string of an added token is ordinary text. A null doc_id stays null. Repeated rows are packed each. sequence_id is
     the task's number in the upper bits and a count in the lower 32. ids holds the piece's ids (little-endian unsigned
     32-bit) if with_ids is set. An empty table gives an empty result.
     """
+    max_piece = capacity if max_piece is None else max_piece
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(path, pattern, end, capacity, max_piece, windows, with_ids), kind)
