@@ -2,7 +2,8 @@
 
 A sketch keeps every shingle hash in the lowest 1/scale of the hash range, whatever the document's size, so sketches of
 parts merge into the sketch of the whole and containment between very unequal documents can be estimated. A text whose
-shingles all lie above the threshold keeps its smallest hash, so that no text with words is without a fingerprint.
+shingles all lie above the threshold keeps its smallest hash alone, so that no text with words is without a fingerprint;
+merging drops that one as soon as another part has hashes below the threshold.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ def let(value: Column, body) -> Column:
 def sketch(text: Column, k: int = 5, scale: int = 8) -> Column:
     """Sorted distinct signed 64-bit hashes that lie in the lowest 1/scale of the range; null text: no hashes."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    limit = -(2**63) + 2**64 // scale
 
     def hashes(w: Column) -> Column:
         windows = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(*(F.element_at(w, i + j) for j in range(k))))
         return F.when(F.size(w) >= k, windows).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
-    def low(h: Column) -> Column:
-        return let(F.filter(h, lambda x: x < limit), lambda x: F.when((F.size(x) > 0) | (F.size(h) == 0), F.sort_array(F.array_distinct(x))).otherwise(F.array(F.array_min(h))))
+    return let(words, lambda w: let(hashes(w), lambda h: _low(h, scale)))
+
 
-    return let(words, lambda w: let(hashes(w), low))
+def _low(hashes: Column, scale: int) -> Column:
+    """The distinct hashes in the lowest 1/scale of the range, else the smallest."""
+    limit = -(2**63) + 2**64 // scale
+    return let(F.filter(hashes, lambda x: x < limit), lambda x: F.when((F.size(x) > 0) | (F.size(hashes) == 0), F.sort_array(F.array_distinct(x))).otherwise(F.array(F.array_min(hashes))))
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -37,8 +40,9 @@ def fingerprint(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, F.hex), ",")
 
 
-def merge(a: Column, b: Column) -> Column:
-    return F.sort_array(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = 8) -> Column:
+    """The sketch of all shingles of two parts, from the parts' sketches of the same scale."""
+    return let(F.array_union(a, b), lambda h: _low(h, scale))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -51,23 +55,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest(containment(a, b), containment(b, a)), F.lit(0.0)))
 
 
-def with_next(docs: DataFrame, scratch: Scratch, carry: dict[str, Column], width: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, scratch: Scratch, carry: dict[str, Column], most: int = 512) -> DataFrame:
     """doc_id, text, the carried columns, and next: a struct of the next document's text and carried columns.
 
     The next document is that of the next doc_id; after the last comes the first. Order is found inside stretches of
-    `width` ids, and the first document of each stretch is also sent to the stretch before: texts move once, and no
-    task sorts more than a stretch. Equal ids are ordered by text; rows without an id come first, by a hash of the text.
+    ids, as wide as `most` documents take on average, and the first document of each stretch is also sent to the
+    stretch before: texts move once, and no task sorts more than a stretch. Stretches are put in order by range
+    partitions, of which only the ends meet in one task. Equal ids are ordered by text; rows without an id come first,
+    by a hash of the text.
     """
-    at = F.coalesce(F.floor(F.col("doc_id") / width), F.lit(-(2**62)) + F.pmod(F.xxhash64("text"), F.lit(2**20)))
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    width = max(most, (high - low + 1) * most // n) if n else most
+    at = F.coalesce(F.floor(F.col("doc_id") / F.lit(float(width))), F.lit(-(2**62)) + F.pmod(F.xxhash64("text"), F.lit(2**20)))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", at)
-    firsts = scratch.keep(docs.groupBy("at").agg(F.min("doc_id").alias("first_id")), "firsts")
-    # The stretch before each stretch: inside groups of stretches, then between the groups' ends.
-    span = 4096
-    groups = firsts.withColumn("g", F.floor(F.col("at") / span))
-    ends = groups.groupBy("g").agg(F.max("at").alias("last"))
-    over = ends.select("g", F.lag("last").over(Window.orderBy("g")).alias("before"))
+    ordered = docs.groupBy("at").agg(F.min("doc_id").alias("first_id")).repartitionByRange("at")
+    firsts = scratch.keep(ordered.withColumn("part", F.spark_partition_id()), "firsts")
+    ends = firsts.groupBy("part").agg(F.max("at").alias("last"))  # a row for each partition
+    over = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
     last = ends.agg(F.max("last").alias("wrap"))
-    chain = groups.withColumn("p", F.lag("at").over(Window.partitionBy("g").orderBy("at"))).join(over, "g").crossJoin(F.broadcast(last))
+    chain = firsts.withColumn("p", F.lag("at").over(Window.partitionBy("part").orderBy("at"))).join(F.broadcast(over), "part").crossJoin(F.broadcast(last))
     chain = scratch.keep(chain.select(F.col("at").alias("c_at"), F.col("first_id"), F.coalesce("p", "before", "wrap").alias("prev")), "chain")
     told = docs.join(chain, (docs.at == chain.c_at) & docs.doc_id.eqNullSafe(chain.first_id), "left")
     told = told.select("doc_id", "text", F.explode(F.when(F.col("prev").isNotNull(), F.array(F.struct("at", F.lit(False).alias("extra")), F.struct(F.col("prev").alias("at"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct("at", F.lit(False).alias("extra"))))).alias("to"))
