@@ -10,7 +10,7 @@ escaped, after which no control string is left in it and the codes resolve to th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .fingerprints import let
 
@@ -74,23 +74,39 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
 
 
+def _pieces(formatted: Column) -> Column:
+    """The turns as they stand in the formatted text, each without its closing string."""
+    pieces = F.split(formatted, r"</turn>\n", -1)
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def _mask(piece: Column, learned: str) -> Column:
+    """(own, at): whether the loss mask covers a piece's text, and after how many code points that begins."""
+    at = F.locate(SEP, piece)
+    own = unescape(F.substr(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)) == learned
+    return F.struct(own.alias("own"), (at + len(SEP) - 1).alias("at"))
+
+
 def conversation_digest(turns: DataFrame, learned: str = "assistant") -> DataFrame:
-    """Digests of the turns and of the text under the loss mask, read back from the formatted conversations."""
+    """Digests of the turns and of the text under the loss mask, read back from the formatted conversations.
+
+    Nulls, ties, repeated rows and empty tables are as in format_conversations().
+    """
     done = format_conversations(turns)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == learned), lambda t: t.text), "")
+    masked = F.transform(_pieces(F.col("formatted")), lambda p: F.struct(p.alias("p"), _mask(p, learned).alias("m")))
+    loss = F.array_join(F.transform(F.filter(masked, lambda x: x.m.own), lambda x: unescape(F.substr(x.p, x.m.at + 1))), "")
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    rows = done.select("conv_id", "formatted", "turns", loss.alias("loss"))
+    return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
 def loss_spans(formatted: DataFrame, learned: str = "assistant") -> DataFrame:
-    """conv_id and spans: the places (start, end, in code points of formatted) that the loss mask covers."""
-    pieces = F.split("formatted", r"</turn>\n", -1)
+    """conv_id and spans: the places (start, end, in code points of formatted) that the loss mask covers.
 
-    def step(acc: Column, p: Column) -> Column:
-        at = F.locate(SEP, p)
-        own = unescape(F.substr(p, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)) == learned
-        span = F.array(F.struct((acc.at + at + len(SEP) - 1).alias("start"), (acc.at + F.char_length(p)).alias("end")))
-        return F.struct((acc.at + F.char_length(p) + len(CLOSE)).alias("at"), F.when(own, F.concat(acc.out, span)).otherwise(acc.out).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return formatted.select("conv_id", let(pieces, lambda ps: F.aggregate(F.slice(ps, 1, F.size(ps) - 1), zero, step).out).alias("spans"))
+    formatted: (conv_id, formatted), one row for each conversation; a null or empty text has no spans.
+    """
+    each = formatted.select("conv_id", F.posexplode_outer(_pieces(F.coalesce("formatted", F.lit("")))).alias("n", "p"))
+    before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("base", F.coalesce(F.sum(F.char_length("p") + len(CLOSE)).over(before), F.lit(0))).withColumn("m", _mask(F.col("p"), learned))
+    span = F.struct((F.col("base") + F.col("m.at")).cast("int").alias("start"), (F.col("base") + F.char_length("p")).cast("int").alias("end"))
+    return each.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("m.own"), span))).alias("spans"))
