@@ -1,8 +1,10 @@
 """URL filters: rules by host and path, and a list of canonical URLs behind a blocked Bloom filter, in DataFrame functions only.
 
 The filter is a table of 64-bit blocks: a URL's hash names a block and four bits in it, so that a probe reads one
-block. Pages whose bits are all set are possible hits; only they go into an exact join with the list, which removes the
-false positives. Blocks number a power of two in proportion to the list.
+block. Blocks number a power of two in proportion to the list, and at most MOST_BLOCKS, which bounds what is broadcast.
+Pages are probed where they are; those whose bits are all set are possible hits, and they alone are shuffled, into an
+exact join with the list, which removes the false positives. A list too long for MOST_BLOCKS makes the filter fuller,
+so more pages go into the exact join; the result is the same.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from .scratch import Scratch
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: Blocks of the filter at most: 1 << 20 rows of 16 bytes, enough for some ten million URLs.
+MOST_BLOCKS = 1 << 20
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host, A-Z lower-cased, after the first :// up to / ? # or the end; the path from there up to ? # or the end."""
     rest = F.when(F.contains(url, F.lit("://")), F.substr(url, F.locate("://", url) + 3))
@@ -63,25 +69,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     """
     scratch = Scratch(pages.sparkSession, "urls")
     listed = scratch.keep(listed.where("url is not null").select("url").distinct(), "listed")
-    blocks = 1 << max(6, (max(1, listed.count()) // 4).bit_length())
+    blocks = min(MOST_BLOCKS, 1 << max(6, (max(1, listed.count()) // 4).bit_length()))
     bloom = scratch.keep(bloom_filter(listed, blocks), "bloom")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), canonical(F.col("url")).alias("canon"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     block, mask = _place(F.col("canon"), blocks)
-    # Rows with nothing to look up get keys that match nothing, dealt evenly.
-    spread = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20))
-    probed = rows.withColumn("at", F.coalesce(F.when(F.col("ruled").isNull(), block), -1 - spread)).withColumn("mask", mask)
-    probed = probed.join(bloom, F.col("at") == F.col("block"), "left")
-    possible = F.when(F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)), F.col("canon"))
-    probed = probed.select("page_id", "host", "path", "rule", "ruled", F.coalesce(possible, F.concat(F.lit("?"), spread.cast("string"))).alias("possible"))
-    exact = listed.select(F.col("url").alias("hit"))
-    return probed.join(exact, F.col("possible") == F.col("hit"), "left").select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.coalesce("ruled", F.when(F.col("hit").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        F.when(F.col("ruled").isNotNull(), "rule").when(F.col("hit").isNotNull(), "list").otherwise("none").alias("by"),
-    )
+    open_ = verdict.isNull() & F.col("canon").isNotNull()
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "canon", F.when(open_, block).alias("block"), mask.alias("mask"))
+    probed = rows.join(F.broadcast(bloom), "block", "left")  # at most MOST_BLOCKS rows
+    probed = probed.withColumn("possible", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
+    told = lambda df, verdict, by: df.select("page_id", "host", "path", "rule", verdict.alias("verdict"), by.alias("by"))
+    hit = F.col("hit").isNotNull()
+    exact = probed.where("possible").join(listed.select(F.col("url").alias("hit")), F.col("canon") == F.col("hit"), "left")
+    exact = told(exact, F.when(hit, "block").otherwise("allow"), F.when(hit, "list").otherwise("none"))
+    return told(probed.where("not possible"), F.coalesce("ruled", F.lit("allow")), F.when(F.col("ruled").isNotNull(), "rule").otherwise("none")).unionAll(exact)
