@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings, in DataFrame functions only.
 
 A candidate is a run of at least `window` characters of one class (hexadecimal, or letters, digits and +/_-). A window
-slides over it; counts of each character are kept and changed by the one that enters and the one that leaves, and with
-them the sum of n log2 n, from which the entropy follows. A candidate whose best window reaches the class's threshold
+slides over it; the counts of the character that enters and of the one that leaves change, and with them the sum of
+n log2 n, from which the entropy follows. A candidate whose best window reaches the class's threshold
 is a span, unless the allow list names it: a place holder, an identifier in UUID form, a run without both letters and
 digits, or what the caller lists.
 """
@@ -55,19 +55,18 @@ def window_entropy(s: Column, window: int) -> Column:
     terms = F.array(*(F.lit(0.0 if n < 2 else n * log2(n)) for n in range(window + 2)))
 
     def _fold(codes: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("low"))
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1e9).alias("low"))
 
         def step(acc: Column, i: Column) -> Column:
             enter = F.element_at(codes, i)
             leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-            same = enter == leave
-            n_in = F.element_at(acc.n, enter + 1)
-            n_out = F.element_at(acc.n, F.greatest(leave, F.lit(0)) + 1)
-            more = F.when(same, F.lit(0.0)).otherwise(F.element_at(terms, n_in + 2) - F.element_at(terms, n_in + 1))
-            less = F.when(same | (leave < 0), F.lit(0.0)).otherwise(F.element_at(terms, n_out + 1) - F.element_at(terms, F.greatest(n_out, F.lit(1))))
-            total = acc.sum + more - less
-            counts = F.transform(acc.n, lambda v, k: F.when(same, v).when(k == enter, v + 1).when(k == leave, v - 1).otherwise(v))
-            return F.struct(counts.alias("n"), total.alias("sum"), F.when(i >= window, F.least(acc.low, total)).otherwise(acc.low).alias("low"))
+            held = F.slice(codes, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))  # the window before
+            count = lambda x: F.size(F.filter(held, lambda c: c == x))
+            n_in, n_out = count(enter), count(leave)
+            more = F.element_at(terms, n_in + 2) - F.element_at(terms, n_in + 1)
+            less = F.element_at(terms, n_out + 1) - F.element_at(terms, F.greatest(n_out, F.lit(1)))
+            total = acc.sum + F.when(enter == leave, 0.0).otherwise(more - F.when(leave < 0, 0.0).otherwise(less))
+            return F.struct(total.alias("sum"), F.when(i >= window, F.least(acc.low, total)).otherwise(acc.low).alias("low"))
 
         low = F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step).low
         return F.when(F.size(codes) >= window, F.lit(log2(window)) - low / window).otherwise(F.lit(0.0))
