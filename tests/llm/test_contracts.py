@@ -378,7 +378,7 @@ def test_redact(docs, spark):
 @pytest.fixture(scope="module")
 def hf():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # as the vocabulary files are described: ordinary text
     return t
 
 
@@ -403,6 +403,19 @@ def test_codec_on_odd_texts(hf):
         assert len(spans) == len(own) // 4 and all(0 <= a < b <= len(text) for a, b in spans)
 
 
+def test_codec_memory_and_patterns(hf):
+    c = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    long = [f"{i}" + "z" * 20_000 for i in range(50)]
+    for text in long:
+        c.encode(text)
+    assert c.cuts and c.letters and sum(map(len, c.young)) < 5000
+    a = c.encode("a <|endoftext|> b<|endoftext|>")
+    assert 50256 not in memoryview(a).cast("I") and c.decode(a) == b"a <|endoftext|> b<|endoftext|>"
+    whole = bpe.Codec.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\S+\s\S+|\s|\S+")  # takes words in pairs
+    own = tiktoken.Encoding("pairs", pat_str=r"\S+\s\S+|\s|\S+", mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert not whole.cuts and list(memoryview(whole.encode("one two three four")).cast("I")) == own.encode_ordinary("one two three four")
+
+
 def test_encoding(docs, rows):
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     import numpy as np
@@ -500,15 +513,113 @@ def test_urls(spark):
     assert probe(members) == 5000 and probe(spark.range(5000, 10000).select(F.concat(F.lit("u"), "id").alias("url"))) < 1500
 
 
+def quality_by_hand(rows, cut=60.0, share=0.75, steps=4, least_rows=50):
+    """judge_quality() of (doc_id, text, lang, source) by numpy: medians and quartiles, concentration steps, distances."""
+    import numpy as np
+
+    base = [base_quality(t) for _, t, *_ in rows]
+    passed = [not (b[0] < 10 or 100 * b[4] > 20 * b[0]) for b in base]
+    half_up = lambda x: math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
+    x = np.array([[half_up(1000 * v) for v in (math.log(n + 1), math.log(1 + c / (n + 1)), math.log(1 + s * 1000 / (c + 1)), math.log(1 + d * 1000 / (n + 1)))] for n, c, s, d, _ in base], float)
+    floor2 = np.diag(np.array(quality.FLOOR) ** 2)
+    scale = quality._consistency(share)
+
+    def estimate(m):
+        n = len(m)
+        at = lambda q, j: np.sort(np.floor(m[:, j] / 20))[math.ceil(n * q) - 1] * 20
+        mean = np.array([at(0.5, j) + 10 for j in range(4)])
+        cov = np.diag([((at(0.75, j) - at(0.25, j)) / 1.349) ** 2 for j in range(4)]) + floor2
+        for _ in range(steps):
+            d2 = np.einsum("ij,jk,ik->i", m - mean, np.linalg.inv(cov), m - mean)
+            b = np.minimum(np.floor(np.log2(d2 + 1) * 16), quality.BINS)
+            before = np.array([(b < v).sum() for v in b])
+            near = m[before < math.ceil(n * share)]
+            mean = near.mean(axis=0)
+            cov = ((near.T @ near) / len(near) - np.outer(mean, mean)) * scale + floor2
+        return mean, cov
+
+    groups = collections.defaultdict(list)
+    for i, (_, _, lang, source) in enumerate(rows):
+        if passed[i]:
+            groups[lang, source].append(i)
+    whole = estimate(x[[i for own in groups.values() for i in own]])
+    out = []
+    of = {g: estimate(x[own]) if len(own) >= least_rows else whole for g, own in groups.items()}
+    for i, (_, _, lang, source) in enumerate(rows):
+        mean, cov = of.get((lang, source), whole)
+        d2 = (x[i] - mean) @ np.linalg.inv(cov) @ (x[i] - mean)
+        out.append((passed[i] and d2 <= cut, d2))
+    return out
+
+
+def test_quality_by_hand(spark, tiny):
+    got = {r.doc_id: r for r in quality.judge_quality(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    for least in (50, 8):
+        got = {r.doc_id: r for r in quality.judge_quality(spark.read.parquet(f"{tiny}/documents.parquet"), least_rows=least).collect()}
+        for (i, *_), (kept, d2) in zip(rows, quality_by_hand(rows, least_rows=least)):
+            assert got[i].distance == pytest.approx(d2, rel=1e-6) and (got[i].kept == kept or abs(d2 - 60) < 1e-3), i
+
+
 def test_pipeline(spark, tiny):
+    """Every stage against brute force on what the stage before kept, and the ids of the product against the texts."""
     import corpus_pipeline
+    import numpy as np
 
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "secrets", "packing"]
-    at = docs
-    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, at, tiny)
-        if n < 3:
-            assert out.columns == docs.columns
-        at = out
-    assert corpus_pipeline.run(spark, tiny).count() > 0
+    stage = dict(corpus_pipeline.STAGES)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    good = stage["quality rules"](spark, docs, tiny)
+    assert good.columns == docs.columns
+    kept = {i for (i, *_), (k, _) in zip(rows, quality_by_hand(rows)) if k}
+    assert many(r.doc_id for r in good.collect()) == many(kept)
+
+    one = stage["near-duplicates"](spark, good, tiny)
+    sets = [(i, shingle_set(t, 5)) for i, t, *_ in rows if i in kept]
+    links = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if s and t and 100 * len(s & t) >= 80 * len(s | t)]
+    comp = components(kept, links)
+    assert one.columns == docs.columns and many(r.doc_id for r in one.collect()) == many(set(comp.values()))
+
+    clean = stage["secrets"](spark, one, tiny)
+    spans = {r.doc_id: r.spans for r in secrets.secret_digest(one).collect()}
+    texts = {i: t for i, t, *_ in rows}
+    for r in clean.collect():
+        want, at = "", 0
+        for a, b in [tuple(map(int, s.split(":")[1:])) for s in spans[r.doc_id].split(",") if s]:
+            if a >= at:
+                want += texts[r.doc_id][at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == want + texts[r.doc_id][at:] and r.n_chars == len(r.text)
+
+    out = corpus_pipeline.run(spark, tiny).collect()
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    hf.encode_special_tokens = True
+    final = {r.doc_id: [*hf.encode(r.text, add_special_tokens=False).ids, 1] for r in clean.collect()}
+    pieces = collections.defaultdict(list)
+    for r in out:
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(final)
+    for i, own in pieces.items():
+        own.sort(key=lambda r: r.start)
+        assert b"".join(r.ids for r in own) == np.array(final[i], "<u4").tobytes()
+        assert len(final[i]) > 2048 or len(own) == 1  # what fits a sequence is never cut
+    sums = collections.Counter()
+    for r in out:
+        sums[r.sequence_id] += r.length
+    assert max(sums.values()) <= 2048
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, an empty table, repeated rows and further columns with clashing names go through all stages."""
+    import corpus_pipeline
+
+    text = "a quiet walk along the river with friends and a basket of warm bread for all of us today"
+    rows = [(1, text, "en", "s", 5, 1), (1, text, "en", "s", 5, 1), (2, None, None, None, None, 2), (None, text + " once more", None, "s", 3, 3), (3, "", "en", None, 0, 4), (4, "w " * 3, "en", "s", 6, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int").withColumn("_row", F.lit(1)).withColumn("ids", F.lit("x"))
+    for some in (docs, docs.limit(0)):
+        at = some
+        for name, stage in corpus_pipeline.STAGES:
+            at = stage(spark, at, "")
+        found = many(r.doc_id for r in at.collect())
+        assert found == (many([1, None]) if some is docs else many([]))
