@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .fingerprints import let
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -57,11 +58,16 @@ def _template_tokens(templates: dict[str, list[str]]) -> list[tuple[str, list[st
     return [(label, cut.findall(t.translate(lower))) for label, texts in sorted(templates.items()) for t in texts]
 
 
+def words(low: Column) -> Column:
+    """A lower-cased text's tokens; what split() leaves empty at the ends goes."""
+    return F.filter(F.split(low, GAP), lambda w: w != "")
+
+
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents hold each token of a fixed vocabulary; one row for each of them reaches the driver."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(lower_ascii(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
-    row = docs.select(spaced.alias("t")).agg(*(F.count_if(F.contains("t", F.lit(f" {w} "))).alias(f"c{i}") for i, w in enumerate(vocabulary))).first()
-    return dict(zip(vocabulary, row))
+    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(lower_ascii(F.col("text")), GAP))
+    rows = docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    return {**dict.fromkeys(vocabulary, 0), **{r.w: r.n for r in rows}}
 
 
 def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
@@ -82,13 +88,14 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
     prefixes = sorted({w for (_, ws), n in zip(ordered, need) for w in ws[: len(ws) - n + 1]})
 
     low = lower_ascii(F.col("text"))
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    maybe_phrase = "|".join(gap.join(p.split()) for p in phrases)
     inside = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    anywhere = "(" + "|".join(prefixes) + ")"
-    maybe_block = f"(?<!{inside})(?:{'|'.join(prefixes)})(?!{inside})"  # whole tokens; slower, so after the one above
+    maybe_block = f"(?<!{inside})(?:{'|'.join(prefixes)})(?!{inside})"
+    some = lambda w, of: F.arrays_overlap(w, F.array(*map(F.lit, of)))
+    rare = sorted({max(p.split(), key=len) for p in phrases})  # a phrase's longest word, looked up before its pattern
+    maybe_phrase = "|".join(GAP.join(p.split()) for p in phrases)
     base = docs.select("doc_id", low.alias("low"))
-    base = base.select("doc_id", "low", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.rlike("low", F.lit(maybe_phrase)).alias("has_phrase"), (F.rlike("low", F.lit(anywhere)) & F.rlike("low", F.lit(maybe_block))).alias("has_block"))
+    base = base.select("doc_id", "low", let(words(F.col("low")), lambda w: F.struct(F.size(w).cast("long").alias("n"), some(w, rare).alias("phrase"), some(w, prefixes).alias("block"))).alias("has"))
+    base = base.select("doc_id", "low", F.col("has.n").alias("n_words"), (F.col("has.phrase") & F.rlike("low", F.lit(maybe_phrase))).alias("has_phrase"), F.col("has.block").alias("has_block"))
 
     def places(w: Column) -> Column:
         def at(phrase: str, label: str) -> Column:
@@ -166,7 +173,7 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
     rows = base.select(
         "doc_id",
         "n_words",
-        F.when(F.col("has_phrase"), let(tokens(F.col("low")), places)).otherwise(none).alias("places"),
+        F.when(F.col("has_phrase"), let(words(F.col("low")), places)).otherwise(none).alias("places"),
         F.when(F.col("has_block"), let(F.split("low", "\n"), judged)).otherwise(F.array().cast(kind)).alias("blocks"),
     )
     starts = F.transform("places", lambda p: p.start)
