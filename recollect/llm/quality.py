@@ -3,9 +3,11 @@
 Base rules judge a document alone. Beyond them, each language and source gets a minimum-covariance-determinant estimate
 of four transformed statistics, and documents whose Mahalanobis distance exceeds the cut are rejected. The estimate
 starts from medians and quartiles and takes concentration steps: the h documents nearest to the centre give the next
-mean and covariance, whose determinant can only shrink. Distances are counted in fine bins, so a step is one
-aggregation with map-side sums and holds a few hundred numbers a group however many documents a hot source has.
-Statistics are whole thousandths, sums are exact, and so the verdict doesn't depend on the order of rows.
+mean and covariance. Distances are counted in fine bins, so a step is one aggregation with map-side sums and holds a
+few hundred numbers a group however many documents a hot source has; h is rounded up to a whole bin, and least standard
+deviations are added to every estimate, so the determinant falls as in the exact steps but for these two. Statistics
+are whole thousandths and sums are exact (up to 9e10 documents in one bin of a group), so the verdict doesn't depend
+on the order of rows.
 """
 
 from __future__ import annotations
@@ -170,7 +172,8 @@ def _judged(features: DataFrame, stats: DataFrame, cut: float, least_rows: int)
 
 
 def _grouped(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *more)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c)  # noqa: E731 - null is a name of its own
+    return docs.select("doc_id", "text", name("lang"), name("source"), *more)
 
 
 def judge_quality(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: int = 4, least_rows: int = 50) -> DataFrame:
