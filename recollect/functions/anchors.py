@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fixed value: a path, the last #, and a dotted identifier.
 ANCHOR = r"^(.+)#([A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*)$"
 
 
@@ -14,6 +15,19 @@ def parse_anchor(text: Column) -> Column:
     return F.struct(F.when(cut, F.regexp_extract(t, ANCHOR, 1)).otherwise(t).alias("path"), F.when(cut, F.regexp_extract(t, ANCHOR, 2)).alias("symbol"))
 
 
+def parse_any_anchor(text: Column) -> Column:
+    """parse_anchor() of a string, or the path and symbol of a JSON object's text."""
+    object_ = F.from_json(text, "path string, symbol string")
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.struct(object_.path.alias("path"), object_.symbol.alias("symbol"))).otherwise(parse_anchor(text))
+
+
+def relative_path(path: str, repo: str) -> str:
+    """A path as the repository names it: absolute ones made relative, . and .. resolved; a #symbol is not part of it."""
+    import os
+
+    return os.path.relpath(os.path.join(repo, path), repo)
+
+
 def format_anchor(anchor: Column) -> Column:
     return F.when(anchor.symbol.isNull(), anchor.path).otherwise(F.concat(anchor.path, F.lit("#"), anchor.symbol))
 
@@ -38,6 +52,11 @@ def in_scope(path: Column, scope: str, boundary: bool = False) -> Column:
     return (path == scope) | F.startswith(path, F.lit(scope + "/")) if boundary else F.startswith(path, F.lit(scope))
 
 
+def change_touches(path: Column, previous: Column, names: Column) -> Column:
+    """Whether a change (path, previous path) touches an anchor with these names; what verdicts() asks by joins."""
+    return F.array_contains(names, path) | F.coalesce(F.array_contains(names, previous), F.lit(False))
+
+
 def possibly_stale(as_of: Column, changed: Column) -> Column:
     return F.coalesce(changed > as_of, F.lit(False))
 

@@ -6,6 +6,7 @@ STOPWORDS = [
     "what", "how", "does", "do", "did", "when", "which", "who", "whom", "there", "then", "than", "so", "as", "at", "by", "from", "into", "instead", "rather",
     "not", "no", "any", "ever", "still", "just", "also", "would", "could", "should", "can", "will", "happened", "happens", "used", "use", "we", "our", "i", "you",
 ]
+# Weights of the legs and of the tiers, floors and windows.
 LEG_WEIGHTS = {"text": 1.0, "trigram": 0.5, "vector": 0.5}
 RRF_K = 60
 TIERS = ["short", "mid", "long"]

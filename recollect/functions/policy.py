@@ -7,7 +7,21 @@ from pyspark.sql import Column, functions as F
 from .constants import IDLE_DAYS
 
 
-def tier_decision(tier: Column, credit: Column, rejected: Column, idle_days: Column, promote: int = 1, sustain: int = 2, reject: int = 3) -> Column:
+# Credits that promote to mid and to long, rejections that demote.
+PROMOTE, SUSTAIN, REJECT = 1, 2, 3
+DOWN = {"short": "short", "mid": "short", "long": "mid"}
+
+
+def next_tier(tier: str, credit: int, rejected: int) -> str:
+    """tier_decision()'s tier for one memory that is not idle, for ordered folds; a test holds the two against each other."""
+    if tier == "short" and credit >= PROMOTE:
+        return "mid"
+    if tier == "mid" and credit >= SUSTAIN:
+        return "long"
+    return DOWN[tier] if rejected >= REJECT else tier
+
+
+def tier_decision(tier: Column, credit: Column, rejected: Column, idle_days: Column, promote: int = PROMOTE, sustain: int = SUSTAIN, reject: int = REJECT) -> Column:
     """(tier, reason) after one pass: one step at most, promotion before idleness before rejection."""
     limit = F.lit(None).cast("double")
     for name, days in IDLE_DAYS.items():

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 WORD = re.compile(r"[^\W_]+")
@@ -19,33 +21,50 @@ def trigrams(text: str | None) -> list[str]:
 
 def word_similarity(query: str | None, target: str | None, floor: float = 0.0) -> float:
     """Exact at or above the floor, 0 where the floor can't be reached."""
-    want = set(trigrams(query))
-    sequence = trigrams(target)
+    return _best(frozenset(trigrams(query)), trigrams(target), floor)
+
+
+def _best(want: frozenset[str], sequence: list[str], floor: float) -> float:
+    """The best extent of the sequence, all starts side by side.
+
+    Inside an extent from s, a trigram is new where it last stood before s, so running sums over the places give the
+    sizes of intersection and union. An extent with more than |want| / floor different trigrams can't reach the floor;
+    a start is given up there. Memory: some starts by some places at a time.
+    """
     if not want or not sequence:
         return 0.0
-    if len(want & set(sequence)) < floor * len(want):
+    hit = np.fromiter((t in want for t in sequence), bool, len(sequence))
+    if len({t for t, h in zip(sequence, hit) if h}) < floor * len(want):
         return 0.0
-    best = 0.0
-    starts = [i for i, t in enumerate(sequence) if t in want]  # an extent that starts elsewhere only loses
-    for s in starts:
-        seen, hits = set(), 0
-        for t in sequence[s:]:
-            if t in seen:
-                continue
-            seen.add(t)
-            if t in want:
-                hits += 1
-                score = hits / (len(want) + len(seen) - hits)
-                best = max(best, score)
-            if len(want) / (len(want) + len(seen) - hits) <= best:
-                break  # even with all the query found, no longer extent is better
+    last: dict[str, int] = {}
+    before = np.empty(len(sequence), np.int64)
+    for i, t in enumerate(sequence):
+        before[i] = last.get(t, -1)
+        last[t] = i
+    most = len(want) / floor if floor > 0 else len(sequence)
+    best, starts = 0.0, np.flatnonzero(hit)  # an extent that starts elsewhere only loses
+    for some in (starts[i : i + 64] for i in range(0, len(starts), 64)):
+        at = 0
+        hits, size = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+        while len(some):
+            places = some[:, None] + np.arange(at, at + 512)
+            inside = places < len(sequence)
+            places = np.minimum(places, len(sequence) - 1)
+            new = inside & (before[places] < some[:, None])
+            sizes = size[:, None] + np.cumsum(new, axis=1)
+            found = hits[:, None] + np.cumsum(new & hit[places], axis=1)
+            best = max(best, float((found / (len(want) + sizes - found)).max()))
+            hits, size, at = found[:, -1], sizes[:, -1], at + 512
+            more = inside[:, -1] & (size <= most)
+            some, hits, size = some[more], hits[more], size[more]
     return best if best >= floor else 0.0
 
 
 def word_similarity_column(query: Column, target: Column, floor: float) -> Column:
-    import pandas as pd
+    def run(qs: pd.Series, ts: pd.Series) -> pd.Series:
+        asked = {q: frozenset(trigrams(q)) for q in qs.unique()}  # questions repeat, so each is cut once a batch
+        return pd.Series([_best(asked[q], trigrams(t), floor) for q, t in zip(qs, ts)], dtype="float64")
 
-    run = lambda q, t: pd.Series([word_similarity(a, b, floor) for a, b in zip(q, t)], dtype="float64")
     return F.pandas_udf(run, "double")(query, target)
 
 
@@ -68,6 +87,4 @@ def chunks(text: str, size: int = 1000) -> list[str]:
 
 
 def chunk_column(text: Column, size: int = 1000) -> Column:
-    import pandas as pd
-
     return F.pandas_udf(lambda s: pd.Series([chunks(t or "", size) for t in s]), "array<string>")(text)

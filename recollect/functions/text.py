@@ -93,6 +93,11 @@ def commit_action(sha: Column) -> Column:
     return F.concat(F.lit("commit "), F.substring(sha, 1, 8))
 
 
+def sha_of(action: Column) -> Column:
+    """The short sha of a captured commit's action; other actions as they are."""
+    return F.trim(F.regexp_replace(action, "^commit ", ""))
+
+
 def scout_action(source: Column) -> Column:
     return F.when(source.isNull(), "scout-report").otherwise(F.concat(F.lit("scout-report "), source))
 
@@ -111,3 +116,25 @@ def digest_prompt(task: Column, paths: Column, body: Column, most: int = 12_000)
 
 def digest_accepted(digest: Column, most: int = 1200) -> Column:
     return F.length(F.trim(digest)).between(1, most)
+
+
+def worth_asking(prompt: Column, least: int = 25) -> Column:
+    """Prompts long enough to look anything up for: shorter ones are commands and nods."""
+    return F.length(prompt) >= least
+
+
+def json_items(text: Column) -> Column:
+    """A JSON array's elements as strings, objects as their JSON text; anything else has none."""
+    return F.coalesce(F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
+
+
+def shown_body(body: Column, budget: Column, id_: Column) -> Column:
+    """A body within its budget, else cut there with a pointer to the whole."""
+    n = F.length(body)
+    more = F.concat(F.lit("\n_(… "), (n - budget).cast("string"), F.lit(" more chars — `recollect show "), id_.cast("string"), F.lit("`)_"))
+    return F.when(n > budget, F.concat(F.substr(body, F.lit(1), budget.cast("int")), more)).otherwise(body)
+
+
+def heading(task: Column, action: Column, ts: Column, reason: Column, legs: Column, score: Column) -> Column:
+    """The two lines over a hit: its task; its source, day, reason, legs and score."""
+    return F.concat(F.lit("### "), task, F.lit("\n_"), F.coalesce(action, F.lit("unknown source")), F.lit(" · "), F.date_format(ts, "yyyy-MM-dd"), F.lit(" · "), reason, F.lit(" ("), F.array_join(legs, "+"), F.lit("), score "), F.format_string("%.4f", score), F.lit("_\n"))

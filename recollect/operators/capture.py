@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.similarity import chunk_column
 from ..functions.text import digest_accepted, digest_prompt, query_tokens, search_text
 from ..functions.vectors import mean_pool
+from ..sources import git
+from ..sources.scratch import Scratch
+from .lifecycle import Memory
 from .store import Store
 
 Embedder = Callable[[Column], Column]
@@ -52,9 +55,24 @@ def missing_vectors(store: Store, limit: int | None = None) -> DataFrame:
     return (rows if limit is None else rows.limit(limit)).select("id", search_text(F.col("task"), F.col("digest"), F.col("observation")).alias("text"))
 
 
-def backfill_vectors(store: Store, embedder: Embedder, limit: int | None = None) -> None:
-    found = embed(missing_vectors(store, limit), embedder).where("vec is not null")
-    store.note(found.select("id", F.lit("embedding").alias("kind"), F.col("vec").cast("array<float>").alias("vec")))
+def backfill_vectors(store: Store, embedder: Embedder | None, limit: int | None = None) -> int:
+    """Vectors for what has none; how many. Without an embedder none, and answers stay lexical."""
+    if embedder is None:
+        return 0
+    found = Scratch(store.spark, "vectors").keep(embed(missing_vectors(store, limit), embedder).where("vec is not null").select("id", F.lit("embedding").alias("kind"), F.col("vec").cast("array<float>").alias("vec")), "found")
+    n = found.count()
+    if n:
+        store.note(found)
+    return n
+
+
+def capture_history(memory: Memory, repo: str, scope: str = "", limit: int = 500, embedder: Embedder | None = None, now=None) -> dict[str, int]:
+    """Explaining commits that are not recorded yet, oldest first, as memories anchored on their files; counts of what was done."""
+    backfilled = backfill_vectors(memory, embedder)
+    found = Scratch(memory.spark, "history").keep(git.commits(memory.spark, repo, scope, limit), "commits")
+    recorded = memory.remember(git.as_memories(found, memory.current().select("action")), now)
+    mined = found.count()
+    return {"mined": mined, "recorded": recorded, "already_recorded": mined - recorded, "embeddings_backfilled": backfilled, "embedded": backfill_vectors(memory, embedder)}
 
 
 def first_sentences(prompt: str, most: int = 600) -> str:
@@ -91,7 +109,8 @@ def record_reports(store: Store, judged: DataFrame, now: str) -> dict[str, int]:
     """Accepted reports (sources.files.judged_reports) as memories; counts of recorded and of each reason to refuse."""
     refused = {r.reject_reason: r.n for r in judged.where("reject_reason is not null").groupBy("reject_reason").agg(F.count("*").alias("n")).collect()}
     new = judged.where("reject_reason is null").drop("reject_reason").withColumn("ts", F.to_timestamp(F.lit(now)))
-    return {"recorded": store.record(new.withColumn("id", F.substring(F.sha2(F.concat_ws("\n", "action", "task", "observation"), 256), 1, 32))), **refused}
+    rows = new.withColumn("id", F.substring(F.sha2(F.concat_ws("\n", "action", "task", "observation"), 256), 1, 32))
+    return {"recorded": store.remember(rows, now) if isinstance(store, Memory) else store.record(rows), **refused}
 
 
 def relink(store: Store, rows: DataFrame) -> int:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 
 def keyword_score(text: Column, groups: list[list[str]]) -> Column:
@@ -31,3 +32,62 @@ def weighted_precision(samples: DataFrame, population: DataFrame) -> DataFrame:
 def credit_histogram(credits: DataFrame) -> DataFrame:
     """How many memories have each total of credit (id, credit)."""
     return credits.groupBy("id").agg(F.sum("credit").alias("credit")).groupBy("credit").agg(F.count("*").alias("n"))
+
+
+#: Questions up to which their keys are broadcast.
+MOST_KEYS = 200_000
+
+
+def contained(questions: DataFrame, docs: DataFrame, width: int = 4) -> DataFrame:
+    """(qid, id) of each text (id, text) that holds a question (qid, question) as it stands.
+
+    Where a text holds a question, the question's inner words stand in it one after the other. So texts and questions
+    meet by `width` words from a question's second on; what meets is then compared as a whole. Questions with fewer
+    inner words meet by their first inner word, and those without any are compared with all texts, as a stated set.
+    """
+    words = F.split("question", " ")
+    q = questions.where("question is not null").select("qid", "question", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("inner"))
+    q = q.select("qid", "question", F.when(F.size("inner") >= width, width).otherwise(F.least(F.size("inner"), F.lit(1))).alias("w"), "inner")
+    keys = q.where("w > 0").select("qid", "question", "w", F.xxhash64(F.array_join(F.slice("inner", 1, F.col("w")), " ")).alias("key"))
+    keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+    cut = docs.where("text is not null").select("id", "text", F.split("text", " ").alias("ts"))
+    windows = lambda w: F.when(F.size("ts") >= w, F.transform(F.sequence(F.lit(1), F.size("ts") - (w - 1)), lambda i: F.xxhash64(F.array_join(F.slice("ts", i, w), " ")))).otherwise(F.array().cast("array<bigint>"))
+    used = {r.w for r in q.select("w").distinct().collect()}
+    out = docs.sparkSession.createDataFrame([], StructType([questions.schema["qid"], docs.schema["id"]])).toDF("qid", "id")
+    for w in sorted(used - {0}):
+        met = cut.select("id", "text", F.explode(F.array_distinct(windows(w))).alias("key")).join(keys.where(F.col("w") == w), "key")
+        out = out.unionAll(met.where(F.contains("text", F.col("question"))).select("qid", "id").distinct())
+    if 0 in used:
+        short = q.where("w = 0").select("qid", "question")
+        out = out.unionAll(cut.join(F.broadcast(short), F.contains(cut.text, short.question)).select("qid", "id"))
+    return out
+
+
+def seeded_shuffle(items: list, seed: int) -> list:
+    """A shuffle by xorshift32, the same on every machine: what a sample of labels is drawn by. Sequential, on the driver."""
+    state, out = seed & 0xFFFFFFFF, list(items)
+    for i in range(len(out) - 1, 0, -1):
+        state ^= (state << 13) & 0xFFFFFFFF
+        state ^= state >> 17
+        state ^= (state << 5) & 0xFFFFFFFF
+        j = state * (i + 1) >> 32
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+def linked_arm(ranked: DataFrame, edges: DataFrame, k: int, seeds: int) -> DataFrame:
+    """(qid, id, place, provenance): k hits of each question, some of them replaced by neighbours of the first.
+
+    ranked: (qid, id, rank); edges: (source, target, confidence). The first `seeds` hits stay; their neighbours over
+    edges either way follow, the most confident first, then those of the better seed; what is left is backfilled by rank.
+    """
+    best = Window.partitionBy("qid", "id").orderBy("step", F.desc("confidence"), "rank")
+    place = Window.partitionBy("qid").orderBy("step", F.desc("confidence"), "rank", "id")
+    none = F.lit(None).cast("double").alias("confidence")
+    hits = ranked.where(F.col("rank") <= k)
+    first = hits.where(F.col("rank") <= seeds)
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "confidence").unionAll(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "confidence"))
+    near = first.join(both, "id").select("qid", F.col("other").alias("id"), "rank", F.lit(1).alias("step"), F.col("confidence").cast("double").alias("confidence"))
+    own = hits.select("qid", "id", "rank", F.when(F.col("rank") <= seeds, 0).otherwise(2).alias("step"), none)
+    every = own.unionByName(near).withColumn("b", F.row_number().over(best)).where("b = 1").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    return every.select("qid", "id", "place", F.when(F.col("step") == 1, "linked").when(F.col("step") == 0, "by_meaning").otherwise("backfill").alias("provenance"))

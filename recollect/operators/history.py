@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.anchors import suspect_reason
 from ..functions.text import commit_action, reverted_shas, reverted_subject
+from ..sources.scratch import Scratch
 
 
 def heads(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -14,40 +15,66 @@ def heads(links: DataFrame, rounds: int = 40) -> DataFrame:
     Each round doubles what a pointer spans, so a chain of n takes log n joins; a recursive query would take n.
     """
     now = links.select("id", F.coalesce("superseded_by", "id").alias("head"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    now = _cut(now)
-    for _ in range(rounds):
+    scratch = Scratch(links.sparkSession, "heads")
+    now = scratch.keep(now, "0")
+    for n in range(1, rounds + 1):
         hop = now.select(F.col("id").alias("head"), F.col("head").alias("h2"), F.col("depth").alias("d2"))
-        after = _cut(now.join(hop, "head", "left").select("id", F.coalesce("h2", "head").alias("head"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+        after = scratch.keep(now.join(hop, "head", "left").select("id", F.coalesce("h2", "head").alias("head"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), str(n))
         if after.join(now, ["id", "head"], "left_anti").isEmpty():
-            return after
+            if after.join(links.where("superseded_by is not null").select(F.col("id").alias("head")), "head", "left_semi").isEmpty():
+                return after
+            break  # jumps that come round to where they were
+        scratch.drop(str(n - 1))
         now = after
     raise ValueError("the links hold a cycle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; a session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-"))
-    return df.checkpoint()
-
-
-def chain_of(links: DataFrame, start, limit: int = 1000) -> DataFrame:
-    """(id, depth): every memory of the chain that holds start, the same from any of its members, merged branches too."""
-    links.createOrReplaceTempView("_chain_links")
-    return links.sparkSession.sql(
-        f"""WITH RECURSIVE fwd(id, d) MAX RECURSION LEVEL {limit} AS (
-              SELECT id, 0 FROM _chain_links WHERE id = :start
-              UNION ALL SELECT l.superseded_by, d + 1 FROM fwd JOIN _chain_links l ON l.id = fwd.id WHERE l.superseded_by IS NOT NULL),
-            top AS (SELECT id FROM fwd ORDER BY d DESC LIMIT 1),
-            back(id, d) MAX RECURSION LEVEL {limit} AS (
-              SELECT id, 0 FROM top
-              UNION ALL SELECT l.id, d - 1 FROM back JOIN _chain_links l ON l.superseded_by = back.id)
-            SELECT DISTINCT id, d - min(d) OVER () AS depth FROM back""",
-        args={"start": start},
-    )
+def walk(links: DataFrame, start) -> list:
+    """The ids of one chain from start to its end, found by following it alone; [] where start is unknown."""
+    at, out = start, []
+    while True:
+        row = links.where(F.col("id") == F.lit(at)).select("superseded_by").first()
+        if row is None and not out:
+            return []
+        out.append(at)
+        if row is None or row[0] is None:
+            return out
+        if row[0] in out:
+            raise ValueError("the links hold a cycle")
+        at = row[0]
+
+
+def judge_link(links: DataFrame, old, new) -> str:
+    """would_cycle()'s verdict for one proposed link, from the two memories and the chain of new."""
+    if old == new:
+        return "self"
+    found = {r.id: r.superseded_by for r in links.where(F.col("id").isin(old, new)).select("id", "superseded_by").collect()}
+    if len(found) < 2:
+        return "unknown"
+    if found[old] is not None:
+        return "same" if found[old] == new else "fork"
+    return "cycle" if old in walk(links, new) else "ok"
+
+
+def chain_of(links: DataFrame, start) -> DataFrame:
+    """(id, depth): every memory of the chain that holds start, the same from any of its members, merged branches too.
+
+    depth counts from the farthest predecessor (0). Where links carry ts, the rows are in order of depth, ts and id.
+    """
+    end = (walk(links, start) or [None])[-1]
+    scratch = Scratch(links.sparkSession, "chain")
+    step = links.where("superseded_by is not null").select("id", "superseded_by")
+    reached = frontier = scratch.keep(links.where(F.col("id") == F.lit(end)).select("id", F.lit(0).cast("long").alias("back")), "0")
+    n = 0
+    while not frontier.isEmpty():  # level by level; a chain does not fork, so a level is few rows
+        n += 1
+        near = frontier.select(F.col("id").alias("superseded_by"))
+        frontier = scratch.keep(step.join(near, "superseded_by").select("id", F.lit(n).cast("long").alias("back")).distinct(), str(n))
+        reached = reached.unionAll(frontier)
+    deep = reached.select("id", (F.lit(n - 1) - F.col("back")).cast("int").alias("depth"))
+    if "ts" in links.columns:
+        return deep.join(links.select("id", "ts"), "id").orderBy("depth", "ts", "id")
+    return deep.orderBy("depth", "id")
 
 
 def would_cycle(links: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -69,15 +96,26 @@ def rename_map(changes: DataFrame) -> DataFrame:
 
 
 def path_closure(paths: DataFrame, renames: DataFrame) -> DataFrame:
-    """(path, name): each path and all its later names, however many; a frontier stops at names already seen, so rings end."""
-    seen = frontier = _cut(paths.select("path", F.col("path").alias("name")).distinct())
-    step = renames.select(F.col("previous_path").alias("name"), F.col("path").alias("next"))
-    while True:
-        fresh = frontier.join(step, "name").select("path", F.col("next").alias("name")).distinct()
-        frontier = _cut(fresh.join(seen, ["path", "name"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionAll(frontier))
+    """(path, name): each path and all its later names, however many; rings end.
+
+    renames is a rename_map(): a path has one next name. So each round doubles what is reached: a jump of 2^k renames
+    leads to a path whose names within 2^k renames are known. A chain of n takes log n rounds.
+    """
+    scratch = Scratch(paths.sparkSession, "closure")
+    step = renames.select("previous_path", "path").where("previous_path is not null")
+    named = step.select(F.col("previous_path").alias("a")).unionAll(step.select(F.col("path").alias("a"))).distinct()
+    reach = scratch.keep(named.select("a", F.col("a").alias("name")).unionAll(step.select(F.col("previous_path").alias("a"), F.col("path").alias("name"))).distinct(), "reach-0")
+    jump = scratch.keep(step.select(F.col("previous_path").alias("a"), F.col("path").alias("to")), "jump-0")
+    n, before = 0, -1
+    while before != (before := reach.count()):
+        n += 1
+        far = jump.join(reach.select(F.col("a").alias("to"), "name"), "to").select("a", "name")
+        reach = scratch.keep(reach.unionAll(far).distinct(), f"reach-{n}")
+        jump = scratch.keep(jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")), f"jump-{n}")
+        for name in ("reach", "jump"):
+            scratch.drop(f"{name}-{n - 1}")
+    wanted = paths.select("path").distinct()
+    return wanted.join(reach, wanted.path == reach.a, "left").select("path", F.coalesce("name", "path").alias("name"))
 
 
 def changed_paths(changes: DataFrame) -> DataFrame:
@@ -85,6 +123,12 @@ def changed_paths(changes: DataFrame) -> DataFrame:
     return changes.select("path").unionAll(changes.where("previous_path is not null").select(F.col("previous_path").alias("path"))).distinct()
 
 
+def earlier_names(paths: DataFrame, renames: DataFrame) -> DataFrame:
+    """(path): the paths and every name under which the renames knew them before: what an anchor may still say."""
+    known = path_closure(renames.select(F.col("previous_path").alias("path")), renames)
+    return paths.select("path").unionAll(known.join(paths.select(F.col("path").alias("name")), "name", "left_semi").select("path")).distinct()
+
+
 def on_paths(memories: DataFrame, paths: DataFrame) -> DataFrame:
     """Heads with an anchor or related node on one of the paths, each once; cold ones too."""
     m = memories.where("superseded_by is null")

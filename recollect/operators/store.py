@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.scratch import Scratch
+
 EXPERIENCE = "id string, task string, observation string, digest string, hypothesis string, action string, result string, lessons array<string>, related_nodes array<string>, anchors array<struct<path:string,symbol:string>>, confidence double, ts timestamp, writer_session string"
 NOTE = "seq long, id string, kind string, text string, at timestamp, vec array<float>"
 # Event names that a replay skips, and those that it applies.
@@ -30,10 +32,23 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _folder(self, name: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        folder, fs = self._folder(name)
+        return fs.exists(folder)
+
+    def _drop(self, name: str) -> None:
+        folder, fs = self._folder(name)
+        fs.delete(folder, True)
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+
+    def _scratch(self, name: str) -> Scratch:
+        return Scratch(self.spark, name)
 
     def facts(self) -> DataFrame:
         return self._read("facts", EXPERIENCE)
@@ -59,10 +74,9 @@ class Store:
 
     def supersede(self, old: str, new: str, at: str) -> bool:
         """Link old to its correction; False where the link is there already, an error for self, unknown, fork and cycle."""
-        from .history import would_cycle
+        from .history import judge_link
 
-        links = self.current().select("id", "superseded_by")
-        verdict = would_cycle(links, self.spark.createDataFrame([(old, new)], "old string, new string")).first().verdict
+        verdict = judge_link(self.current().select("id", "superseded_by"), old, new)
         if verdict == "same":
             return False
         if verdict != "ok":
@@ -133,6 +147,11 @@ def latest_first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("ts"), "id").limit(limit)
 
 
+def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The next `size` rows beyond a key, in its order."""
+    return (df if after is None else df.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
 def body_budget(rows: DataFrame, budget: int = 3000, least: int = 200) -> DataFrame:
     """(grp, rank, shown): characters of each hit's body (grp, rank, len): what is left of the budget, never less than `least`. An ordered fold, since the floor makes it no running sum."""
     ordered = rows.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("rank", "len"))).alias("hits"))
@@ -144,14 +163,19 @@ def body_budget(rows: DataFrame, budget: int = 3000, least: int = 200) -> DataFr
     return ordered.select("grp", F.explode(F.aggregate("hits", zero, step)["out"]).alias("o")).select("grp", "o.*")
 
 
-def render_context(task: str, rows: list) -> str:
-    """Markdown of the newest memories: rows with task, result, lessons, staleness and staleness_reason."""
-    out = []
-    for r in rows:
-        flag = f" — **{r['staleness']}**" + (f" ({r['staleness_reason']})" if r.get("staleness_reason") else "") if r.get("staleness") else ""
-        out.append("\n".join([f"- [{r['task']}] {r.get('result') or '(no recorded outcome)'}{flag}", *(f"  - {x}" for x in r.get("lessons") or [])]))
-    body = "\n".join(out) or "_No prior knowledge recorded for this task._"
-    return f"# Context: {task}\n\n## Prior Experience\n\n{body}"
+def render_contexts(rows: DataFrame) -> DataFrame:
+    """(qid, context): markdown of each question's newest memories, from rows (qid, question, place, task, result, lessons, staleness, staleness_reason).
+
+    A question without memories has one row with a null place. A context is bounded by what its question returned.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    why = F.when(F.col("staleness_reason").isNotNull(), F.concat(F.lit(" ("), "staleness_reason", F.lit(")")))
+    flag = F.when(F.col("staleness").isNotNull(), F.concat(F.lit(" — **"), "staleness", F.lit("**"), text(why)))
+    lessons = F.array_join(F.transform(F.coalesce("lessons", F.array().cast("array<string>")), lambda x: F.concat(F.lit("\n  - "), x)), "")
+    line = F.concat(F.lit("- ["), "task", F.lit("] "), F.coalesce("result", F.lit("(no recorded outcome)")), text(flag), lessons)
+    grouped = rows.select("qid", "question", F.when(F.col("place").isNotNull(), F.struct("place", line.alias("line"))).alias("l")).groupBy("qid", "question").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    body = F.when(F.size("ls") > 0, F.array_join(F.transform("ls", lambda x: x.line), "\n")).otherwise(F.lit("_No prior knowledge recorded for this task._"))
+    return grouped.select("qid", F.concat(F.lit("# Context: "), "question", F.lit("\n\n## Prior Experience\n\n"), body).alias("context"))
 
 
 def session_windows(events: DataFrame, gap: str) -> DataFrame:

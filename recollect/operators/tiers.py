@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.policy import tier_decision
+from ..functions.policy import next_tier, tier_decision
 
 
 def accesses(log: DataFrame, writers: DataFrame | None = None) -> DataFrame:
@@ -28,14 +28,14 @@ def settle(rows: DataFrame, settles: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def tier_states(memories: DataFrame, rows: DataFrame, window_start) -> DataFrame:
-    """Counts that the policy reads, in one aggregation; memories: (id, tier, tier_changed_at, credit_watermark)."""
-    m = memories.select("id", "tier", "tier_changed_at", "credit_watermark")
+    """Counts that the policy reads, in one aggregation; memories: (id, tier, created_at, tier_changed_at, credit_watermark, cold)."""
+    keys = ["id", "tier", "created_at", "tier_changed_at", "credit_watermark", "cold"]
     confirmed = F.col("outcome") == "confirmed"
     last = rows.where(confirmed).groupBy("id").agg(F.max("settled_at").alias("last_confirmed"))
-    joined = m.join(rows, "id", "left").join(last, "id", "left")
+    joined = memories.select(*keys).join(rows, "id", "left").join(last, "id", "left")
     credit = confirmed & (F.col("settle_seq") > F.col("credit_watermark")) & (F.col("settled_at") >= F.lit(window_start))
     rejected = (F.col("outcome") == "rejected") & (F.col("settled_at") > F.greatest("tier_changed_at", "last_confirmed"))
-    return joined.groupBy("id", "tier", "tier_changed_at", "credit_watermark").agg(
+    return joined.groupBy(*keys).agg(
         F.count_if(confirmed).alias("confirmed_sessions"),
         F.count_if(credit).alias("promotion_credit"),
         F.coalesce(F.max(F.when(credit, F.col("settle_seq"))), F.first("credit_watermark")).alias("credit_seq"),
@@ -46,15 +46,39 @@ def tier_states(memories: DataFrame, rows: DataFrame, window_start) -> DataFrame
 
 
 def decide(states: DataFrame, now, day) -> DataFrame:
-    """states with the decision; idle days count from the last access, else from the last tier change."""
-    idle = (F.lit(now) - F.coalesce("last_accessed", "tier_changed_at")) / F.lit(day)
+    """states with new_tier and reason; idle days count from the last access, else from the memory's own time."""
+    idle = (F.lit(now) - F.coalesce("last_accessed", "created_at")) / F.lit(day)
     d = tier_decision(F.col("tier"), F.col("promotion_credit"), F.col("rejected_since"), idle)
     return states.withColumn("d", d).withColumn("new_tier", F.col("d.tier")).withColumn("reason", F.col("d.reason")).drop("d")
 
 
+def tier_changes(decided: DataFrame, now) -> DataFrame:
+    """(id, tier, reason, tier_changed_at, credit_watermark) of the memories that change their tier; a watermark never goes back."""
+    return decided.where(~F.col("new_tier").eqNullSafe(F.col("tier"))).select("id", F.col("new_tier").alias("tier"), "reason", F.lit(now).alias("tier_changed_at"), F.greatest("credit_watermark", "credit_seq").alias("credit_watermark"))
+
+
+def apply_tier_changes(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """memories (id, tier, tier_changed_at, credit_watermark, ...) with the changes of those whose tier differs; the rest as they are."""
+    new = changes.select("id", *(F.col(c).alias(f"new_{c}") for c in ("tier", "tier_changed_at", "credit_watermark")))
+    joined = memories.join(new, "id", "left")
+    differs = F.col("new_tier").isNotNull() & ~F.col("new_tier").eqNullSafe(F.col("tier"))
+    value = {"tier": F.col("new_tier"), "tier_changed_at": F.col("new_tier_changed_at"), "credit_watermark": F.greatest("credit_watermark", "new_credit_watermark")}
+    return joined.select(*(F.when(differs, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in memories.columns))
+
+
+def touched_by(rows: DataFrame, settles: DataFrame) -> DataFrame:
+    """(id) of the memories that still had a provisional access in a settled session: those that a settlement decides on."""
+    return rows.where("outcome = 'provisional'").join(settles.select("session").distinct(), "session", "left_semi").select("id").distinct()
+
+
 def idle_candidates(states: DataFrame, cutoff, limit: int = 1000) -> DataFrame:
+    """Short-term memories that are not cold and that nobody has read since the cutoff, or since they could be read."""
     since = F.coalesce("last_accessed", "tier_changed_at")
-    return states.where((F.col("tier") == "short") & (since < F.lit(cutoff))).select("id", since.alias("idle_since")).orderBy("idle_since", "id").limit(limit)
+    return states.where((F.col("tier") == "short") & ~F.col("cold") & (since < F.lit(cutoff))).select("id", since.alias("idle_since")).orderBy("idle_since", "id").limit(limit)
+
+
+# The published linear congruential generator, whose draws make the workload what it is.
+LCG_FACTOR, LCG_STEP = 1664525, 1013904223
 
 
 def build_traffic(ids: list[str], seed: int = 20260819, misleading_share: float = 0.125, cold_share: float = 0.45, mean_sessions: float = 3, bystanders: int = 4, fail_misleading: float = 0.7, fail_base: float = 0.1):
@@ -63,7 +87,7 @@ def build_traffic(ids: list[str], seed: int = 20260819, misleading_share: float
 
     def draw() -> float:
         nonlocal state
-        state = (1664525 * state + 1013904223) & 0xFFFFFFFF
+        state = (LCG_FACTOR * state + LCG_STEP) & 0xFFFFFFFF
         return state / 4294967296
 
     misleading = {i for i in ids if draw() < misleading_share}
@@ -90,7 +114,7 @@ def _fold(strategy: str):
                 credit, rejected, total = credit + 1, 0, total + 1
             elif strategy != "raw" and outcome == "rejected":
                 rejected += 1
-            after = "mid" if tier == "short" and credit >= 1 else "long" if tier == "mid" and credit >= 2 else {"mid": "short", "long": "mid"}.get(tier, tier) if rejected >= 3 else tier
+            after = next_tier(tier, credit, rejected)
             if after != tier:
                 tier, credit, rejected = after, 0, 0
         return pd.DataFrame({"id": [key[0]], "tier": [tier], "credit": [total]})

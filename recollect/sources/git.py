@@ -31,10 +31,15 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, changes: bool):
         self.options, self.changes = options, changes
 
+    def paths(self) -> list[str]:
+        """git's own path arguments, so that its limit counts commits within them."""
+        named = [p for p in self.options.get("within", "").split("\n") if p not in ("", ".", "*")]
+        return ["--", *named] if named else []
+
     def read(self, partition) -> Iterator[tuple]:
         repo, limit = self.options["path"], self.options.get("limit", "400")
         if self.changes:
-            text = _git(repo, "log", "--no-merges", "--name-status", "-M50%", f"-n{limit}", "--format=%x1e%H%x1f%aI")
+            text = _git(repo, "log", "--no-merges", "--name-status", "-M50%", f"-n{limit}", "--format=%x1e%H%x1f%aI", *self.paths())
             seq = 0
             for record in text.split("\x1e")[1:]:
                 head, *lines = record.strip("\n").split("\n")
@@ -45,7 +50,7 @@ class _Reader(DataSourceReader):
                     yield seq, paths[-1], paths[0] if len(paths) > 1 else None, status, sha, _date(date)
                     seq += 1
         else:
-            text = _git(repo, "log", "--name-only", f"-n{limit}", "--format=%x1e%H%x1f%aI%x1f%s%x1f%b%x1f")
+            text = _git(repo, "log", "--name-only", f"-n{limit}", "--format=%x1e%H%x1f%aI%x1f%s%x1f%b%x1f", *self.paths())
             for record in text.split("\x1e")[1:]:
                 sha, date, subject, body, files = record.split("\x1f")
                 yield sha, sha[:8], _date(date), subject, body.strip(), [unquote_git_path(f) for f in files.split("\n") if f]
@@ -76,22 +81,35 @@ class GitChanges(GitLog):
 
 
 def commits(spark: SparkSession, repo: str, scope: str = "", limit: int = 400, explanatory: bool = True) -> DataFrame:
-    """Commits with files in scope and outside tests; by default only those that explain themselves."""
+    """The newest `limit` commits within the scope, with their files in scope and outside tests; by default only those that explain themselves.
+
+    The scope is a bare prefix of paths for explaining commits, and ends at a path's component for all commits, as the
+    two readers of the history are used.
+    """
     spark.dataSource.register(GitLog)
-    df = spark.read.format("gitlog").option("limit", limit).load(repo)
-    df = df.withColumn("files", F.filter("files", lambda f: in_scope(f, scope) & ~F.contains(f, F.lit("/tests/")))).where(F.size("files") > 0)
+    prefix = scope if scope in ("", ".", "*") else scope if not explanatory else f"{scope.rstrip('*')}*"
+    df = spark.read.format("gitlog").option("limit", limit).option("within", prefix).load(repo)
+    df = df.withColumn("files", F.filter("files", lambda f: in_scope(f, scope, boundary=not explanatory) & ~F.contains(f, F.lit("/tests/")))).where(F.size("files") > 0)
     return df.where(is_explanatory(F.col("subject"), F.col("body"))) if explanatory else df
 
 
-def changed_paths_since(spark: SparkSession, repo: str, since=None, limit: int = 1000) -> DataFrame:
-    """The change feed; since compares author dates, undated commits stay."""
+def changed_paths_since(spark: SparkSession, repo: str, since=None, limit: int = 1000, paths: list[str] = ()) -> DataFrame:
+    """The change feed, of all paths or those named; since compares author dates, undated commits stay."""
     spark.dataSource.register(GitChanges)
-    df = spark.read.format("gitchanges").option("limit", limit).load(repo).withColumn("kind", change_kind(F.col("status"))).drop("status")
+    df = spark.read.format("gitchanges").option("limit", limit).option("within", "\n".join(paths)).load(repo).withColumn("kind", change_kind(F.col("status"))).drop("status")
     return df if since is None else df.where(F.col("date").isNull() | (F.col("date") > F.lit(since)))
 
 
+def corpus_revision(repo: str) -> str:
+    """The short sha of the commit that is checked out."""
+    return _git(repo, "rev-parse", "--short", "HEAD").strip()
+
+
 def as_memories(history: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Commits as memories, those recorded (action) left out, each action once, the oldest."""
+    """Commits as memories, those recorded (action) left out, each action once, the oldest; in order of their time, oldest first."""
     rows = history.withColumn("action", commit_action(F.col("sha"))).join(recorded.select("action"), "action", "left_anti")
-    first = rows.groupBy("action").agg(F.min_by(F.struct("sha", "subject", "body", "files", "date"), "date").alias("c"))
-    return first.select(F.sha2("action", 256).alias("id"), F.col("c.subject").alias("task"), lesson(F.col("c.subject"), F.col("c.body")).alias("observation"), "action", F.transform("c.files", lambda f: F.struct(f.alias("path"), F.lit(None).cast("string").alias("symbol"))).alias("anchors"), F.lit(0.7).alias("confidence"), F.col("c.date").alias("ts"))
+    first = rows.groupBy("action").agg(F.min_by(F.struct("sha", "subject", "body", "files", "date"), F.struct("date", "sha")).alias("c"))
+    told = lesson(F.col("c.subject"), F.col("c.body"))
+    anchors = F.transform("c.files", lambda f: F.struct(f.alias("path"), F.lit(None).cast("string").alias("symbol")))
+    out = first.select(F.sha2("action", 256).alias("id"), F.col("c.subject").alias("task"), told.alias("observation"), "action", F.array(told).alias("lessons"), F.col("c.files").alias("related_nodes"), anchors.alias("anchors"), F.lit(0.7).alias("confidence"), F.col("c.date").alias("ts"))
+    return out.orderBy("ts", "action")
