@@ -1,8 +1,24 @@
-"""Streams over an event table: windows, sessions, deduplication, keyed access state."""
+"""Streams over an event table: windows, sessions, deduplication, keyed access state; results in files.
+
+Every stream here keeps bounded state: a watermark tells when a window, a session or a key is over.
+"""
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.scratch import shared_dir
+
+#: State of arbitrary operators needs this store; it also keeps state beyond the heap.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_setting = threading.RLock()
+ACCESS = "session string, id long, hits long, first_seen long, last_seen long, outcome string"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -12,11 +28,38 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return the result table, in the warehouse's memory sink of this session."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def finished(events: DataFrame, plan: Callable[[DataFrame], DataFrame], close: bool = True) -> DataFrame:
+    """plan(events) run over all that is there; its result as a table of files in the shared folder.
+
+    A window is appended once the watermark has passed it, and at the end of files nothing later comes to move the
+    watermark. So after the events one more row is told, at a far time and with nulls else, from a folder that was
+    empty before; the same query goes on from its checkpoint and appends what was still open. A plan keeps that row's
+    own window open, or drops it by its null key.
+    """
+    spark = events.sparkSession
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{where}/last"))
+    fs.deleteOnExit(path)
+    out = plan(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{where}/last")))
+
+    def run() -> None:
+        with _setting:  # the state store is read from the session when a query starts
+            before = spark.conf.get(STATE_STORE[0])
+            spark.conf.set(*STATE_STORE)
+            try:
+                query = out.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+            finally:
+                spark.conf.set(STATE_STORE[0], before)
+        query.awaitTermination()
+
+    run()
+    if close:
+        last = spark.range(1).select(*(F.lit("2200-01-01").cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+        last.write.mode("append").parquet(f"{where}/last")
+        run()
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -33,6 +76,55 @@ def distinct_keys(events: DataFrame, keys: list[str], late: str = "60 days") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
-def access_state(log: DataFrame, late: str = "1 day") -> DataFrame:
-    """Accesses of each (id, session) as a stream of updates: hits and last sighting, kept by key."""
-    return log.withWatermark("ts", late).groupBy("id", "session").agg(F.count("*").alias("hits"), F.max("ts").alias("last_seen"))
+class _Accesses(StatefulProcessor):
+    """One session's accesses by memory, until the session has been quiet for `quiet` milliseconds.
+
+    Rows take effect in order of ts and seq within a trigger. A settlement decides what is provisional then; what is
+    settled counts further accesses but is never opened again, also by a later settlement.
+    """
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "id long", "hits long, first_seen long, last_seen long, used boolean, outcome string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        told = pd.concat(list(rows)).sort_values(["ms", "seq"])
+        told = told[told["ms"] >= timerValues.getCurrentWatermarkInMs()]  # what comes later than the watermark allows is dropped
+        if told.empty:
+            return iter(())
+        held = {k[0]: list(v) for k, v in self.rows.iterator()}
+        for id_, kind, used, ms in told[["id", "kind", "used", "ms"]].itertuples(index=False):
+            if kind == "access":
+                row = held.setdefault(int(id_), [0, int(ms), int(ms), False, "provisional"])
+                row[0], row[1], row[2], row[3] = row[0] + 1, min(row[1], int(ms)), max(row[2], int(ms)), bool(row[3] or used)
+            else:
+                for row in held.values():
+                    if row[4] == "provisional":
+                        row[4] = "rejected" if kind == "rejected" else "confirmed" if row[3] else "unused"
+        for id_, row in held.items():
+            self.rows.updateValue((id_,), tuple(row))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(told["ms"].max()) + self.quiet)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = [(key[0], k[0], v[0], v[1], v[2], v[4]) for k, v in self.rows.iterator()]
+        self.rows.clear()
+        yield pd.DataFrame(out, columns=["session", "id", "hits", "first_seen", "last_seen", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+def access_state(log: DataFrame, late: str = "1 day", quiet_ms: int = 86_400_000) -> DataFrame:
+    """Accesses and outcomes of each session and memory, appended when the session is over.
+
+    log: (session, id, kind, used, seq, ts) with kind access, confirmed or rejected; a session's state is dropped after
+    it has been quiet for quiet_ms by event time, so state is bounded by the sessions under way.
+    """
+    told = log.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return told.groupBy("session").transformWithStateInPandas(statefulProcessor=_Accesses(quiet_ms), outputStructType=ACCESS, outputMode="Append", timeMode="EventTime")
