@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import anchors as A, constants as C, text as T, vectors as V
-from ..operators import evals as E, history as H, retrieval as R, store as S, tiers as TI
+from ..functions import anchors as A, constants as C, stemming as ST, text as T, vectors as V
+from ..operators import context as CX, evals as E, history as H, lifecycle as L, retrieval as R, store as S, tiers as TI
+from ..streaming import events as EV_
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -42,12 +43,14 @@ def memories(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select(
         i.alias("id"), F.concat_ws(" ", "lang", "source").alias("task"), "text", (i * 60).alias("ts"), (i % 37 == 0).alias("cold"),
         F.when((i % 10).isin(1, 2), i + 1).alias("superseded_by"), (i % 7 == 0).alias("suspect"),
+        F.when(i % 7 == 0, F.concat(F.lit("modified src/"), "source", F.lit(" in "), F.substring(F.md5(i.cast("string")), 1, 8))).alias("suspect_reason"),
         F.element_at(F.array(*map(F.lit, C.TIERS)), (i % 3 + 1).cast("int")).alias("tier"), F.length("text").alias("body_length"), (i % 4 == 0).alias("anchored"),
     )
 
 
 MEM = """mem AS (SELECT doc_id AS id, concat_ws(' ', lang, source) AS task, text, doc_id * 60 AS ts, doc_id % 37 = 0 AS cold,
  CASE WHEN doc_id % 10 IN (1, 2) THEN doc_id + 1 END AS superseded_by, doc_id % 7 = 0 AS suspect,
+ CASE WHEN doc_id % 7 = 0 THEN 'modified src/' || source || ' in ' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) END AS suspect_reason,
  CASE doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS tier, length(text) AS body_length, doc_id % 4 = 0 AS anchored FROM documents)"""
 VISIBLE = "NOT cold AND superseded_by IS NULL"
 
@@ -59,7 +62,8 @@ def visibility(spark, d):
 
 @query(f"WITH {MEM} SELECT id, ts FROM mem WHERE task = 'en src0' AND {VISIBLE}")
 def by_task(spark, d):
-    return memories(spark, d).where((F.col("task") == "en src0") & R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "ts")
+    found = memories(spark, d).where((F.col("task") == "en src0") & R.visible(F.col("cold"), F.col("superseded_by")))
+    return found.orderBy(F.desc("ts"), "id").select("id", "ts")
 
 
 @query(f"WITH {MEM} SELECT id, ts FROM mem WHERE suspect AND superseded_by IS NULL ORDER BY ts, id LIMIT 10")
@@ -67,14 +71,18 @@ def worklist_oldest(spark, d):
     return memories(spark, d).where("suspect and superseded_by is null").orderBy("ts", "id").limit(10).select("id", "ts")
 
 
-@query(f"WITH {MEM} SELECT id, substr(task, 1, 60) || ' :: flagged' AS example FROM mem WHERE suspect AND superseded_by IS NULL ORDER BY ts DESC, id LIMIT 10")
+@query(f"WITH {MEM} SELECT id, substr(task, 1, 60) || ' :: ' || suspect_reason AS example FROM mem WHERE suspect AND superseded_by IS NULL ORDER BY ts DESC, id LIMIT 10")
 def stale_examples(spark, d):
-    return memories(spark, d).where("suspect and superseded_by is null").orderBy(F.desc("ts"), "id").limit(10).select("id", F.concat(F.substring("task", 1, 60), F.lit(" :: flagged")).alias("example"))
+    return memories(spark, d).where("suspect and superseded_by is null").orderBy(F.desc("ts"), "id").limit(10).select("id", F.concat(F.substring("task", 1, 60), F.lit(" :: "), "suspect_reason").alias("example"))
 
 
-@query(f"WITH {MEM} SELECT count(*) AS total, count(*) FILTER (suspect AND superseded_by IS NULL) AS suspect_heads, count(superseded_by) AS superseded, count(*) FILTER (cold) AS cold_rows FROM mem")
+@query(f"WITH {MEM} SELECT count(*) AS total, count(*) FILTER (suspect AND superseded_by IS NULL) AS suspect_heads, count(superseded_by) AS superseded, count(*) FILTER (cold) AS cold_rows, count(*) FILTER (tier = 'short') AS short, count(*) FILTER (tier = 'mid') AS mid, count(*) FILTER (tier = 'long') AS long, (SELECT string_agg(substr(task || ' ' || id, 1, 90), '|' ORDER BY ts DESC, id) FROM (SELECT * FROM mem ORDER BY ts DESC, id LIMIT 5)) AS newest FROM mem")
 def stats(spark, d):
-    return memories(spark, d).agg(F.count("*").alias("total"), F.count_if(F.expr("suspect and superseded_by is null")).alias("suspect_heads"), F.count("superseded_by").alias("superseded"), F.count_if("cold").alias("cold_rows"))
+    m = memories(spark, d)
+    line = F.substring(F.concat("task", F.lit(" "), F.col("id").cast("string")), 1, 90).alias("line")
+    newest = S.latest_first(m, 5).agg(F.sort_array(F.collect_list(F.struct("ts", line)), asc=False).alias("ls")).select(F.array_join(F.transform("ls", lambda x: x.line), "|").alias("newest"))
+    counts = m.agg(F.count("*").alias("total"), F.count_if(F.expr("suspect and superseded_by is null")).alias("suspect_heads"), F.count("superseded_by").alias("superseded"), F.count_if("cold").alias("cold_rows"), *(F.count_if(F.col("tier") == x).alias(x) for x in C.TIERS))
+    return counts.crossJoin(newest)  # one row beside one
 
 
 @query(f"WITH {MEM} SELECT id, task FROM mem ORDER BY ts DESC, id LIMIT 5")
@@ -99,9 +107,11 @@ def missing_embedding(spark, d):
     return memories(spark, d).join(e, "id", "left_anti").orderBy("ts", "id").limit(1000).select("id")
 
 
-@query(f"WITH {MEM} SELECT id FROM mem WHERE superseded_by IS NULL AND id % 2 = 0 ORDER BY ts, id LIMIT 200")
+@query(f"WITH {MEM} SELECT id FROM mem WHERE superseded_by IS NULL AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = mem.id) ORDER BY ts, id LIMIT 200")
 def missing_digest(spark, d):
-    return memories(spark, d).where("superseded_by is null and id % 2 = 0").orderBy("ts", "id").limit(200).select("id")
+    """Labels stand for the digest log: what is labelled is digested."""
+    digests = t(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return memories(spark, d).where("superseded_by is null").join(digests, "id", "left_anti").orderBy("ts", "id").limit(200).select("id")
 
 
 @query("SELECT DISTINCT 'commit ' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS action FROM orders WHERE o_orderstatus = 'F'")
@@ -111,7 +121,13 @@ def recorded_actions(spark, d):
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 500")
 def events_since(spark, d):
-    return t(spark, d, "events").where("event_id > 500").select("event_id", "event_type")
+    return t(spark, d, "events").where("event_id > 500").orderBy("event_id").select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
+def keyset_page(spark, d):
+    """One page after a key. Spark needs no pages; a test holds all of them against one scan."""
+    return S.page_after(t(spark, d, "events"), "event_id", 500, 100).select("event_id", "event_type")
 
 
 # --- text ---
@@ -124,6 +140,18 @@ def explanatory_filter(spark, d):
     return t(spark, d, "documents").where(T.is_explanatory(F.col("lang"), F.col("text"), vocabulary=r"(?i)\b(license|token|password)\b")).select(F.col("doc_id").alias("id"))
 
 
+SUBJECT = "CASE doc_id % 5 WHEN 0 THEN 'fix the loader' WHEN 1 THEN 'Decided on ' || source WHEN 2 THEN 'prefix debugging' WHEN 3 THEN 'a trade-off' ELSE source END"
+VOCABULARY = T.EXPLAINING.replace("'", "''")
+
+
+@query(f"SELECT doc_id AS id FROM documents WHERE length(trim(array_to_string({BODY}, chr(10)))) >= 200 AND regexp_matches({SUBJECT} || ' ' || trim(array_to_string({BODY}, chr(10))), '{VOCABULARY}')")
+def explanatory_default(spark, d):
+    """The engine's own vocabulary, over subjects that hold it, hold it within other words, or don't."""
+    i = F.col("doc_id") % 5
+    subject = F.when(i == 0, "fix the loader").when(i == 1, F.concat(F.lit("Decided on "), "source")).when(i == 2, "prefix debugging").when(i == 3, "a trade-off").otherwise(F.col("source"))
+    return t(spark, d, "documents").where(T.is_explanatory(subject, F.col("text"))).select(F.col("doc_id").alias("id"))
+
+
 PROSE = r"len(list_filter(regexp_split_to_array(regexp_replace({}, '(^|\s)[-*•\d.)]+\s|[\w@./-]*/[\w@./-]+|[\w-]+\.[a-z]{{1,5}}\b|[A-Za-z_$][\w$]*(?:[.#][\w$]+)+', ' ', 'g'), '[^A-Za-z'']+'), lambda w: length(w) > 1))"
 
 
@@ -188,7 +216,7 @@ BM25 = f"""docs AS (SELECT doc_id AS id, {ITOKENS.format('text')} AS ts FROM doc
 @query(f"WITH {BM25} SELECT qid, count(*) AS hits, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM bm GROUP BY 1")
 def bm25_batch(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.bm25(questions(spark, d), docs).groupBy("qid").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
+    return R.bm25(questions(spark, d), docs, stemmed=False).groupBy("qid").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
 
 
 def _round_rank(df: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -200,36 +228,146 @@ def _round_rank(df: DataFrame, keys: list[str], k: int) -> DataFrame:
 @query(f"WITH {BM25}, {MEM}, r AS (SELECT qid, bm.id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ts DESC, bm.id) AS rank FROM bm JOIN mem ON mem.id = bm.id WHERE {VISIBLE}) SELECT qid, id, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, d):
     m = memories(spark, d)
-    hits = R.bm25(questions(spark, d), m.select("id", "text")).join(m.where(R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "ts"), "id")
+    hits = R.bm25(questions(spark, d), m.select("id", "text"), stemmed=False).join(m.where(R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "ts"), "id")
     return _round_rank(hits, [F.desc("ts"), "id"], 10).select("qid", "id", "score", "rank")
 
 
-@query()
+def _phrases(cut: str, question: str) -> str:
+    """BM25 where a term may be a phrase: cut is SQL for the index's tokens of {}, question SQL for the questions (qid, question)."""
+    return f"""docs AS (SELECT doc_id AS id, {cut.format('text')} AS ts FROM documents), whole AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM docs), qs AS ({question}),
+ cutq AS (SELECT DISTINCT qid, {cut.format('term')} AS parts FROM (SELECT qid, unnest({QTOKENS.format('question')}) AS term FROM qs)),
+ terms AS (SELECT DISTINCT qid, array_to_string(parts, ' ') AS term, parts FROM cutq WHERE len(parts) > 0),
+ ph AS (SELECT DISTINCT term, unnest(parts) AS part, unnest(range(0, len(parts))) AS nth, len(parts) AS width FROM terms),
+ post AS (SELECT id, len(ts) AS l, unnest(ts) AS part, unnest(range(0, len(ts))) AS pos FROM docs),
+ st AS (SELECT term, id, l, width, pos - nth AS start FROM post JOIN ph USING (part) GROUP BY ALL HAVING count(*) = width),
+ tf AS (SELECT term, id, l, count(*) AS f FROM st GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ part AS (SELECT term, id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / av)) AS p FROM tf JOIN df USING (term), whole),
+ bm AS (SELECT qid, id, sum(p) AS score FROM (SELECT DISTINCT qid, term FROM terms) JOIN part USING (term) GROUP BY 1, 2)"""
+
+
+TOP = "r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm) SELECT qid, id, score, rank FROM r WHERE rank <= 10"
+ASCII_WORDS = "list_filter(regexp_split_to_array(text, '[^a-zA-Z]+'), lambda x: length(x) > 2)"
+SNAKE = f"SELECT item_id AS qid, w[2] || '_' || w[3] || ' ' || w[5] || '_' || w[6] || '_' || w[7] || ' ' || w[9] AS question FROM (SELECT item_id, {ASCII_WORDS} AS w FROM benchmark) WHERE len(w) >= 9"
+
+
+@query(f"WITH {_phrases(ITOKENS, SNAKE)}, {TOP}")
+def bm25_phrase(spark, d):
+    """Questions of snake_case terms, made of words that stand side by side in the benchmark's texts."""
+    w = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: F.length(x) > 2)
+    pick = lambda *ns: F.concat_ws("_", *(F.element_at("w", n) for n in ns))
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), w.alias("w")).where(F.size("w") >= 9).select("qid", F.concat_ws(" ", pick(2, 3), pick(5, 6, 7), pick(9)).alias("question"))
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _round_rank(R.bm25(q, docs, stemmed=False), ["id"], 10).select("qid", "id", "score", "rank")
+
+
+def _porter(words: str) -> str:
+    """SQL of the Porter stemmer: CTEs that end in stems (w, stem), over the distinct words that the query `words` (w) gives."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some, more, one, vowel = f"'^({c})?{v}{c}'", f"'^({c})?{v}{c}{v}{c}'", f"'^({c})?{v}{c}({v})?$'", f"'^({c})?[aeiouy]'"
+    cvc = f"regexp_matches({{0}}, '^{c}[aeiouy][^aeiouwxy]$')"
+    less = lambda n: f"left(x, length(x) - {n})"
+
+    def replaced(rules: str) -> str:
+        pairs = sorted((r.split(":") for r in rules.split(" ")), key=lambda r: -len(r[0]))
+        return "CASE " + " ".join(f"WHEN ends_with(x, '{a}') THEN CASE WHEN regexp_matches({less(len(a))}, {some}) THEN {less(len(a))} || '{b}' ELSE x END" for a, b in pairs) + " ELSE x END"
+
+    cut4 = "CASE " + " ".join(f"WHEN ends_with(x, '{a}') THEN CASE WHEN regexp_matches({less(len(a))}, {more}){' AND regexp_matches(' + less(3) + chr(44) + chr(39) + '[st]$' + chr(39) + ')' if a == 'ion' else ''} THEN {less(len(a))} ELSE x END" for a in sorted(ST.STEP4.split(" "), key=len, reverse=True)) + " ELSE x END"
+    return f"""v0 AS ({words}), v1 AS (SELECT w, w AS x FROM v0 WHERE length(w) > 2 AND regexp_matches(w, '^[\\x00-\\x7F]*$')),
+ a1 AS (SELECT w, CASE WHEN ends_with(x, 'sses') OR ends_with(x, 'ies') THEN {less(2)} WHEN ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN {less(1)} ELSE x END AS x FROM v1),
+ b1 AS (SELECT w, CASE WHEN ends_with(x, 'eed') THEN CASE WHEN regexp_matches({less(3)}, {some}) THEN {less(1)} ELSE x END WHEN ends_with(x, 'ed') AND regexp_matches({less(2)}, {vowel}) THEN {less(2)} WHEN ends_with(x, 'ing') AND regexp_matches({less(3)}, {vowel}) THEN {less(3)} ELSE x END AS x,
+  NOT ends_with(x, 'eed') AND ((ends_with(x, 'ed') AND regexp_matches({less(2)}, {vowel})) OR (ends_with(x, 'ing') AND regexp_matches({less(3)}, {vowel}))) AS fresh FROM a1),
+ b2 AS (SELECT w, CASE WHEN NOT fresh THEN x WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' WHEN right(x, 1) = right({less(1)}, 1) AND regexp_matches(x, '[^aeiouylsz]$') THEN {less(1)} WHEN regexp_matches(x, {one}) AND {cvc.format('x')} THEN x || 'e' ELSE x END AS x FROM b1),
+ c1 AS (SELECT w, CASE WHEN ends_with(x, 'y') AND regexp_matches({less(1)}, {vowel}) THEN {less(1)} || 'i' ELSE x END AS x FROM b2),
+ d1 AS (SELECT w, {replaced(ST.STEP2)} AS x FROM c1), e1 AS (SELECT w, {replaced(ST.STEP3)} AS x FROM d1), f1 AS (SELECT w, {cut4} AS x FROM e1),
+ g1 AS (SELECT w, CASE WHEN ends_with(x, 'e') AND (regexp_matches({less(1)}, {more}) OR (regexp_matches({less(1)}, {one}) AND NOT {cvc.format(less(1))})) THEN {less(1)} ELSE x END AS x FROM f1),
+ h1 AS (SELECT w, CASE WHEN ends_with(x, 'll') AND regexp_matches(x, {more}) THEN {less(1)} ELSE x END AS x FROM g1),
+ stems AS (SELECT w, x AS stem FROM h1 UNION ALL SELECT w, w FROM v0 WHERE w NOT IN (SELECT w FROM v1))"""
+
+
+FOLDED = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+STEMMED = f"""dw AS (SELECT doc_id AS id, {FOLDED.format('text')} AS ts FROM documents), qw AS (SELECT DISTINCT item_id AS qid, unnest({FOLDED.format("array_to_string(" + QTOKENS.format('text') + ", ' ')")}) AS w FROM benchmark),
+ {_porter("SELECT DISTINCT w FROM (SELECT unnest(ts) AS w FROM dw UNION ALL SELECT w FROM qw)")}, whole AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM dw), terms AS (SELECT DISTINCT qid, stem AS term FROM qw JOIN stems USING (w)),
+ tf AS (SELECT stem AS term, id, l, count(*) AS f FROM (SELECT id, len(ts) AS l, unnest(ts) AS w FROM dw) JOIN stems USING (w) WHERE stem IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ part AS (SELECT term, id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / av)) AS p FROM tf JOIN df USING (term), whole),
+ bm AS (SELECT qid, id, sum(p) AS score FROM terms JOIN part USING (term) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {STEMMED}, {TOP}")
 def bm25_stemmed(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return _round_rank(R.bm25(questions(spark, d), docs, stemmed=True), ["id"], 10).select("qid", "id", "score", "rank")
+    return _round_rank(R.bm25(questions(spark, d), docs), ["id"], 10).select("qid", "id", "score", "rank")
 
 
-def part_names(spark, d):
-    return t(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id"))
+def parts(spark, d):
+    """Part descriptions as memories, the names of parts as questions; both with vectors where their number has one."""
+    p = t(spark, d, "part")
+    vec = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    i = F.col("p_partkey")
+    m = p.select(
+        i.alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type")).alias("text"), (i % 7 * 86_400 + i).alias("ts"), F.element_at(F.array(*map(F.lit, C.TIERS)), (i % 3 + 1).cast("int")).alias("tier"),
+        (i * 3).alias("body_length"), (i % 4 == 0).alias("anchored"), (i % 11 != 0).alias("visible"),
+    )
+    q = p.groupBy(F.concat(F.lit("which "), F.col("p_name")).alias("question")).agg(F.min("p_partkey").alias("id"))
+    return m.join(vec, "id", "left"), q.join(vec, "id", "left").withColumnRenamed("id", "qid")
 
 
-SIM = f"""names AS (SELECT p_name AS text, min(p_partkey) AS id FROM part GROUP BY 1), seqs AS (SELECT id, text, {TRI.format('text')} AS s FROM names),
- q AS (SELECT id AS qid, list_distinct(s) AS q3 FROM seqs), b AS (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM seqs),
- ext AS (SELECT id, s[i:j] AS e FROM (SELECT id, s, i, unnest(range(i, len(s) + 1)) AS j FROM b)),
- sim AS (SELECT qid, id, max(len(list_intersect(q3, e)) / len(list_distinct(list_concat(q3, e)))) AS score FROM q, ext GROUP BY 1, 2)"""
+PARTS = """pt AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || lower(p_type) AS text, p_partkey % 7 * 86400 + p_partkey AS ts, CASE p_partkey % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS tier, p_partkey * 3 AS body_length, p_partkey % 4 = 0 AS anchored, p_partkey % 11 <> 0 AS visible FROM part),
+ pq AS (SELECT 'which ' || p_name AS question, min(p_partkey) AS qid FROM part GROUP BY 1)"""
+SIM = f"""{PARTS}, seqs AS (SELECT text, {TRI.format('text')} AS s FROM (SELECT DISTINCT text FROM pt)), q3s AS (SELECT qid, list_distinct({TRI.format('question')}) AS q3 FROM pq),
+ cand AS (SELECT qid, q3, text, s FROM q3s, seqs WHERE len(list_intersect(q3, s)) >= 0.35 * len(q3)),
+ b AS (SELECT qid, q3, text, s, unnest(range(1, len(s) + 1)) AS i FROM cand), ext AS (SELECT qid, q3, text, s[i:j] AS e FROM (SELECT qid, q3, text, s, i, unnest(range(i, len(s) + 1)) AS j FROM b)),
+ sims AS (SELECT qid, text, max(len(list_intersect(q3, e)) / len(list_distinct(list_concat(q3, e)))) AS score FROM ext GROUP BY 1, 2), sim AS (SELECT qid, id, score FROM sims JOIN pt USING (text) WHERE score >= 0.35)"""
 
 
-@query(f"WITH {SIM} SELECT qid, id, round(score, 6) AS score FROM sim WHERE score >= 0.35")
+@query(f"WITH {SIM} SELECT qid, count(*) AS hits, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM sim GROUP BY 1")
 def trigram_threshold(spark, d):
-    names = part_names(spark, d)
-    return R.trigram_leg(names.select(F.col("id").alias("qid"), F.col("text").alias("question")), names).select("qid", "id", F.round("score", 6).alias("score"))
+    m, q = parts(spark, d)
+    return R.trigram_leg(q, m).groupBy("qid").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query(f"WITH {SIM}, r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM sim WHERE score >= 0.35) SELECT * FROM r WHERE rank <= 5")
+@query(f"WITH {SIM}, r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM sim) SELECT * FROM r WHERE rank <= 5")
 def trigram_topk(spark, d):
-    names = part_names(spark, d)
-    return _round_rank(R.trigram_leg(names.select(F.col("id").alias("qid"), F.col("text").alias("question")), names), ["id"], 5).select("qid", "id", "score", "rank")
+    m, q = parts(spark, d)
+    return _round_rank(R.trigram_leg(q, m), ["id"], 5).select("qid", "id", "score", "rank")
+
+
+@query()
+def trigram_documents(spark, d):
+    """Questions against whole documents; SQL would enumerate every extent of every text, so tests hold it against brute force."""
+    m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
+    return R.rank_leg(R.trigram_leg(questions(spark, d), m.select("id", "text")), m, 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+THREE = f"""{SIM}, pd AS (SELECT id, {ITOKENS.format('text')} AS ts FROM pt), whole AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM pd), terms AS (SELECT DISTINCT qid, unnest({QTOKENS.format('question')}) AS term FROM pq),
+ tf AS (SELECT term, id, l, count(*) AS f FROM (SELECT id, len(ts) AS l, unnest(ts) AS term FROM pd) WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ bm AS (SELECT qid, id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / av))) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), whole GROUP BY 1, 2),
+ cs AS (SELECT qid, pt.id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS score FROM pq JOIN embeddings q ON q.vec_id = qid, pt JOIN embeddings m ON m.vec_id = pt.id),
+ hits AS (SELECT 'text' AS leg, 1.0 AS weight, * FROM bm UNION ALL SELECT 'trigram', 0.5, * FROM sim UNION ALL SELECT 'vector', 0.5, * FROM cs),
+ ranked AS (SELECT leg, weight, qid, h.id, score, row_number() OVER (PARTITION BY leg, qid ORDER BY round(score, 9) DESC, ts DESC, h.id) AS rank FROM hits h JOIN pt ON pt.id = h.id WHERE visible),
+ shut AS (SELECT qid FROM (SELECT qid, max(score) AS best FROM ranked WHERE leg = 'vector' GROUP BY 1) WHERE best < 0.97),
+ fused AS (SELECT qid, id, CAST(sum(weight / (60 + rank)) AS DOUBLE) AS content, list_sort(list(DISTINCT leg)) AS ls FROM ranked WHERE rank <= 20 AND qid NOT IN (SELECT qid FROM shut) GROUP BY 1, 2),
+ scored AS (SELECT qid, id, ts, ls, anchored, content, content * CASE tier WHEN 'short' THEN 1.0 WHEN 'mid' THEN 1.1 ELSE 1.25 END * CASE WHEN body_length > 2000 THEN 1 / (1 + ln(body_length / 2000.0)) ELSE 1.0 END AS score FROM fused JOIN pt USING (id)),
+ answers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ts DESC, id) AS rank FROM scored) WHERE rank <= 5)"""
+REASON = "CASE WHEN len(ls) > 1 THEN 'hybrid_match' WHEN ls[1] = 'text' THEN 'text_match' WHEN ls[1] = 'trigram' THEN 'lexical_match' ELSE 'semantic_match' END"
+
+
+def answered_parts(spark, d):
+    """All three legs, the gate and the fusion. Vectors count where the question's part is not answered by itself alone."""
+    m, q = parts(spark, d)
+    return R.by_meaning(q, m, stemmed=False, min_vector_score=0.97)
+
+
+@query(f"WITH {THREE} SELECT qid, id, rank, round(score, 9) AS score, {REASON} AS reason, anchored FROM answers")
+def by_meaning_three_legs(spark, d):
+    return answered_parts(spark, d).select("qid", "id", "rank", F.round("score", 9).alias("score"), "reason", "anchored")
+
+
+@query(f"WITH {THREE} SELECT id, 's' || qid % 5 AS session, count(*) AS hits FROM answers WHERE qid % 5 <> 0 GROUP BY ALL")
+def write_on_read(spark, d):
+    """The accesses that answering records: of what was returned, for questions asked in a named session."""
+    a = answered_parts(spark, d).select("qid", "id")
+    asked = a.select("qid").distinct().select("qid", F.when(F.col("qid") % 5 != 0, F.concat(F.lit("s"), (F.col("qid") % 5).cast("string"))).alias("session"))
+    return TI.accesses(CX.read_accesses(a, asked, F.lit(0))).select("id", "session", "hits")
 
 
 def vectors(spark, d):
@@ -250,7 +388,7 @@ def cosine_batch(spark, d):
 
 @query(f"WITH {COS}, r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM cos) SELECT * FROM r WHERE rank <= 10")
 def cosine_topk(spark, d):
-    return _round_rank(R.vector_leg(question_vectors(spark, d), vectors(spark, d)), ["id"], 10).select("qid", "id", "score", "rank")
+    return _round_rank(R.vector_leg(question_vectors(spark, d), vectors(spark, d), 10), ["id"], 10).select("qid", "id", "score", "rank")
 
 
 LEGS = f"""{BM25}, {COS}, {MEM},
@@ -264,8 +402,8 @@ LEGS = f"""{BM25}, {COS}, {MEM},
 def legs(spark, d):
     m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
     rounded = lambda df: df.withColumn("score", F.round("score", 6))
-    text = R.rank_leg(rounded(R.bm25(questions(spark, d), m.select("id", "text"))), m)
-    vector = R.rank_leg(rounded(R.vector_leg(question_vectors(spark, d), vectors(spark, d))), m)
+    text = R.rank_leg(rounded(R.bm25(questions(spark, d), m.select("id", "text"), stemmed=False)), m)
+    vector = R.rank_leg(rounded(R.vector_leg(question_vectors(spark, d), vectors(spark, d).join(m.where("visible").select("id"), "id", "left_semi"), 20)), m)
     return m, {"text": text, "vector": vector}
 
 
@@ -275,7 +413,7 @@ def rrf_fuse(spark, d):
     return R.fuse(ls, m, limit=10**9).select("qid", "id", F.round("content_score", 9).alias("content_score"), F.array_join("legs", "+").alias("legs"))
 
 
-@query(f"WITH {LEGS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ts DESC, id) AS rank FROM scored) SELECT qid, id, rank, round(score, 9) AS score, CASE WHEN len(ls) > 1 THEN 'hybrid_match' WHEN ls[1] = 'text' THEN 'text_match' ELSE 'semantic_match' END AS reason, anchored FROM r WHERE rank <= 5")
+@query(f"WITH {LEGS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ts DESC, id) AS rank FROM scored) SELECT qid, id, rank, round(score, 9) AS score, CASE WHEN len(ls) > 1 THEN 'hybrid_match' WHEN ls[1] = 'text' THEN 'text_match' ELSE 'semantic_match' END AS reason, anchored FROM r WHERE rank <= 5")
 def hybrid_by_meaning(spark, d):
     m, ls = legs(spark, d)
     return R.fuse(ls, m).select("qid", "id", "rank", F.round("score", 9).alias("score"), "reason", "anchored")
@@ -308,8 +446,8 @@ GOLD = "gold AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN docum
 def mrr_recall(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     q = questions(spark, d)
-    gold = docs.join(q, F.contains(docs.text, q.question)).select("qid", "id")
-    ranked = _round_rank(R.bm25(q, docs), ["id"], 10).select("qid", "id", "rank")
+    gold = E.contained(q, docs)
+    ranked = _round_rank(R.bm25(q, docs, stemmed=False), ["id"], 10).select("qid", "id", "rank")
     found = gold.join(ranked, ["qid", "id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
     return found.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
@@ -324,7 +462,7 @@ def mean_pooling(spark, d):
 def gate_answered_leaked(spark, d):
     floors = spark.createDataFrame([(x,) for x in (0.2, 0.4, 0.6, 0.8)], "floor double")
     docs, q = t(spark, d, "documents"), questions(spark, d)
-    gold = docs.join(q, F.contains(docs.text, q.question)).select("qid").distinct().withColumn("gold", F.lit(True))
+    gold = E.contained(q, docs.select(F.col("doc_id").alias("id"), "text")).select("qid").distinct().withColumn("gold", F.lit(True))
     best = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b")).join(gold, "qid", "left")
     return best.crossJoin(floors).groupBy("floor").agg(F.count_if(F.expr("b >= floor and gold is not null")).alias("answered"), F.count_if(F.expr("b >= floor and gold is null")).alias("leaked"))
 
@@ -358,9 +496,26 @@ def supersede_head(spark, d):
     return H.heads(links(spark, d))
 
 
-@query(f"WITH {MEM} SELECT id, CAST(id - 21 AS INTEGER) AS depth FROM mem WHERE id IN (21, 22, 23)")
+def order_links(spark, d):
+    """A customer's orders correct each other in turn: chains of a dozen and more."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lead("o_orderkey").over(w).alias("superseded_by"), F.col("o_orderdate").alias("ts"), "o_custkey")
+
+
+OLINKS = "ol AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS superseded_by, o_custkey FROM orders), busy AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), member AS (SELECT max(id) AS id FROM ol WHERE o_custkey IN (SELECT o_custkey FROM busy))"
+
+
+@query(f"WITH RECURSIVE {OLINKS}, fwd(id, n) AS (SELECT id, 0 FROM member UNION ALL SELECT ol.superseded_by, n + 1 FROM fwd JOIN ol ON ol.id = fwd.id WHERE ol.superseded_by IS NOT NULL), bck(id, n) AS (SELECT arg_max(id, n), 0 FROM fwd UNION ALL SELECT ol.id, n + 1 FROM bck JOIN ol ON ol.superseded_by = bck.id) SELECT id, CAST((SELECT max(n) FROM bck) - n AS INTEGER) AS depth FROM bck")
 def supersede_chain(spark, d):
-    return H.chain_of(links(spark, d), 22)
+    """The chain of the busiest customer's orders, from any one of its members."""
+    every = order_links(spark, d)
+    busy = every.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("id").alias("member")).orderBy(F.desc("n"), "o_custkey").first()
+    return H.chain_of(every, busy.member).select("id", "depth")
+
+
+@query(f"WITH RECURSIVE {OLINKS}, c(id, cur, depth) AS (SELECT id, id, 0 FROM ol UNION ALL SELECT c.id, ol.superseded_by, depth + 1 FROM c JOIN ol ON ol.id = c.cur WHERE ol.superseded_by IS NOT NULL) SELECT id, max_by(cur, depth) AS head, CAST(max(depth) AS BIGINT) AS depth FROM c GROUP BY 1")
+def deep_heads(spark, d):
+    return H.heads(order_links(spark, d))
 
 
 @query(f"WITH {MEM}, p AS (SELECT id AS old, id + 1 AS new FROM mem WHERE id % 10 IN (2, 3) UNION ALL SELECT id, id - 1 FROM mem WHERE id % 10 = 3 UNION ALL SELECT id, id FROM mem WHERE id % 10 = 5 UNION ALL SELECT id, -5 FROM mem WHERE id % 10 = 6 UNION ALL SELECT id, id + 5 FROM mem WHERE id % 10 = 1) SELECT old, new, CASE WHEN old = new THEN 'self' WHEN new NOT IN (SELECT id FROM mem) THEN 'unknown' WHEN old % 10 = 2 THEN 'same' WHEN old % 10 = 1 THEN 'fork' WHEN new = old - 1 THEN 'cycle' ELSE 'ok' END AS verdict FROM p")
@@ -372,18 +527,30 @@ def cycle_check(spark, d):
     return H.would_cycle(m, p)
 
 
-def changes(spark, d):
-    """Commits are orders, touched paths their parts; every fiftieth part was renamed to the next. Newest first by seq."""
+def changes(spark, d, chain: int = 0):
+    """Commits are orders, touched paths their parts. Newest first by seq.
+
+    Three parts of every fifty were each renamed to the next, so paths have up to four names; the first `chain` parts
+    likewise, in one chain; and three parts around in a ring.
+    """
     o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
     day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
     rows = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o"), day.alias("date")).distinct()
     name = lambda c: F.concat(F.lit("src/p"), c.cast("string"))
-    renamed = F.col("p") % 50 == 0
-    return rows.select((-F.col("date") * 100_000_000_000 - F.col("o") * 10_000 - F.col("p")).alias("seq"), F.when(renamed, name(F.col("p") + 1)).otherwise(name(F.col("p"))).alias("path"), F.when(renamed, name(F.col("p"))).alias("previous_path"), F.when(renamed, "renamed").otherwise("modified").alias("kind"), F.md5(F.col("o").cast("string")).alias("sha"), "date", "o")
+    p = F.col("p")
+    ring = p.isin(310, 311, 312)
+    renamed = (p < chain) | ring | (p % 50 < 3)
+    to = F.when(p == 312, F.lit(310)).otherwise(p + 1)
+    return rows.select((-F.col("date") * 100_000_000_000 - F.col("o") * 10_000 - F.col("p")).alias("seq"), F.when(renamed, name(to)).otherwise(name(p)).alias("path"), F.when(renamed, name(p)).alias("previous_path"), F.when(renamed, "renamed").otherwise("modified").alias("kind"), F.md5(F.col("o").cast("string")).alias("sha"), "date", "o")
+
 
+def _chg(chain: int) -> str:
+    renamed = f"(l_partkey < {chain} OR l_partkey IN (310, 311, 312) OR l_partkey % 50 < 3)"
+    return f"""chg AS (SELECT DISTINCT -(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 100000000000) - l_orderkey * 10000 - l_partkey AS seq, CASE WHEN {renamed} THEN 'src/p' || CASE WHEN l_partkey = 312 THEN 310 ELSE l_partkey + 1 END ELSE 'src/p' || l_partkey END AS path,
+ CASE WHEN {renamed} THEN 'src/p' || l_partkey END AS previous_path, CASE WHEN {renamed} THEN 'renamed' ELSE 'modified' END AS kind, md5(CAST(l_orderkey AS VARCHAR)) AS sha, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS date, l_orderkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
-CHG = """chg AS (SELECT DISTINCT -(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 100000000000) - l_orderkey * 10000 - l_partkey AS seq, CASE WHEN l_partkey % 50 = 0 THEN 'src/p' || (l_partkey + 1) ELSE 'src/p' || l_partkey END AS path,
- CASE WHEN l_partkey % 50 = 0 THEN 'src/p' || l_partkey END AS previous_path, CASE WHEN l_partkey % 50 = 0 THEN 'renamed' ELSE 'modified' END AS kind, md5(CAST(l_orderkey AS VARCHAR)) AS sha, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS date, l_orderkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+CHG = _chg(0)
 
 
 @query(f"WITH {CHG} SELECT path FROM chg UNION SELECT previous_path FROM chg WHERE previous_path IS NOT NULL")
@@ -391,36 +558,38 @@ def changed_path_universe(spark, d):
     return H.changed_paths(changes(spark, d))
 
 
-@query(f"WITH RECURSIVE {CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM chg WHERE previous_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT path FROM chg UNION SELECT previous_path FROM rn), c(path, name) AS (SELECT path, path FROM p UNION SELECT c.path, rn.path FROM c JOIN rn ON rn.previous_path = c.name) SELECT path, name FROM c")
+@query(f"WITH RECURSIVE {_chg(200)}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM chg WHERE previous_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT path FROM chg UNION SELECT previous_path FROM rn), c(path, name) AS (SELECT path, path FROM p UNION SELECT c.path, rn.path FROM c JOIN rn ON rn.previous_path = c.name) SELECT path, name FROM c")
 def rename_closure(spark, d):
-    ch = changes(spark, d)
+    ch = changes(spark, d, chain=200)
     return H.path_closure(H.changed_paths(ch), H.rename_map(ch))
 
 
 def order_memories(spark, d):
-    """Every tenth order as a memory anchored on its parts, as of its date."""
-    ch = changes(spark, d).where("o % 10 = 0")
+    """Every order as a memory anchored on its parts, as of its date."""
+    ch = changes(spark, d)
     anchors = ch.select(F.col("o").alias("id"), F.coalesce("previous_path", "path").alias("path")).distinct()
     m = ch.groupBy(F.col("o").alias("id")).agg(F.max("date").alias("as_of")).withColumn("suspect", F.col("id") % 30 == 0).withColumn("suspect_reason", F.when(F.col("suspect"), "kept from before"))
     return anchors, m
 
 
+#: The closure is over renames, so the recursion stops at names already seen.
 STALE = f"""{CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM chg WHERE previous_path IS NOT NULL GROUP BY 1),
- anc AS (SELECT DISTINCT o AS id, coalesce(previous_path, path) AS path FROM chg WHERE o % 10 = 0), mm AS (SELECT o AS id, max(date) AS as_of, o % 30 = 0 AS suspect FROM chg WHERE o % 10 = 0 GROUP BY 1, 3),
- nm AS (SELECT id, path AS name FROM anc UNION SELECT id, rn.path FROM anc JOIN rn ON rn.previous_path = anc.path),
- tc AS (SELECT seq, path AS name FROM chg UNION SELECT seq, previous_path FROM chg WHERE previous_path IS NOT NULL),
- met AS (SELECT DISTINCT nm.id, chg.* FROM nm JOIN tc ON tc.name = nm.name JOIN chg ON chg.seq = tc.seq JOIN mm ON mm.id = nm.id AND chg.date > mm.as_of),
+ anc AS (SELECT DISTINCT o AS id, coalesce(previous_path, path) AS path FROM chg), mm AS (SELECT o AS id, max(date) AS as_of, o % 30 = 0 AS suspect FROM chg GROUP BY 1, 3),
+ cl(path, name) AS (SELECT DISTINCT path, path FROM anc UNION SELECT cl.path, rn.path FROM cl JOIN rn ON rn.previous_path = cl.name),
+ nm AS MATERIALIZED (SELECT DISTINCT id, name, as_of FROM anc JOIN cl USING (path) JOIN mm USING (id)),
+ tc AS MATERIALIZED (SELECT seq, date, path AS name FROM chg UNION SELECT seq, date, previous_path FROM chg WHERE previous_path IS NOT NULL),
+ hit AS MATERIALIZED (SELECT DISTINCT nm.id, tc.seq FROM nm JOIN tc ON tc.name = nm.name WHERE tc.date > nm.as_of), met AS (SELECT hit.id, chg.* FROM hit JOIN chg ON chg.seq = hit.seq),
  f AS (SELECT id, count(*) AS n, max(date) AS newest, min_by(kind || ' ' || CASE WHEN kind = 'renamed' THEN previous_path || ' -> ' || path ELSE path END || ' in ' || substr(sha, 1, 8), seq) AS why FROM met GROUP BY 1)"""
 
 
-@query(f"WITH {STALE} SELECT mm.id, n IS NOT NULL OR suspect AS possibly_stale, CASE WHEN n > 1 THEN why || ' (+' || (n - 1) || ' more)' WHEN n = 1 THEN why WHEN suspect THEN 'kept from before' END AS reason, newest, coalesce(n, 0) AS n_changes FROM mm LEFT JOIN f ON f.id = mm.id")
+@query(f"WITH RECURSIVE {STALE} SELECT mm.id, n IS NOT NULL OR suspect AS possibly_stale, CASE WHEN n > 1 THEN why || ' (+' || (n - 1) || ' more)' WHEN n = 1 THEN why WHEN suspect THEN 'kept from before' END AS reason, newest, coalesce(n, 0) AS n_changes FROM mm LEFT JOIN f ON f.id = mm.id")
 def stale_verdicts(spark, d):
     anchors, m = order_memories(spark, d)
     ch = changes(spark, d)
     return H.verdicts(anchors, m, ch, H.path_closure(anchors.select("path"), H.rename_map(ch)))
 
 
-@query(f"WITH {STALE} SELECT count(*) AS candidates, count(*) FILTER (n IS NOT NULL OR suspect) AS marked FROM mm LEFT JOIN f ON f.id = mm.id")
+@query(f"WITH RECURSIVE {STALE} SELECT count(*) AS candidates, count(*) FILTER (n IS NOT NULL OR suspect) AS marked FROM mm LEFT JOIN f ON f.id = mm.id")
 def mark_suspects(spark, d):
     return stale_verdicts(spark, d).agg(F.count("*").alias("candidates"), F.count_if("possibly_stale").alias("marked"))
 
@@ -455,7 +624,7 @@ def shares_issue(spark, d):
 
 
 REVERTING = """cm AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN o_orderkey % 20 = 10 THEN 'Revert "change ' || o_custkey % 50 || '"' ELSE 'change ' || o_custkey % 50 END AS subject, CAST(o_orderdate AS DATE) AS date,
- CASE WHEN o_orderkey % 20 = 0 THEN substr(md5(CAST(o_orderkey - 1 AS VARCHAR)), 1, 12) WHEN o_orderkey % 20 = 5 THEN md5(CAST(o_orderkey - 2 AS VARCHAR)) END AS ref FROM orders),
+ CASE WHEN o_orderkey % 20 = 0 THEN substr(md5(CAST(o_orderkey - 1 AS VARCHAR)), 1, 12) WHEN o_orderkey % 20 = 15 THEN (SELECT md5(CAST(min(p.o_orderkey) AS VARCHAR)) FROM orders p WHERE p.o_custkey = orders.o_custkey AND p.o_orderkey <> orders.o_orderkey) WHEN o_orderkey % 20 = 5 THEN md5(CAST(o_orderkey - 2 AS VARCHAR)) END AS ref FROM orders),
  rs AS (SELECT a.sha AS source, b.sha AS target FROM cm a JOIN cm b ON starts_with(b.sha, a.ref)),
  rq AS (SELECT sha AS source, date, regexp_extract(subject, '^Revert "(.+)"$', 1) AS quoted FROM cm WHERE starts_with(subject, 'Revert')),
  rv AS (SELECT * FROM rs UNION ALL SELECT source, target FROM (SELECT rq.source, cm.sha AS target, row_number() OVER (PARTITION BY rq.source ORDER BY cm.date DESC, cm.sha DESC) AS r FROM rq JOIN cm ON cm.subject = quoted AND cm.date <= rq.date) WHERE r = 1)"""
@@ -464,10 +633,13 @@ REVERTING = """cm AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN
 @query(f"WITH {REVERTING} SELECT source, target FROM rv")
 def revert_links(spark, d):
     key = lambda c: F.md5(c.cast("string"))
+    each = Window.partitionBy("o_custkey")
+    mates = t(spark, d, "orders").withColumn("o1", F.min("o_orderkey").over(each)).withColumn("o2", F.min(F.when(F.col("o_orderkey") != F.col("o1"), F.col("o_orderkey"))).over(each))
+    mate = F.when(F.col("o_orderkey") == F.col("o1"), F.col("o2")).otherwise(F.col("o1"))
     k, topic = F.col("o_orderkey"), F.concat(F.lit("change "), (F.col("o_custkey") % 50).cast("string"))
     subject = F.when(k % 20 == 10, F.concat(F.lit('Revert "'), topic, F.lit('"'))).otherwise(topic)
-    body = F.when(k % 20 == 0, F.concat(F.lit("This reverts commit "), F.substring(key(k - 1), 1, 12), F.lit("."))).when(k % 20 == 5, F.concat(F.lit("This reverts commit "), key(k - 2)))
-    return H.reverts(t(spark, d, "orders").select(key(k).alias("sha"), subject.alias("subject"), body.alias("body"), F.col("o_orderdate").cast("date").alias("date")))
+    body = F.when(k % 20 == 0, F.concat(F.lit("This reverts commit "), F.substring(key(k - 1), 1, 12), F.lit("."))).when(k % 20 == 15, F.concat(F.lit("This reverts commit "), key(mate))).when(k % 20 == 5, F.concat(F.lit("This reverts commit "), key(k - 2)))
+    return H.reverts(mates.select(key(k).alias("sha"), subject.alias("subject"), body.alias("body"), F.col("o_orderdate").cast("date").alias("date")))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE 'commit ' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) IN (SELECT 'commit ' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) FROM lineitem WHERE l_quantity > 49)")
@@ -476,13 +648,17 @@ def memories_for_commits(spark, d):
     return H.memories_of(m, t(spark, d, "lineitem").where("l_quantity > 49").select(F.md5(F.col("l_orderkey").cast("string")).alias("sha"))).select("id")
 
 
-EDGES = f"{FOLLOW}, {SHARE}, ed AS (SELECT DISTINCT source, target, 'follows_up' AS relation, 1 AS strength, 0.5 AS confidence FROM fu UNION ALL SELECT source, target, 'shares_issue', 2, 0.8 FROM si), best AS (SELECT source, target, max_by(relation, strength) AS relation, max(confidence) AS confidence FROM ed GROUP BY 1, 2)"
+EDGES = f"{FOLLOW}, {SHARE}, {REVERTING}, ky AS (SELECT o_orderkey AS k, md5(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders), ed AS (SELECT DISTINCT source, target, 'follows_up' AS relation, 1 AS strength, 0.5 AS confidence FROM fu UNION ALL SELECT source, target, 'shares_issue', 2, 0.8 FROM si UNION ALL SELECT a.k, b.k, 'reverts', 3, 1.0 FROM rv JOIN ky a ON a.sha = source JOIN ky b ON b.sha = target), best AS (SELECT source, target, max_by(relation, strength) AS relation, max(confidence) AS confidence FROM ed GROUP BY 1, 2)"
 
 
 def edges(spark, d):
-    f = follows_up(spark, d).select("source", "target").distinct().select("source", "target", F.lit("follows_up").alias("relation"), F.lit(1).alias("strength"), F.lit(3).alias("rule"), F.lit(0.5).alias("confidence"))
-    s = shares_issue(spark, d).select("source", "target", F.lit("shares_issue").alias("relation"), F.lit(2).alias("strength"), F.lit(2).alias("rule"), F.lit(0.8).alias("confidence"))
-    return H.strongest(f.unionAll(s))
+    """The three relations, the strongest for each pair. A few reverts concern orders that also share a customer."""
+    key = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.md5(F.col("o_orderkey").cast("string")).alias("sha"))
+    named = lambda c: key.select(F.col("k").alias(f"{c}_k"), F.col("sha").alias(c))
+    rule = lambda df, relation, strength, confidence: df.select("source", "target", F.lit(relation).alias("relation"), F.lit(strength).alias("strength"), F.lit(4 - strength).alias("rule"), F.lit(confidence).alias("confidence"))
+    r = revert_links(spark, d).join(named("source"), "source").join(named("target"), "target").select(F.col("source_k").alias("source"), F.col("target_k").alias("target"))
+    f = follows_up(spark, d).select("source", "target").distinct()
+    return H.strongest(rule(r, "reverts", 3, 1.0).unionAll(rule(shares_issue(spark, d), "shares_issue", 2, 0.8)).unionAll(rule(f, "follows_up", 1, 0.5)))
 
 
 @query(f"WITH {EDGES} SELECT source, target, relation FROM best")
@@ -490,6 +666,14 @@ def link_precedence(spark, d):
     return edges(spark, d).select("source", "target", "relation")
 
 
+@query(f"WITH {EDGES}, rk AS (SELECT c_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM customer JOIN orders ON o_custkey = c_custkey), h AS (SELECT * FROM rk WHERE rank <= 5), bw AS (SELECT source AS id, target AS other, confidence FROM best UNION ALL SELECT target, source, confidence FROM best), al AS (SELECT qid, id, rank, CASE WHEN rank <= 2 THEN 0 ELSE 2 END AS step, CAST(NULL AS DOUBLE) AS confidence FROM h UNION ALL SELECT qid, other, rank, 1, CAST(confidence AS DOUBLE) FROM h JOIN bw USING (id) WHERE rank <= 2), u AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY step, confidence DESC, rank) = 1), pl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step, confidence DESC, rank, id) AS place FROM u) SELECT qid, id, CAST(place AS INTEGER) AS place, CASE step WHEN 0 THEN 'by_meaning' WHEN 1 THEN 'linked' ELSE 'backfill' END AS provenance FROM pl WHERE place <= 5")
+def linked_arm(spark, d):
+    """A customer's five dearest orders as an answer, of which links may replace all but two."""
+    o = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return E.linked_arm(o.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("id"), F.row_number().over(w).alias("rank")), edges(spark, d), 5, 2)
+
+
 @query(f"WITH {EDGES}, m AS (SELECT source AS id, relation FROM best UNION ALL SELECT target, relation FROM best) SELECT (SELECT count(*) FROM best) AS n_edges, count(DISTINCT id) AS linked, round(count(DISTINCT id) / (SELECT count(*) FROM orders), 6) AS share FROM m")
 def link_coverage(spark, d):
     e = edges(spark, d)
@@ -550,20 +734,23 @@ def settle_outcomes(spark, d):
 
 NOW = 1_706_745_600_000  # 2024-02-01
 START = NOW - C.CREDIT_WINDOW_DAYS * DAY
-STATES = f"""{SET}, me AS (SELECT CAST(i AS BIGINT) AS id, CASE i % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS tier, {NOW - 40 * DAY} + i * {DAY // 4} AS tier_changed_at, (i % 5) * 100 AS credit_watermark FROM range(0, 120) r(i)),
+STATES = f"""{SET}, me AS (SELECT CAST(i AS BIGINT) AS id, CASE i % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS tier, {NOW} - (i % 400) * {DAY} AS created_at, {NOW} - (i % 200) * {DAY // 4} AS tier_changed_at, (i % 5) * 100 AS credit_watermark, i % 37 = 0 AS cold FROM (SELECT p_partkey AS i FROM part)),
  lc AS (SELECT id, max(settled_at) AS lc FROM sd WHERE outcome = 'confirmed' GROUP BY 1),
- ts AS (SELECT me.id, tier, tier_changed_at, credit_watermark, count(*) FILTER (outcome = 'confirmed') AS confirmed_sessions, count(*) FILTER (outcome = 'confirmed' AND settle_seq > credit_watermark AND settled_at >= {START}) AS promotion_credit,
+ ts AS (SELECT me.id, tier, created_at, tier_changed_at, credit_watermark, cold, count(*) FILTER (outcome = 'confirmed') AS confirmed_sessions, count(*) FILTER (outcome = 'confirmed' AND settle_seq > credit_watermark AND settled_at >= {START}) AS promotion_credit,
   coalesce(max(settle_seq) FILTER (outcome = 'confirmed' AND settle_seq > credit_watermark AND settled_at >= {START}), credit_watermark) AS credit_seq, count(*) FILTER (outcome = 'rejected' AND settled_at > greatest(tier_changed_at, coalesce(lc, tier_changed_at))) AS rejected_since,
-  CAST(coalesce(sum(hits), 0) AS BIGINT) AS access_count, max(last_seen) AS last_accessed FROM me LEFT JOIN sd ON sd.id = me.id LEFT JOIN lc ON lc.id = me.id GROUP BY 1, 2, 3, 4)"""
+  CAST(coalesce(sum(hits), 0) AS BIGINT) AS access_count, max(last_seen) AS last_accessed FROM me LEFT JOIN sd ON sd.id = me.id LEFT JOIN lc ON lc.id = me.id GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
 def states(spark, d):
-    i = F.col("id")
-    m = spark.range(120).select("id", F.element_at(F.array(*map(F.lit, C.TIERS)), (i % 3 + 1).cast("int")).alias("tier"), (i * (DAY // 4) + (NOW - 40 * DAY)).alias("tier_changed_at"), (i % 5 * 100).alias("credit_watermark"))
-    return TI.tier_states(m, settled(spark, d), START)
+    return TI.tier_states(tier_memories(spark, d), settled(spark, d), START)
 
 
-@query(f"WITH {STATES} SELECT id, tier, tier_changed_at, credit_watermark, confirmed_sessions, promotion_credit, credit_seq, rejected_since, access_count, last_accessed FROM ts")
+def tier_memories(spark, d):
+    i = F.col("p_partkey").cast("long")
+    return t(spark, d, "part").select(i.alias("id"), F.element_at(F.array(*map(F.lit, C.TIERS)), (i % 3 + 1).cast("int")).alias("tier"), (F.lit(NOW) - i % 400 * DAY).alias("created_at"), (F.lit(NOW) - i % 200 * (DAY // 4)).alias("tier_changed_at"), (i % 5 * 100).alias("credit_watermark"), (i % 37 == 0).alias("cold"))
+
+
+@query(f"WITH {STATES} SELECT id, tier, created_at, tier_changed_at, credit_watermark, cold, confirmed_sessions, promotion_credit, credit_seq, rejected_since, access_count, last_accessed FROM ts")
 def tier_states(spark, d):
     return states(spark, d)
 
@@ -571,18 +758,58 @@ def tier_states(spark, d):
 DECIDE = "CASE WHEN tier = 'short' AND promotion_credit >= 1 THEN 'promoted_distinct_session' WHEN tier = 'mid' AND promotion_credit >= 2 THEN 'promoted_sustained' WHEN idle > lim AND tier = 'short' THEN 'gc_candidate' WHEN idle > lim THEN 'demoted_idle' WHEN rejected_since >= 3 AND tier <> 'short' THEN 'demoted_rejected' ELSE 'unchanged' END"
 
 
-@query(f"WITH {STATES}, x AS (SELECT *, ({NOW} - coalesce(last_accessed, tier_changed_at)) / {DAY} AS idle, CASE tier WHEN 'short' THEN 30 WHEN 'mid' THEN 90 ELSE 180 END AS lim FROM ts), y AS (SELECT id, tier, {DECIDE} AS reason FROM x) SELECT id, reason, CASE WHEN reason = 'promoted_distinct_session' THEN 'mid' WHEN reason = 'promoted_sustained' THEN 'long' WHEN reason LIKE 'demoted%' THEN CASE tier WHEN 'long' THEN 'mid' ELSE 'short' END ELSE tier END AS new_tier FROM y")
+DECIDED = f"{STATES}, x AS (SELECT *, ({NOW} - coalesce(last_accessed, created_at)) / {DAY} AS idle, CASE tier WHEN 'short' THEN 30 WHEN 'mid' THEN 90 ELSE 180 END AS lim FROM ts), y AS (SELECT *, {DECIDE} AS reason FROM x), dec AS (SELECT *, CASE WHEN reason = 'promoted_distinct_session' THEN 'mid' WHEN reason = 'promoted_sustained' THEN 'long' WHEN reason LIKE 'demoted%' THEN CASE tier WHEN 'long' THEN 'mid' ELSE 'short' END ELSE tier END AS new_tier FROM y)"
+
+
+@query(f"WITH {DECIDED} SELECT id, reason, new_tier FROM dec")
 def tier_decisions(spark, d):
     return TI.decide(states(spark, d), NOW, DAY).select("id", "reason", "new_tier")
 
 
-@query(f"WITH {STATES} SELECT id, coalesce(last_accessed, tier_changed_at) AS idle_since FROM ts WHERE tier = 'short' AND coalesce(last_accessed, tier_changed_at) < {NOW - 2 * DAY} ORDER BY 2, 1 LIMIT 1000")
+@query(f"WITH {DECIDED} SELECT id, new_tier AS tier, CASE WHEN new_tier <> tier THEN {NOW} ELSE tier_changed_at END AS tier_changed_at, CASE WHEN new_tier <> tier THEN greatest(credit_watermark, credit_seq) ELSE credit_watermark END AS credit_watermark FROM dec")
+def apply_tier_changes(spark, d):
+    changes = TI.tier_changes(TI.decide(states(spark, d), NOW, DAY), NOW)
+    return TI.apply_tier_changes(tier_memories(spark, d).select("id", "tier", "tier_changed_at", "credit_watermark"), changes)
+
+
+@query(f"WITH {DECIDED}, td AS (SELECT DISTINCT id FROM acc WHERE outcome = 'provisional' AND session IN (SELECT session FROM st)) SELECT id, new_tier AS tier, reason FROM dec WHERE new_tier <> tier AND id IN (SELECT id FROM td)")
+def settle_session(spark, d):
+    """What settling decides: the memories that settled sessions touched, and no others."""
+    ev = event_log(spark, d)
+    touched = TI.touched_by(access_rows(spark, d), ev.where("event_type in ('purchase', 'error')").select("session"))
+    return TI.tier_changes(TI.decide(states(spark, d).join(touched, "id", "left_semi"), NOW, DAY), NOW).select("id", "tier", "reason")
+
+
+@query(f"WITH {STATES} SELECT id, coalesce(last_accessed, tier_changed_at) AS idle_since FROM ts WHERE tier = 'short' AND NOT cold AND coalesce(last_accessed, tier_changed_at) < {NOW - 2 * DAY} ORDER BY 2, 1 LIMIT 1000")
 def idle_candidates(spark, d):
     return TI.idle_candidates(states(spark, d), NOW - 2 * DAY)
 
 
-@query("SELECT * FROM (VALUES ('raw', 0, 7, 393, 45, 355), ('broad', 1, 21, 378, 45, 354), ('narrow', 213, 102, 85, 6, 181)) v(strategy, short, mid, long, wrong, sound)")
+REPLAY = "ev AS (SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS id, event_id AS seq, CASE WHEN event_type IN ('error', 'signup') THEN 'rejected' ELSE 'confirmed' END AS outcome, event_type IN ('click', 'purchase') AS relied FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM ev), every AS (SELECT s.s AS strategy, n.*, CASE s.s WHEN 'raw' THEN true WHEN 'broad' THEN outcome = 'confirmed' ELSE outcome = 'confirmed' AND relied END AS counts FROM n, (VALUES ('raw'), ('broad'), ('narrow')) s(s))"
+
+
+@query(f"""WITH RECURSIVE {REPLAY}, f(strategy, id, k, tier, credit, rejected, total) AS (SELECT DISTINCT strategy, id, CAST(0 AS BIGINT), 'short', 0, 0, 0 FROM every
+ UNION ALL SELECT strategy, id, k, CASE WHEN up THEN CASE tier WHEN 'short' THEN 'mid' ELSE 'long' END WHEN down THEN CASE tier WHEN 'long' THEN 'mid' ELSE 'short' END ELSE tier END, CASE WHEN up OR down THEN 0 ELSE c END, CASE WHEN up OR down THEN 0 ELSE r END, total FROM (
+  SELECT *, (tier = 'short' AND c >= 1) OR (tier = 'mid' AND c >= 2) AS up, NOT ((tier = 'short' AND c >= 1) OR (tier = 'mid' AND c >= 2)) AND r >= 3 AND tier <> 'short' AS down FROM (
+   SELECT e.strategy, e.id, e.k, f.tier, f.credit + CASE WHEN counts THEN 1 ELSE 0 END AS c, CASE WHEN counts THEN 0 WHEN e.strategy <> 'raw' AND outcome = 'rejected' THEN f.rejected + 1 ELSE f.rejected END AS r, f.total + CASE WHEN counts THEN 1 ELSE 0 END AS total FROM f JOIN every e ON e.strategy = f.strategy AND e.id = f.id AND e.k = f.k + 1))),
+ last AS (SELECT strategy, id, arg_max(tier, k) AS tier, arg_max(total, k) AS total FROM f GROUP BY 1, 2)
+ SELECT strategy, CAST(count(*) FILTER (tier = 'short') AS BIGINT) AS short, count(*) FILTER (tier = 'mid') AS mid, count(*) FILTER (tier = 'long') AS long, CAST(sum(total) AS BIGINT) AS credit, round(coalesce(count(*) FILTER (tier = 'long' AND CAST(id AS BIGINT) % 8 <> 0) / nullif(count(*) FILTER (tier = 'long'), 0), 1.0), 6) AS long_precision FROM last GROUP BY 1""")
+def promotion_replay(spark, d):
+    """The ordered fold over real sessions; every eighth memory is taken as wrong, for the precision of what reached long."""
+    ev = t(spark, d, "events").select(F.get_json_object("props", "$.k").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("error", "signup"), "rejected").otherwise("confirmed").alias("outcome"), F.col("event_type").isin("click", "purchase").alias("relied"))
+    out = None
+    for name in ("raw", "broad", "narrow"):
+        r = TI.replay_strategy(ev, name)
+        n = lambda x: F.count_if(F.col("tier") == x)
+        sound = F.count_if((F.col("tier") == "long") & (F.col("id").cast("long") % 8 != 0))
+        one = r.agg(n("short").alias("short"), n("mid").alias("mid"), n("long").alias("long"), F.sum("credit").alias("credit"), F.round(F.coalesce(sound / F.nullif(n("long"), F.lit(0)), F.lit(1.0)), 6).alias("long_precision")).select(F.lit(name).alias("strategy"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query()
 def promotion_simulation(spark, d):
+    """The published workload of 400 memories, made by a sequential generator; tests hold it against the published counts."""
     ids = [f"mem-{i}" for i in range(400)]
     traffic, misleading = TI.build_traffic(ids)
     rows = [(m, seq, outcome, m in relied) for seq, got, relied, outcome in traffic for m in dict.fromkeys(got)]
@@ -611,12 +838,6 @@ def first_occurrence_dedupe(spark, d):
     return S.first_occurrences(t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query("SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events")
-def keyset_equivalence(spark, d):
-    """What page-by-page reading by key would give; one scan needs no pages."""
-    return t(spark, d, "events").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
-
-
 @query("WITH RECURSIVE r AS (SELECT conv_id AS grp, CAST(turn AS BIGINT) AS rank, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), f(grp, k, rank, shown, rest) AS (SELECT grp, k, rank, least(len, 3000), greatest(3000 - len, 200) FROM r WHERE k = 1 UNION ALL SELECT r.grp, r.k, r.rank, least(r.len, f.rest), greatest(f.rest - r.len, 200) FROM f JOIN r ON r.grp = f.grp AND r.k = f.k + 1) SELECT grp, rank, shown FROM f")
 def body_budget(spark, d):
     return S.body_budget(t(spark, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("rank"), F.length("text").alias("len")))
@@ -667,28 +888,81 @@ def weighted_precision(spark, d):
 
 @query("SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, d):
-    w = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return w.select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n")
+    """As a stream: hours counted once the watermark has passed them, and the open ones when the events end."""
+    w = EV_.finished(EV_.read_events(spark, f"{d}/events.parquet"), EV_.tumbling_counts)
+    return w.select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
 
 
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM g GROUP BY user_id, k")
 def session_windows(spark, d):
-    s = S.session_windows(t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours")
+    """As a stream of sessions, appended when they are over."""
+    s = EV_.finished(EV_.read_events(spark, f"{d}/events.parquet"), EV_.sessions)
     return s.select("user_id", F.unix_millis("start").alias("start_ms"), "n")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedupe_watermark(spark, d):
-    from ..streaming import events as ST
-    import uuid
-
-    return ST.finished(ST.distinct_keys(ST.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), f"dedupe_{uuid.uuid4().hex}")
+    return EV_.finished(EV_.read_events(spark, f"{d}/events.parquet"), lambda e: EV_.distinct_keys(e, ["user_id", "event_type"], "100 days"), close=False)
 
 
-@query("SELECT id, session, count(*) AS hits FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id, CAST(user_id AS VARCHAR) AS session FROM events) GROUP BY 1, 2")
+@query(f"""WITH {EV}, a AS (SELECT session, id, count(*) AS hits, min(ts) AS first_seen, max(ts) AS last_seen, arg_min(event_id, (ts, event_id)) AS first_id, min((ts, event_id)) AS at FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+ s AS (SELECT session, (ts, event_id) AS at, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'confirmed' END AS kind FROM ev WHERE event_type IN ('purchase', 'error')),
+ d AS (SELECT a.session, a.id, min(s.at) AS s_at, arg_min(kind, s.at) AS kind FROM a JOIN s ON s.session = a.session AND s.at > a.at GROUP BY 1, 2),
+ u AS (SELECT DISTINCT d.session, d.id FROM d JOIN ev ON ev.session = d.session AND ev.id = d.id AND event_type = 'click' AND (ev.ts, ev.event_id) < d.s_at)
+ SELECT a.session, a.id, hits, first_seen, last_seen, CASE WHEN kind IS NULL THEN 'provisional' WHEN kind = 'rejected' THEN 'rejected' WHEN u.id IS NOT NULL THEN 'confirmed' ELSE 'unused' END AS outcome FROM a LEFT JOIN d ON d.session = a.session AND d.id = a.id LEFT JOIN u ON u.session = a.session AND u.id = a.id""")
 def access_stream(spark, d):
-    from ..streaming import events as ST
-    import uuid
+    """Keyed state: a session's accesses, settled by its purchases and errors in the order of their time."""
+    e = EV_.read_events(spark, f"{d}/events.parquet")
+
+    def plan(events):
+        kind = F.when(F.col("event_type").isin("click", "view"), "access").when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "purchase", "confirmed")
+        session = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.unix_millis("ts") / DAY).cast("string"))
+        rows = events.select(session.alias("session"), F.get_json_object("props", "$.k").cast("long").alias("id"), F.coalesce(kind, F.when(F.col("event_id").isNull(), "access")).alias("kind"), (F.col("event_type") == "click").alias("used"), F.coalesce("event_id", F.lit(0)).cast("long").alias("seq"), "ts")
+        return EV_.access_state(rows.where("kind is not null").fillna({"id": -1, "used": False}))
+
+    return EV_.finished(e, plan)
+
+
+# --- the memory's life ---
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_type IN ('click', 'view') THEN 'ExperienceRecorded' WHEN event_type = 'purchase' THEN 'ExperienceSuperseded' ELSE event_type END AS event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ r AS (SELECT k AS id, arg_min('text ' || event_id, event_id) AS payload FROM e WHERE event_type = 'ExperienceRecorded' GROUP BY 1), l AS (SELECT k AS id, arg_max(user_id + 1000, event_id) AS superseded_by FROM e WHERE event_type = 'ExperienceSuperseded' GROUP BY 1)
+ SELECT CAST(r.id AS VARCHAR) AS id, payload, CAST(superseded_by AS VARCHAR) AS superseded_by FROM r LEFT JOIN l USING (id)""")
+def replay_events(spark, d):
+    """What the event log projects to: each memory as first recorded, with its latest link."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.when(F.col("event_type").isin("click", "view"), "ExperienceRecorded").when(F.col("event_type") == "purchase", "ExperienceSuperseded").otherwise(F.col("event_type"))
+    ev = t(spark, d, "events").select("event_id", kind.alias("event_type"), k.alias("id"), (F.col("user_id") + 1000).cast("string").alias("new_id"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("payload"))
+    return S.replay(ev)
+
+
+@query("""WITH c AS (SELECT conv_id AS id, max(turn) AS turns, min_by(text, turn) AS text FROM conversations GROUP BY 1) SELECT id, CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n_lessons, CASE id % 3 WHEN 0 THEN 'src/a.ts#f' WHEN 1 THEN 'src/n' || id || '.ts' ELSE '' END AS anchors, id % 2 = 1 AS suspect FROM c""")
+def decode_rows(spark, d):
+    """Stored rows, whose lists are JSON text and flags numbers, as the engine's types; anchors fall back on related nodes."""
+    i = F.col("conv_id")
+    rows = t(spark, d, "conversations").groupBy(i.alias("id")).agg(F.first("role").alias("task")).select(
+        "id", F.when(F.col("id") % 4 == 0, "[]").when(F.col("id") % 4 == 1, '["a", "b"]').when(F.col("id") % 4 == 2, '["only"]').otherwise('{"not": "a list"}').alias("lessons"),
+        F.when(F.col("id") % 3 == 1, F.concat(F.lit('["'), F.md5(F.col("id").cast("string")), F.lit('", "src/n'), F.col("id").cast("string"), F.lit('.ts", " "]'))).otherwise("[]").alias("related_nodes"),
+        F.when(F.col("id") % 3 == 0, '[{"path": "src/a.ts", "symbol": "f"}]').otherwise("[]").alias("anchors"), (F.col("id") % 2).alias("suspect"), F.lit(0).alias("cold"),
+    )
+    return L.decode_rows(rows).select("id", F.size("lessons").alias("n_lessons"), F.array_join(F.transform("anchors", A.format_anchor), ",").alias("anchors"), "suspect")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, o_orderdate AS ts, 'c' || o_custkey AS path FROM orders WHERE o_orderkey % 10 NOT IN (1, 2)), q AS (SELECT c_custkey AS qid, 'c' || c_custkey AS anchor FROM customer) SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY ts DESC, id) AS INTEGER) AS rank FROM q JOIN m ON m.path = anchor""")
+def anchor_recency(spark, d):
+    o, path = t(spark, d, "orders"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    struct = F.struct(path.alias("path"), F.lit(None).cast("string").alias("symbol"))
+    even = F.col("o_orderkey") % 2 == 0
+    m = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.when(even, F.array(struct)).otherwise(F.array().cast("array<struct<path:string,symbol:string>>")).alias("anchors"), F.when(~even, F.array(path)).alias("related_nodes"), F.when((F.col("o_orderkey") % 10).isin(1, 2), F.col("o_orderkey")).alias("superseded_by"))
+    return L.newest_on_anchor(m, t(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("anchor")))
+
+
+@query("""SELECT conv_id AS qid, string_agg('--- prior knowledge ' || (turn + 1) || ' (' || CASE WHEN turn % 2 = 0 THEN 'unknown source' ELSE 'commit ' || turn END || CASE WHEN conv_id % 3 = 0 THEN ' · touched 2 file(s)' ELSE '' END || ', confidence 0.7) ---' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
+def why_context(spark, d):
+    rows = t(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("commit "), F.col("turn").cast("string"))).alias("action"), F.array("text").alias("lessons"), F.lit("").alias("observation"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>")).alias("related_nodes"), F.lit(0.7).alias("confidence"))
+    return L.why_context(rows, "/repo")
+
 
-    log = ST.read_events(spark, f"{d}/events.parquet").select(F.get_json_object("props", "$.k").cast("long").alias("id"), F.col("user_id").cast("string").alias("session"), "ts")
-    return ST.finished(ST.access_state(log, "100 days"), f"access_{uuid.uuid4().hex}", "complete").select("id", "session", "hits")
+@query("SELECT conv_id, turn FROM conversations WHERE length(text) >= 25")
+def worth_asking(spark, d):
+    return t(spark, d, "conversations").where(T.worth_asking(F.col("text"))).select("conv_id", "turn")

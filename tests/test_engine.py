@@ -47,10 +47,112 @@ def test_query_terms(spark):
 
 
 def test_bm25_golden(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha alpha delta"), (3, "beta running runs"), (4, "alpha epsilon café"), (5, "alpha zeta foo bar baz")], "id long, text string")
-    got = {(r.qid, r.id): r.score for r in retrieval.bm25(spark.createDataFrame([("d", "delta"), ("ba", "beta alpha"), ("r", "running")], "qid string, question string"), docs, stemmed=True).collect()}
-    assert got["d", 2] == pytest.approx(1.1541601010) and got["r", 3] == pytest.approx(1.5622851557)
-    assert got["ba", 1] == pytest.approx(0.3534859284, rel=1e-6) and got["ba", 5] == pytest.approx(8.3856502e-07)
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha alpha delta"), (3, "beta running runs"), (4, "alpha epsilon café"), (5, "alpha zeta foo_bar baz"), (6, None)][:5], "id long, text string")
+    asked = ["alpha", "run", "delta", "foo_bar", "foo", "beta alpha"]
+    got = {(r.qid, r.id): r.score for r in retrieval.bm25(spark.createDataFrame([(q, q) for q in asked], "qid string, question string"), docs).collect()}
+    golden = {("alpha", 2): 1.4220532e-06, ("alpha", 1): 1.0505618e-06, ("alpha", 4): 1.0505618e-06, ("alpha", 5): 8.3856502e-07, ("run", 3): 1.5622851557, ("delta", 2): 1.1541601010, ("foo_bar", 5): 0.9212578385, ("foo", 5): 0.9212578385}
+    golden |= {("beta alpha", 1): 0.3534859284, ("beta alpha", 3): 0.3534848779, ("beta alpha", 2): 1.4220532e-06, ("beta alpha", 4): 1.0505618e-06, ("beta alpha", 5): 8.3856502e-07}
+    assert set(got) == set(golden) and all(got[k] == pytest.approx(golden[k], rel=1e-6) for k in golden)
+
+
+def test_phrase_is_not_its_words(spark):
+    docs = spark.createDataFrame([(1, "alpha zeta foo_bar baz"), (2, "bar then foo")], "id long, text string")
+    asked = spark.createDataFrame([("q", "foo_bar")], "qid string, question string")
+    for stemmed in (True, False):
+        assert [r.id for r in retrieval.bm25(asked, docs, stemmed).collect()] == [1]
+
+
+def test_vector_leg(spark):
+    import random
+
+    rng = random.Random(4)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(8)]
+    mem = [(i, vec()) for i in range(300)] + [(300, [0.0] * 8), (301, None)]
+    asked = [(i, vec()) for i in range(5)] + [(5, None), (6, [0.0] * 8)]
+    m, q = spark.createDataFrame(mem, "id long, vec array<float>"), spark.createDataFrame(asked, "qid long, vec array<float>")
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want = {(a, b): cosine(x, y) for a, x in asked if x for b, y in mem if y}
+    for block in (4096, 2):
+        got = {(r.qid, r.id): r.score for r in retrieval.vector_leg(q, m, block=block).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    top = [(r.qid, r.id) for r in retrieval.vector_leg(q, m.coalesce(1), limit=7).collect()]
+    for a, x in asked[:5]:
+        best = sorted((b for b, y in mem if y), key=lambda b: -want[a, b])[:7]
+        assert set(best) <= {b for i, b in top if i == a}
+    assert retrieval.vector_leg(q.limit(0), m).count() == 0
+    with pytest.raises(Exception, match="width"):
+        retrieval.vector_leg(spark.createDataFrame([(1, [1.0])], "qid long, vec array<float>"), m).collect()
+
+
+def test_trigram_leg_is_exhaustive(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: rng.choice(["parser", "loader", "cache", "config", "reader", "parse", "load", "the", "tree", "écrit"])
+    docs = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 4, 12, 60])))) for i in range(60)] + [(60, None), (61, "  ")]
+    asked = [(i, " ".join(word() for _ in range(1 + i % 4))) for i in range(12)] + [(12, " "), (13, None)]
+    got = {(r.qid, r.id): r.score for r in retrieval.trigram_leg(spark.createDataFrame(asked, "qid long, question string"), spark.createDataFrame(docs, "id long, text string")).collect()}
+
+    def brute(q, t):
+        want, seq = set(similarity.trigrams(q)), similarity.trigrams(t)
+        best = 0.0
+        for i in range(len(seq)):
+            seen = set()
+            for x in seq[i:]:
+                seen.add(x)
+                best = max(best, len(want & seen) / len(want | seen))
+        return best
+
+    want = {(a, b): s for a, q in asked if q and q.strip() for b, t in docs for s in [brute(q, t)] if s >= 0.35}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_contained(spark):
+    from recollect.operators import evals
+
+    docs = [(1, "x alpha beta gamma delta epsilon zeta y"), (2, "alpha beta gamma delta epsilon"), (3, "prealpha beta gamma delta epsilon zetapost"), (4, "alpha  beta"), (5, None), (6, "beta gamma"), (7, "one")]
+    asked = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma"), (3, "alpha  beta"), (4, "beta"), (5, "beta gamma"), (6, None), (7, "nothing of this is there at all")]
+    got = {(r.qid, r.id) for r in evals.contained(spark.createDataFrame(asked, "qid long, question string"), spark.createDataFrame(docs, "id long, text string")).collect()}
+    assert got == {(a, b) for a, q in asked if q for b, t in docs if t and q in t}
+
+
+def test_policy_forms_agree(spark):
+    from recollect.functions import policy
+
+    cases = [(t, c, r) for t in ("short", "mid", "long") for c in range(4) for r in range(5)]
+    got = spark.createDataFrame(cases, "t string, c int, r int").select("t", "c", "r", policy.tier_decision(F.col("t"), F.col("c"), F.col("r"), F.lit(0.0)).tier.alias("to")).collect()
+    assert all(x.to == policy.next_tier(x.t, x.c, x.r) for x in got)
+
+
+def test_promotion_counts(spark):
+    from recollect.plans import registry
+
+    got = {tuple(r) for r in registry.queries()["promotion_simulation"](spark, "").collect()}
+    assert got == {("raw", 0, 7, 393, 45, 355), ("broad", 1, 21, 378, 45, 354), ("narrow", 213, 102, 85, 6, 181)}
+
+
+def test_change_touches_agrees_with_verdicts(spark):
+    changes = [(0, "b", "a", "renamed", "s0", 5), (1, "c", "b", "renamed", "s1", 6), (2, "x", None, "modified", "s2", 7), (3, "c", None, "modified", "s3", 8), (4, "a", None, "modified", "s4", 1)]
+    feed = spark.createDataFrame(changes, "seq long, path string, previous_path string, kind string, sha string, date long")
+    mem = spark.createDataFrame([(i, 0, False, None) for i in range(4)], "id long, as_of long, suspect boolean, suspect_reason string")
+    named = spark.createDataFrame([(0, "a"), (1, "b"), (2, "x"), (3, "none")], "id long, path string")
+    closure = history.path_closure(named.select("path"), history.rename_map(feed))
+    got = {r.id: r.n_changes for r in history.verdicts(named, mem, feed, closure).collect()}
+    names = named.join(closure, "path").groupBy("id").agg(F.collect_set("name").alias("names"))
+    pairs = names.crossJoin(feed).where(anchors.change_touches(F.col("path"), F.col("previous_path"), F.col("names"))).groupBy("id").count().collect()
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0} | {r.id: r["count"] for r in pairs} and got[0] == 4 and got[1] == 3
+
+
+def test_pages(spark):
+    rows = spark.range(0, 95, 3).withColumnRenamed("id", "k")
+    seen, after = [], None
+    while page := [r.k for r in store.page_after(rows, "k", after, 10).collect()]:
+        seen, after = seen + page, page[-1]
+    assert seen == list(range(0, 95, 3))
 
 
 @pytest.mark.parametrize("stemmed", [False, True])
@@ -85,7 +187,13 @@ def test_chains(spark):
     links = spark.createDataFrame([("v1", "v2"), ("v2", "v3"), ("v3", None), ("A", "C"), ("B", "C"), ("C", None)], "id string, superseded_by string")
     assert {r.id: r.head for r in history.heads(links).collect()} == {"v1": "v3", "v2": "v3", "v3": "v3", "A": "C", "B": "C", "C": "C"}
     for start in ("A", "B", "C"):
-        assert {r.id for r in history.chain_of(links, start).collect()} == {"A", "B", "C"}
+        assert {(r.id, r.depth) for r in history.chain_of(links, start).collect()} == {("A", 0), ("B", 0), ("C", 1)}
+    assert [(r.id, r.depth) for r in history.chain_of(links, "v2").collect()] == [("v1", 0), ("v2", 1), ("v3", 2)]
+    assert history.chain_of(links, "nobody").count() == 0 and history.walk(links, "v1") == ["v1", "v2", "v3"]
+    cycle = spark.createDataFrame([("p", "q"), ("q", "p")], "id string, superseded_by string")
+    for call in (lambda: history.walk(cycle, "p"), lambda: history.heads(cycle, 8)):
+        with pytest.raises(ValueError):
+            call()
     asked = spark.createDataFrame([("v3", "v1"), ("v1", "v1"), ("v1", "A"), ("v1", "v2"), ("C", "x"), ("v3", "A")], "old string, new string")
     assert {(r.old, r.new): r.verdict for r in history.would_cycle(links, asked).collect()} == {("v3", "v1"): "cycle", ("v1", "v1"): "self", ("v1", "A"): "fork", ("v1", "v2"): "same", ("C", "x"): "unknown", ("v3", "A"): "ok"}
     ring = spark.createDataFrame([("a", "b"), ("b", "a")], "previous_path string, path string")
@@ -93,9 +201,9 @@ def test_chains(spark):
 
 
 def test_path_closure_of_many_renames(spark):
-    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(70)], "previous_path string, path string").coalesce(1)
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(200)], "previous_path string, path string").coalesce(1)
     start = spark.createDataFrame([("p0",)], "path string")
-    assert {r.name for r in history.path_closure(start, chain).collect()} == {f"p{i}" for i in range(71)}
+    assert {r.name for r in history.path_closure(start, chain).collect()} == {f"p{i}" for i in range(201)}
 
 
 def test_store(spark, tmp_path):
@@ -113,9 +221,12 @@ def test_store(spark, tmp_path):
     assert now["a"].superseded_by == "b" and not now["a"].suspect and now["b"].superseded_by is None
 
 
-def test_context():
-    assert store.render_context("x", []).endswith("_No prior knowledge recorded for this task._")
-    assert store.render_context("x", [{"task": "t", "result": "r", "lessons": ["l"], "staleness": "old", "staleness_reason": "why"}]) == "# Context: x\n\n## Prior Experience\n\n- [t] r — **old** (why)\n  - l"
+def test_context(spark):
+    rows = [("a", "x", None, None, None, None, None, None), ("b", "y", 2, "t2", None, None, None, None), ("b", "y", 1, "t", "r", ["l"], "old", "why")]
+    kind = "qid string, question string, place int, task string, result string, lessons array<string>, staleness string, staleness_reason string"
+    got = {r.qid: r.context for r in store.render_contexts(spark.createDataFrame(rows, kind)).collect()}
+    assert got["a"] == "# Context: x\n\n## Prior Experience\n\n_No prior knowledge recorded for this task._"
+    assert got["b"] == "# Context: y\n\n## Prior Experience\n\n- [t] r — **old** (why)\n  - l\n- [t2] (no recorded outcome)"
 
 
 def test_git_sources(spark, tmp_path):
@@ -131,6 +242,27 @@ def test_git_sources(spark, tmp_path):
     assert [r.subject for r in git.commits(spark, str(tmp_path)).collect()] == ["one"]
     feed = git.changed_paths_since(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.kind, r.path, r.previous_path) for r in feed] == [("renamed", "b é.txt", "a.txt"), ("added", "a.txt", None)]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.txt").write_text("x")
+    run("add", "."), run("commit", "-qm", "three", "-m", "because " + "words " * 60)
+    for n in range(3):
+        (tmp_path / "other.txt").write_text(str(n))
+        run("add", "."), run("commit", "-qm", f"other {n}", "-m", "because " + "words " * 60)
+    assert [r.subject for r in git.commits(spark, str(tmp_path), "sub", limit=1).collect()] == ["three"]  # the limit counts within the scope
+    assert [r.path for r in git.changed_paths_since(spark, str(tmp_path), limit=1, paths=["sub"]).collect()] == ["sub/c.txt"]
+    assert git.corpus_revision(str(tmp_path)) in run_out(tmp_path)
+
+
+def run_out(path):
+    return subprocess.run(["git", "-C", str(path), "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout
+
+
+def test_any_anchor(spark, tmp_path):
+    from recollect.sources import files
+
+    (tmp_path / "r.json").write_text('{"task": "t", "understanding": "u", "anchors": ["src/a.ts#f", {"path": "src/b.ts"}, {"path": "src/c.ts", "symbol": "g"}, " ", {"path": " "}]}')
+    got = files.judged_reports(files.scout_reports(spark, str(tmp_path / "r.json"))).first().anchors
+    assert [tuple(a) for a in got] == [("src/a.ts", "f"), ("src/b.ts", None), ("src/c.ts", "g")]
 
 
 def test_entry(spark):

@@ -62,7 +62,10 @@ def test_contexts(spark, filled):
     got = context.run_pipeline(filled, q, changes, trigram=False).collect()
     assert [(r.qid, r.place, r.possibly_stale, r.reason) for r in got] == [("q", 1, True, "modified src/load.ts in abcdef01")]
     assert "reason" not in context.run_pipeline(filled, q, trigram=False).columns
-    assert context.mark_suspects(filled, changes) == 1 and filled.current().first().suspect
+    assert [r.id for r in context.run_pipeline(filled, q, changes).collect()] == [r.id for r in got]
+    broken = changes.withColumn("path", F.raise_error(F.lit("no history")).cast("string"))
+    assert "reason" not in context.run_pipeline(filled, q, broken, trigram=False).columns  # staleness only advises
+    assert context.mark_suspects(filled, changes) == {"changed_paths": 1, "candidates": 1, "marked": 1} and filled.current().first().suspect
 
 
 def test_reverts(spark):
