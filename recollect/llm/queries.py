@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, context_tree, encoding, fingerprints, licenses, merkle, near_dedup, packing, quality, secrets, toxicity, urls
+from . import chat, context_tree, encoding, fingerprints, hard_negatives, licenses, merkle, near_dedup, packing, quality, secrets, toxicity, urls
 
 # Host labels whose pages make up the example list of blocked URLs.
 LISTED_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
@@ -66,12 +66,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    own = [op1_near_duplicates, op2_context_tree_scores, op3_fingerprints, op4_license_scans, op5_quality_rules, op6_secret_scans, op7_packing, op8_bpe_round_trip, op9_chat_format, op10_url_filter, op11_merkle_manifest, op13_toxicity]
+    own = [op1_near_duplicates, op2_context_tree_scores, op3_fingerprints, op4_license_scans, op5_quality_rules, op6_secret_scans, op7_packing, op8_bpe_round_trip, op9_chat_format, op10_url_filter, op11_merkle_manifest, op12_hard_negatives, op13_toxicity]
     return {f.__name__: f for f in own}
 
 
