@@ -19,53 +19,137 @@ def trigrams(text: str | None) -> list[str]:
     return out
 
 
-def word_similarity(query: str | None, target: str | None, floor: float = 0.0) -> float:
-    """Exact at or above the floor, 0 where the floor can't be reached."""
-    return _best(frozenset(trigrams(query)), trigrams(target), floor)
+def trigram_codes(text: str | None) -> np.ndarray:
+    """trigrams() as whole numbers, three code points of 21 bits each: equal where the trigrams are."""
+    words = WORD.findall((text or "").lower())
+    if not words:
+        return np.zeros(0, np.int64)
+    points = np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = points[:-2] | points[1:-1] << 21 | points[2:] << 42
+    inside = np.ones(len(points), bool)
+    ends = np.cumsum([len(w) + 3 for w in words])
+    inside[ends - 1] = inside[ends - 2] = False  # windows that would reach into the next word
+    return codes[inside[:-2]]
+
+
+class Extents:
+    """A text cut once, to be scored against many trigram sets at a time.
+
+    An extent from s holds a trigram for the first time where it last stood before s. So for all extents that start in
+    a stretch of places, only places whose trigram last stood before the stretch's end matter: at most as many as the
+    text has different trigrams, and the stretch's own, however long and repetitive the text is. In a stretch, blocks
+    of BLOCK starts meet chunks of CHUNK ends: new hits up to a chunk's end count at least what an extent of the block
+    holds, other new trigrams between the block and the chunk at most. One matrix product a chunk counts both for all
+    sets; only blocks whose bound beats the best so far are scored place by place.
+    """
 
+    STRETCH, BLOCK, CHUNK = 512, 8, 16
+
+    def __init__(self, codes: np.ndarray):
+        self.distinct, self.ids = np.unique(codes, return_inverse=True)
+        order, n = np.argsort(self.ids, kind="stable"), len(codes)
+        self.before = np.full(n + 1, -1, np.int32)
+        again = np.flatnonzero(np.diff(self.ids[order]) == 0)
+        self.before[order[again + 1]] = order[again]
+        self.before[n] = n  # the place beyond the text is never new
+
+    def _places(self, first: int, most: int) -> np.ndarray:
+        """The first `most` places that matter to a stretch, made up to whole chunks by places beyond the text."""
+        n, end, start, width = len(self.ids), first + self.STRETCH, first, 2 * most
+        found: list[np.ndarray] = []
+        while start < n and sum(map(len, found)) < most:
+            found.append(start + np.flatnonzero(self.before[start : min(n, start + width)] < end))
+            start, width = start + width, 4 * width
+        own = np.concatenate(found)[:most]
+        return np.r_[own, np.full(-len(own) % self.CHUNK, n)].astype(np.int32)
+
+    def best(self, sets: list[np.ndarray], floor: float) -> np.ndarray:
+        """The best extent's Jaccard with each set (sorted codes): exact at or above the floor, else 0."""
+        out = np.zeros(len(sets))
+        held = np.array([np.isin(self.distinct, s, assume_unique=True) for s in sets]).reshape(len(sets), len(self.distinct))
+        present, wanted = held.sum(axis=1), np.array([len(s) for s in sets])
+        able = np.flatnonzero((present > 0) & (present >= floor * wanted - 1e-9))
+        for at in range(0, len(able), 64):
+            some = able[at : at + 64]
+            out[some] = self._search(held[some], present[some], wanted[some], floor)
+        return np.where(out >= floor, out, 0.0)
+
+    def _search(self, held: np.ndarray, present: np.ndarray, wanted: np.ndarray, floor: float) -> np.ndarray:
+        n, most = len(self.ids), len(self.distinct) + self.STRETCH
+        if floor > 0:  # an extent with more different trigrams can't reach it
+            most = min(most, int(wanted.max() / floor) + 2 + self.STRETCH)
+        stretches = [(first, self._places(first, most)) for first in range(0, n, self.STRETCH)]
+        hit = np.c_[held[:, self.ids], np.zeros(len(held), bool)]
+        tops = np.concatenate([self._tops(first, own, hit[:, own], present, wanted) for first, own in stretches])
+        out = np.zeros(len(held))
+        per = self.STRETCH // self.BLOCK
+        for q, top in enumerate(tops.T):
+            least = floor - 1e-5
+            while len(blocks := np.flatnonzero(top > least)):
+                first = blocks[np.argmax(top[blocks])]
+                some = blocks[(blocks // per == first // per) & (blocks >= first - 4) & (blocks <= first + 4)]  # neighbours rise together
+                top[some] = -1.0
+                starts = (some[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
+                starts = starts[starts < n]
+                starts = starts[hit[q, starts]]  # an extent that starts elsewhere only loses
+                own = stretches[first // per][1]
+                own = own[(own >= starts[:1]) & (self.before[own] < starts[-1:])] if len(starts) else own[:0]
+                if not len(own):
+                    continue
+                new = (self.before[own] < starts[:, None]) & (own >= starts[:, None])
+                found = np.cumsum(new & hit[q, own], axis=1, dtype=np.int32)
+                size = np.cumsum(new, axis=1, dtype=np.int32)
+                size += wanted[q]
+                size -= found
+                out[q] = max(out[q], float((found / size).max()))
+                least = max(least, out[q] - 1e-5)
+        return out
+
+    def _tops(self, first: int, own: np.ndarray, hit: np.ndarray, present: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """A bound of the scores of the extents that start in each block of a stretch (rows), for each set."""
+        starts = np.arange(first, min(len(self.ids), first + self.STRETCH), self.BLOCK)[:, None]
+        matter = (own >= starts) & (self.before[own] < starts + self.BLOCK)
+        later = matter & (own >= starts + self.BLOCK)
+        chunks = len(own) // self.CHUNK
+        cut = lambda m: m.astype(np.float32).reshape(len(starts), chunks, self.CHUNK).transpose(1, 0, 2)
+        hits = np.ascontiguousarray(hit.T, np.float32).reshape(chunks, self.CHUNK, len(hit))
+        found = np.cumsum(cut(matter) @ hits, axis=0)
+        after = cut(later)
+        others = after.sum(axis=2)[:, :, None] - after @ hits
+        others = np.cumsum(others, axis=0) - others  # before the chunk
+        return (np.minimum(found, present) / (wanted + others)).max(axis=0)
 
-def _best(want: frozenset[str], sequence: list[str], floor: float) -> float:
-    """The best extent of the sequence, all starts side by side.
 
-    Inside an extent from s, a trigram is new where it last stood before s, so running sums over the places give the
-    sizes of intersection and union. An extent with more than |want| / floor different trigrams can't reach the floor;
-    a start is given up there. Memory: some starts by some places at a time.
-    """
-    if not want or not sequence:
-        return 0.0
-    hit = np.fromiter((t in want for t in sequence), bool, len(sequence))
-    if len({t for t, h in zip(sequence, hit) if h}) < floor * len(want):
-        return 0.0
-    last: dict[str, int] = {}
-    before = np.empty(len(sequence), np.int64)
-    for i, t in enumerate(sequence):
-        before[i] = last.get(t, -1)
-        last[t] = i
-    most = len(want) / floor if floor > 0 else len(sequence)
-    best, starts = 0.0, np.flatnonzero(hit)  # an extent that starts elsewhere only loses
-    for some in (starts[i : i + 64] for i in range(0, len(starts), 64)):
-        at = 0
-        hits, size = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-        while len(some):
-            places = some[:, None] + np.arange(at, at + 512)
-            inside = places < len(sequence)
-            places = np.minimum(places, len(sequence) - 1)
-            new = inside & (before[places] < some[:, None])
-            sizes = size[:, None] + np.cumsum(new, axis=1)
-            found = hits[:, None] + np.cumsum(new & hit[places], axis=1)
-            best = max(best, float((found / (len(want) + sizes - found)).max()))
-            hits, size, at = found[:, -1], sizes[:, -1], at + 512
-            more = inside[:, -1] & (size <= most)
-            some, hits, size = some[more], hits[more], size[more]
-    return best if best >= floor else 0.0
-
-
-def word_similarity_column(query: Column, target: Column, floor: float) -> Column:
-    def run(qs: pd.Series, ts: pd.Series) -> pd.Series:
-        asked = {q: frozenset(trigrams(q)) for q in qs.unique()}  # questions repeat, so each is cut once a batch
-        return pd.Series([_best(asked[q], trigrams(t), floor) for q, t in zip(qs, ts)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(query, target)
+def word_similarity(query: str | None, target: str | None, floor: float = 0.0) -> float:
+    """Exact at or above the floor, 0 where the floor can't be reached."""
+    return float(Extents(trigram_codes(target)).best([np.unique(trigram_codes(query))], floor)[0])
+
+
+class Asked:
+    """Questions' trigram sets with postings, so that a text finds those of which it holds enough without looking at the rest."""
+
+    def __init__(self, questions: list[str], floor: float):
+        self.floor, self.sets = floor, [np.unique(trigram_codes(q)) for q in questions]
+        sizes = np.array([len(s) for s in self.sets], np.int64)
+        codes, owner = np.concatenate([np.zeros(0, np.int64), *self.sets]), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(codes, kind="stable")
+        self.owner = owner[order]
+        self.codes, self.first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
+        self.least = np.maximum(1, np.ceil(sizes * floor - 1e-9)).astype(np.int64)
+
+    def answers(self, text: str | None) -> list[tuple[int, float]]:
+        """(question, score) of every question at or above the floor."""
+        codes = trigram_codes(text)
+        if not len(codes) or not len(self.codes):
+            return []
+        target = Extents(codes)
+        at = np.minimum(np.searchsorted(self.codes, target.distinct), len(self.codes) - 1)
+        at = at[self.codes[at] == target.distinct]
+        n = self.count[at]
+        each = np.arange(n.sum()) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+        shared = np.bincount(self.owner[each], minlength=len(self.sets))
+        able = np.flatnonzero(shared >= self.least).tolist()
+        return [(q, s) for q, s in zip(able, target.best([self.sets[q] for q in able], self.floor).tolist()) if s > 0]
 
 
 def chunks(text: str, size: int = 1000) -> list[str]:

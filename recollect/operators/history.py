@@ -98,24 +98,26 @@ def rename_map(changes: DataFrame) -> DataFrame:
 def path_closure(paths: DataFrame, renames: DataFrame) -> DataFrame:
     """(path, name): each path and all its later names, however many; rings end.
 
-    renames is a rename_map(): a path has one next name. So each round doubles what is reached: a jump of 2^k renames
-    leads to a path whose names within 2^k renames are known. A chain of n takes log n rounds.
+    renames is a rename_map(): a path has one next name. Only the asked paths are carried: a round adds to each the
+    names that its names lead to within a jump of 2^k renames, and doubles the jump, until no jump is left, or, in a
+    ring, no name is new. A chain of n takes log n rounds, two of them a written table.
     """
     scratch = Scratch(paths.sparkSession, "closure")
-    step = renames.select("previous_path", "path").where("previous_path is not null")
-    named = step.select(F.col("previous_path").alias("a")).unionAll(step.select(F.col("path").alias("a"))).distinct()
-    reach = scratch.keep(named.select("a", F.col("a").alias("name")).unionAll(step.select(F.col("previous_path").alias("a"), F.col("path").alias("name"))).distinct(), "reach-0")
-    jump = scratch.keep(step.select(F.col("previous_path").alias("a"), F.col("path").alias("to")), "jump-0")
+    reach = paths.select("path").where("path is not null").distinct().select("path", F.col("path").alias("name"))
+    jump = renames.where("previous_path is not null and path is not null").select(F.col("previous_path").alias("a"), F.col("path").alias("to"))
+    jump = scratch.keep(jump, "jump-0")
     n, before = 0, -1
-    while before != (before := reach.count()):
+    while True:
         n += 1
-        far = jump.join(reach.select(F.col("a").alias("to"), "name"), "to").select("a", "name")
-        reach = scratch.keep(reach.unionAll(far).distinct(), f"reach-{n}")
-        jump = scratch.keep(jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")), f"jump-{n}")
-        for name in ("reach", "jump"):
-            scratch.drop(f"{name}-{n - 1}")
-    wanted = paths.select("path").distinct()
-    return wanted.join(reach, wanted.path == reach.a, "left").select("path", F.coalesce("name", "path").alias("name"))
+        for _ in range(2):
+            reach = reach.unionAll(reach.join(jump, F.col("name") == F.col("a")).select("path", F.col("to").alias("name")))
+            jump = jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to"))
+        reach, jump = scratch.keep(reach.distinct(), f"reach-{n}"), scratch.keep(jump, f"jump-{n}")
+        if jump.isEmpty() or before == (before := reach.count()):
+            return reach
+        scratch.drop(f"jump-{n - 1}")
+        if n > 1:
+            scratch.drop(f"reach-{n - 1}")
 
 
 def changed_paths(changes: DataFrame) -> DataFrame:
@@ -137,18 +139,47 @@ def on_paths(memories: DataFrame, paths: DataFrame) -> DataFrame:
     return m.join(touched.join(wanted, "path", "left_semi").select("id").distinct(), "id", "left_semi")
 
 
+#: Stretches of time into which a path's changes are dealt, so that a busy path is no single task.
+ERAS = 32
+
+
 def verdicts(anchors: DataFrame, memories: DataFrame, changes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """(id, possibly_stale, reason, newest, n_changes) of every memory (id, as_of, suspect, suspect_reason).
 
     anchors: (id, path). A change touches an anchor by its path or its previous path, under any later name of the
     anchor. Strictly newer changes make a memory stale; a persisted suspicion stays, a fresh reason replaces its text.
+
+    No memory meets a change: each name has a timeline of its changes and of the times that memories ask about, and a
+    running count from the newest on answers all of them. A rename touches two names; where a memory has both, it was
+    counted twice, so the pair has a timeline of its own that is taken off. Rows grow with anchors plus changes.
     """
-    names = anchors.select("id", F.col("path").alias("name")).distinct()
-    if closure is not None:
-        names = anchors.join(closure, "path").select("id", "name").distinct()
-    touched = changes.select("seq", F.col("path").alias("name")).unionAll(changes.where("previous_path is not null").select("seq", F.col("previous_path").alias("name"))).distinct()
-    met = names.join(touched, "name").select("id", "seq").distinct().join(changes, "seq").join(memories.select("id", "as_of"), "id").where("date > as_of")
-    first = met.groupBy("id").agg(F.count("*").alias("n"), F.max("date").alias("newest"), F.min_by(F.struct("kind", "path", "previous_path", "sha"), "seq").alias("c"))
+    ch = changes.where("date is not null")
+    moved = F.col("previous_path").isNotNull() & (F.col("previous_path") != F.col("path"))
+    key = lambda name, to: F.struct(name.alias("name"), to.alias("to"))
+    one, two = F.array(key(F.col("path"), F.lit(""))), F.array(key(F.col("path"), F.lit("")), key(F.col("previous_path"), F.lit("")), key(F.col("previous_path"), F.col("path")))
+    each = ch.select("date", F.struct("seq", F.struct("kind", "path", "previous_path", "sha").alias("c")).alias("first"), F.explode(F.when(moved, two).otherwise(one)).alias("k"))
+    happened = each.groupBy("k.name", "k.to", F.col("date").alias("at")).agg(F.count("*").alias("n"), F.min("first").alias("first")).withColumn("late", F.lit(1))
+
+    names = anchors.join(closure, "path").select("id", "name") if closure is not None else anchors.select("id", F.col("path").alias("name"))
+    names = names.distinct()
+    pairs = ch.where(moved).select(F.col("previous_path").alias("name"), F.col("path").alias("to")).distinct()
+    both = names.join(pairs, "name").join(names.select("id", F.col("name").alias("to")), ["id", "to"], "left_semi")
+    asked = names.select("id", "name", F.lit("").alias("to")).unionByName(both).join(memories.where("as_of is not null").select("id", F.col("as_of").alias("at")), "id")
+    times = asked.select("name", "to", "at").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("first", F.lit(None).cast(happened.schema["first"].dataType)).withColumn("late", F.lit(0))
+
+    cuts = ch.agg(F.percentile_approx(F.col("date").cast("double"), [i / ERAS for i in range(1, ERAS)], 1000)).first()[0] or [0.0]
+    era = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("at").cast("double"))).alias("era")
+    line = happened.unionByName(times).select("*", era)
+    down = Window.partitionBy("name", "to", "era").orderBy(F.desc("at"), "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = F.when(F.col("late") == 1, F.col("at"))
+    ran = line.select("name", "to", "era", "at", "late", F.sum("n").over(down).alias("n"), F.max(newest).over(down).alias("newest"), F.min("first").over(down).alias("first")).where("late = 0")
+    after = Window.partitionBy("name", "to").orderBy(F.desc("era")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = line.groupBy("name", "to", "era").agg(F.sum("n").alias("n"), F.max(newest).alias("newest"), F.min("first").alias("first"))
+    totals = totals.select("name", "to", "era", F.sum("n").over(after).alias("more"), F.max("newest").over(after).alias("later"), F.min("first").over(after).alias("sooner"))
+    told = ran.join(totals, ["name", "to", "era"]).select("name", "to", "at", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("newest", "later").alias("newest"), F.least("first", "sooner").alias("first"))
+    met = asked.join(told.where("n > 0"), ["name", "to", "at"])
+    first = met.groupBy("id").agg(F.sum(F.when(F.col("to") == "", F.col("n")).otherwise(-F.col("n"))).alias("n"), F.max("newest").alias("newest"), F.min("first").alias("first"))
+    first = first.select("id", "n", "newest", F.col("first.c").alias("c"))
     why = suspect_reason(F.col("c.kind"), F.col("c.path"), F.col("c.previous_path"), F.col("c.sha"), F.col("n"))
     out = memories.join(first, "id", "left")
     return out.select("id", (F.col("n").isNotNull() | F.col("suspect")).alias("possibly_stale"), F.when(F.col("n").isNotNull(), why).when(F.col("suspect"), F.col("suspect_reason")).alias("reason"), "newest", F.coalesce("n", F.lit(0)).alias("n_changes"))
