@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .scratch import Scratch
 
 #: Vectors of a block, and queries that meet it at once; vectors of the sample for the cells, and of a tree's leaf.
-BLOCK, ASKING, SAMPLE, LEAF = 8192, 2048, 4096, 64
+BLOCK, ASKING, SAMPLE, LEAF = 8192, 2048, 4096, 128
 WINDOWS = "array<struct<positive_id:bigint,lo:bigint,hi:bigint>>"
 LEAST, MOST = -(2**62), 2**62
 
@@ -139,28 +139,28 @@ def _visit(table: pa.Table, asking: pa.Table, k: int, same: bool, width: int, to
         ids, labels = (table.column(c).to_numpy() for c in ("id", "label"))
         x, q = _matrix(table.column("vec"), width), _matrix(asking.column("vec"), width)
         tree = Tree(_augmented(x, top), LEAF)
-        spans = {name: tree.order[a:b] for where, a, b, *rest in tree.nodes if where is None for name in rest}
+        x, ids, labels = x[tree.order], ids[tree.order], labels[tree.order]  # so that a leaf is one slice
+        spans = dict((rest[2], slice(*rest[:2])) for where, *rest in tree.nodes if where is None)
+        places = np.arange(len(x))
         high, low = _scores(q, *tree.bounds(np.c_[q, np.zeros(len(q))], False), top)
         nearest = np.argsort(-high, axis=1, kind="stable")
         for r, (anchor, label, windows) in enumerate(zip(*(asking.column(c).to_pylist() for c in ("anchor_id", "label", "windows")))):
-            seen: dict[int, np.ndarray] = {}
+            score, seen = np.zeros(len(x)), set()
+            able = ((labels == label) if same else (labels != label)) & (ids != anchor)
             for w in windows:
-                found_s, found_i = np.zeros(0), np.zeros(0, np.int64)
-                for leaf in nearest[r]:
-                    if high[r, leaf] < w["lo"] or len(found_s) == k and found_s[-1] > high[r, leaf]:
-                        break
-                    if low[r, leaf] > w["hi"]:
-                        continue
-                    own = spans[leaf]
-                    if leaf not in seen:
-                        seen[leaf] = x[own] @ q[r]
-                    s = seen[leaf]
-                    fits = (s >= w["lo"]) & (s <= w["hi"]) & ((labels[own] == label) if same else (labels[own] != label)) & (ids[own] != anchor)
-                    if fits.any():
-                        found_s, found_i = np.r_[found_s, s[fits]], np.r_[found_i, ids[own][fits]]
-                        best = np.lexsort((found_i, -found_s))[:k]
-                        found_s, found_i = found_s[best], found_i[best]
-                out += [(anchor, w["positive_id"], int(i), int(s)) for i, s in zip(found_i, found_s)]
+                best, at, step = np.zeros(0, np.int64), 0, 2
+                reach = nearest[r][high[r, nearest[r]] >= w["lo"]]
+                while at < len(reach) and not (len(best) == k and score[best[-1]] > high[r, reach[at]]):
+                    run = [leaf for leaf in reach[at : at + step].tolist() if low[r, leaf] <= w["hi"]]
+                    for leaf in run:
+                        if leaf not in seen:
+                            seen.add(leaf)
+                            score[spans[leaf]] = x[spans[leaf]] @ q[r]
+                    at, step = at + step, 2 * step  # a few leaves at first, then more at a time
+                    own = np.concatenate([best, *(places[spans[leaf]] for leaf in run)])
+                    own = own[able[own] & (score[own] >= w["lo"]) & (score[own] <= w["hi"])]
+                    best = own[np.lexsort((ids[own], -score[own]))[:k]]
+                out += [(anchor, w["positive_id"], int(i), int(s)) for i, s in zip(ids[best], score[best])]
     names = ["anchor_id", "positive_id", "id", "score"]
     return pa.table({n: pa.array([row[j] for row in out], pa.int64()) for j, n in enumerate(names)})
 

@@ -244,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
             x = np.array([features(t, a) for t in texts_of(batch.column(1))], float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "x1", "x2"])
 
-    rows = held.mapInArrow(measure, "toxic int, x1 double, x2 double").orderBy("toxic", "x1", "x2").collect()
+    rows = sorted(held.mapInArrow(measure, "toxic int, x1 double, x2 double").collect())  # two samples at most
     y = np.array([r.toxic for r in rows], float)
     share = [counts[c] / max(1, int((y == c).sum())) for c in (0, 1)]  # the sample's rows stand for all of their label
     weights = np.where(y == 1, share[1], share[0])
