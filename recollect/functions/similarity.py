@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -170,5 +169,12 @@ def chunks(text: str, size: int = 1000) -> list[str]:
         at = end
 
 
-def chunk_column(text: Column, size: int = 1000) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([chunks(t or "", size) for t in s]), "array<string>")(text)
+class _Pieces:
+    def eval(self, text: str | None, size: int):
+        yield from enumerate(chunks(text or "", size))
+
+
+def chunk_rows(rows: DataFrame, text: str = "text", size: int = 1000) -> DataFrame:
+    """rows, each with its pieces by a lateral join: pos from 0, and chunk; a null text has one empty piece."""
+    pieces = F.udtf(_Pieces, returnType="pos int, chunk string", useArrow=True)
+    return rows.lateralJoin(pieces(F.col(text).outer(), F.lit(size)))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.similarity import chunk_column
+from ..functions.similarity import chunk_rows
 from ..functions.text import digest_accepted, digest_prompt, query_tokens, search_text
 from ..functions.vectors import mean_pool
 from ..sources import git
@@ -44,7 +44,7 @@ def hash_embedder(dim: int = 1536) -> Embedder:
 
 def embed(rows: DataFrame, embedder: Embedder, size: int = 1000) -> DataFrame:
     """(id, vec) of rows (id, text): the pooled vectors of a text's chunks; null where the pool has no length."""
-    pieces = rows.select("id", F.posexplode(chunk_column(F.col("text"), size)).alias("pos", "chunk"))
+    pieces = chunk_rows(rows.select("id", "text"), size=size)
     each = pieces.select("id", F.struct("pos", embedder(F.col("chunk")).alias("v")).alias("c"))
     return each.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("id", mean_pool(F.transform("cs", lambda c: c.v)).alias("vec"))
 
@@ -75,6 +75,23 @@ def capture_history(memory: Memory, repo: str, scope: str = "", limit: int = 500
     return {"mined": mined, "recorded": recorded, "already_recorded": mined - recorded, "embeddings_backfilled": backfilled, "embedded": backfill_vectors(memory, embedder)}
 
 
+def capture_stream(memory: Memory, repo: str, checkpoint: str, scope: str = "") -> int:
+    """capture_history() as a stream: records what the history has gained since the last run; how many memories that made.
+
+    The stream's checkpoint holds the head that was reached. A batch is one commit of the memory, and a memory's id
+    follows from its commit, so a batch that is run again after a failure records nothing twice.
+    """
+    made: list[int] = []
+
+    def record(batch: DataFrame, _: int) -> None:
+        found = Scratch(memory.spark, "arrived").keep(batch, "commits")
+        made.append(memory.remember(git.as_memories(found, memory.current().select("action"))))
+
+    query = git.commit_stream(memory.spark, repo, scope).writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(made)
+
+
 def first_sentences(prompt: str, most: int = 600) -> str:
     """A runner without a model: the beginning of the body, up to the last full stop."""
     body = prompt.split("BODY:\n", 1)[-1].strip()[:most]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import Scratch
+
 
 def keyword_score(text: Column, groups: list[list[str]]) -> Column:
     """The share of synonym groups of which the text holds a variant, in any case; 0 for a null text."""
@@ -75,19 +77,67 @@ def seeded_shuffle(items: list, seed: int) -> list:
     return out
 
 
-def linked_arm(ranked: DataFrame, edges: DataFrame, k: int, seeds: int) -> DataFrame:
+def label_sample(edges: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """At most k edges (source, target, relation) of each relation to be labelled: those of the least hash of seed and ends.
+
+    The same for one seed, whatever the order of rows; a relation's rows are cut to k before they are shuffled.
+    """
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("source").cast("string"), F.col("target").cast("string")))
+    order = Window.partitionBy("relation").orderBy("drawn", "source", "target")
+    return edges.select("source", "target", "relation", drawn.alias("drawn")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("drawn")
+
+
+def rewired(edges: DataFrame, seed: int = 1, rounds: int = 60) -> DataFrame:
+    """(source, target, confidence): a random graph of the same degrees that holds none of the edges (source, target, confidence), each of which is there once.
+
+    The control of an arm with links. In each round the edges that are still old are paired with others by seeded
+    hashes, and a pair swaps its targets where that makes two edges that are new, no loops, and not there yet. A graph
+    too dense for it is an error after the last round.
+    """
+    scratch = Scratch(edges.sparkSession, "rewired")
+    old = scratch.keep(edges.select("source", "target"), "old")
+    now = scratch.keep(edges.select("source", "target", "confidence", F.lit(True).alias("old")), "0")
+    ends = ["source", "target"]
+    groups = max(1, now.count() // 50_000)
+    for n in range(1, rounds + 1):
+        if now.where("old").isEmpty():
+            return now.drop("old")
+        draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(n), F.lit(salt), *ends)
+        dealt = now.withColumn("g", F.pmod(draw("group"), F.lit(groups)))
+        place = lambda salt: F.row_number().over(Window.partitionBy("g").orderBy(draw(salt), *ends))
+        first = dealt.where("old").withColumn("p", place("first"))
+        partner = dealt.withColumn("p", place("partner")).select("g", "p", *(F.col(c).alias(f"{c}2") for c in ("source", "target", "confidence", "old")))
+        pairs = first.join(partner, ["g", "p"]).where("source <> source2 and target <> target2 and source <> target2 and source2 <> target")
+        pairs = pairs.withColumn("pair", F.struct(*ends))
+        touched = pairs.select("pair", F.explode(F.array(F.struct(*ends), F.struct(F.col("source2").alias("source"), F.col("target2").alias("target")))).alias("e")).groupBy("e").agg(F.min("pair").alias("pair"), F.count("*").alias("n"))
+        made = pairs.select("pair", F.explode(F.array(F.struct("source", F.col("target2").alias("target"), "confidence"), F.struct(F.col("source2").alias("source"), "target", F.col("confidence2").alias("confidence")))).alias("e")).select("pair", "e.*")
+        taken = now.select(*ends).unionAll(old)
+        bad = made.join(taken, ends, "left_semi").select("pair").unionAll(made.withColumn("k", F.count("*").over(Window.partitionBy(*ends))).where("k > 1").select("pair"))
+        twice = touched.where("n > 1").select(F.col("e").alias("twice"))
+        clash = pairs.join(twice, F.col("pair") == F.col("twice"), "left_semi").select("pair").unionAll(pairs.withColumn("second", F.struct(F.col("source2").alias("source"), F.col("target2").alias("target"))).join(twice, F.col("second") == F.col("twice"), "left_semi").select("pair"))
+        good = scratch.keep(pairs.join(bad.unionAll(clash).distinct(), "pair", "left_anti"), f"good-{n}")
+        gone = good.select(*ends).unionAll(good.select("source2", "target2"))
+        fresh = good.select("source", F.col("target2").alias("target"), "confidence", F.lit(False).alias("old")).unionAll(good.select("source2", "target", "confidence2", F.lit(False)))
+        now = scratch.keep(now.join(gone, ends, "left_anti").unionAll(fresh), str(n))
+    raise ValueError("the graph can't be rewired")
+
+
+def linked_arm(ranked: DataFrame, edges: DataFrame, k: int | None, seeds: int) -> DataFrame:
     """(qid, id, place, provenance): k hits of each question, some of them replaced by neighbours of the first.
 
+    Without k all hits and all neighbours of the first: what links could add at most. With rewired() edges it is the control.
+
     ranked: (qid, id, rank); edges: (source, target, confidence). The first `seeds` hits stay; their neighbours over
     edges either way follow, the most confident first, then those of the better seed; what is left is backfilled by rank.
     """
     best = Window.partitionBy("qid", "id").orderBy("step", F.desc("confidence"), "rank")
     place = Window.partitionBy("qid").orderBy("step", F.desc("confidence"), "rank", "id")
     none = F.lit(None).cast("double").alias("confidence")
-    hits = ranked.where(F.col("rank") <= k)
+    within = lambda c: F.lit(True) if k is None else F.col(c) <= k
+    hits = ranked.where(within("rank"))
     first = hits.where(F.col("rank") <= seeds)
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "confidence").unionAll(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "confidence"))
     near = first.join(both, "id").select("qid", F.col("other").alias("id"), "rank", F.lit(1).alias("step"), F.col("confidence").cast("double").alias("confidence"))
     own = hits.select("qid", "id", "rank", F.when(F.col("rank") <= seeds, 0).otherwise(2).alias("step"), none)
-    every = own.unionByName(near).withColumn("b", F.row_number().over(best)).where("b = 1").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    every = own.unionByName(near).withColumn("b", F.row_number().over(best)).where("b = 1").withColumn("place", F.row_number().over(place)).where(within("place"))
     return every.select("qid", "id", "place", F.when(F.col("step") == 1, "linked").when(F.col("step") == 0, "by_meaning").otherwise("backfill").alias("provenance"))

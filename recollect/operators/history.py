@@ -157,19 +157,20 @@ def verdicts(anchors: DataFrame, memories: DataFrame, changes: DataFrame, closur
     moved = F.col("previous_path").isNotNull() & (F.col("previous_path") != F.col("path"))
     key = lambda name, to: F.struct(name.alias("name"), to.alias("to"))
     one, two = F.array(key(F.col("path"), F.lit(""))), F.array(key(F.col("path"), F.lit("")), key(F.col("previous_path"), F.lit("")), key(F.col("previous_path"), F.col("path")))
-    each = ch.select("date", F.struct("seq", F.struct("kind", "path", "previous_path", "sha").alias("c")).alias("first"), F.explode(F.when(moved, two).otherwise(one)).alias("k"))
-    happened = each.groupBy("k.name", "k.to", F.col("date").alias("at")).agg(F.count("*").alias("n"), F.min("first").alias("first")).withColumn("late", F.lit(1))
+    each = ch.select(F.col("date").alias("at"), "seq", F.explode(F.when(moved, two).otherwise(one)).alias("k")).select("at", "seq", "k.name", "k.to")
+    happened = each.groupBy("name", "to", "at").agg(F.count("*").alias("n"), F.min("seq").alias("first")).withColumn("late", F.lit(1))
 
     names = anchors.join(closure, "path").select("id", "name") if closure is not None else anchors.select("id", F.col("path").alias("name"))
-    names = names.distinct()
-    pairs = ch.where(moved).select(F.col("previous_path").alias("name"), F.col("path").alias("to")).distinct()
+    scratch = Scratch(memories.sparkSession, "verdicts")
+    names = scratch.keep(names.join(memories.where("as_of is not null").select("id", F.col("as_of").alias("at")), "id").distinct(), "names")
+    pairs = scratch.keep(ch.where(moved).select(F.col("previous_path").alias("name"), F.col("path").alias("to")).distinct(), "pairs")
     both = names.join(pairs, "name").join(names.select("id", F.col("name").alias("to")), ["id", "to"], "left_semi")
-    asked = names.select("id", "name", F.lit("").alias("to")).unionByName(both).join(memories.where("as_of is not null").select("id", F.col("as_of").alias("at")), "id")
+    asked = scratch.keep(names.withColumn("to", F.lit("")).unionByName(both), "asked")
     times = asked.select("name", "to", "at").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("first", F.lit(None).cast(happened.schema["first"].dataType)).withColumn("late", F.lit(0))
 
     cuts = ch.agg(F.percentile_approx(F.col("date").cast("double"), [i / ERAS for i in range(1, ERAS)], 1000)).first()[0] or [0.0]
     era = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("at").cast("double"))).alias("era")
-    line = happened.unionByName(times).select("*", era)
+    line = scratch.keep(happened.unionByName(times).select("*", era), "line")
     down = Window.partitionBy("name", "to", "era").orderBy(F.desc("at"), "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     newest = F.when(F.col("late") == 1, F.col("at"))
     ran = line.select("name", "to", "era", "at", "late", F.sum("n").over(down).alias("n"), F.max(newest).over(down).alias("newest"), F.min("first").over(down).alias("first")).where("late = 0")
@@ -179,7 +180,7 @@ def verdicts(anchors: DataFrame, memories: DataFrame, changes: DataFrame, closur
     told = ran.join(totals, ["name", "to", "era"]).select("name", "to", "at", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("newest", "later").alias("newest"), F.least("first", "sooner").alias("first"))
     met = asked.join(told.where("n > 0"), ["name", "to", "at"])
     first = met.groupBy("id").agg(F.sum(F.when(F.col("to") == "", F.col("n")).otherwise(-F.col("n"))).alias("n"), F.max("newest").alias("newest"), F.min("first").alias("first"))
-    first = first.select("id", "n", "newest", F.col("first.c").alias("c"))
+    first = first.join(changes.select(F.col("seq").alias("first"), F.struct("kind", "path", "previous_path", "sha").alias("c")), "first")
     why = suspect_reason(F.col("c.kind"), F.col("c.path"), F.col("c.previous_path"), F.col("c.sha"), F.col("n"))
     out = memories.join(first, "id", "left")
     return out.select("id", (F.col("n").isNotNull() | F.col("suspect")).alias("possibly_stale"), F.when(F.col("n").isNotNull(), why).when(F.col("suspect"), F.col("suspect_reason")).alias("reason"), "newest", F.coalesce("n", F.lit(0)).alias("n_changes"))

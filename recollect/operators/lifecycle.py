@@ -1,7 +1,7 @@
 """A memory with its whole life: events, accesses, settlements and tiers beside the store's facts and notes, all append-only.
 
-A write appends its event first and its projection second. What is cut off between the two is repaired by rebuild(),
-which projects the events anew; so the event log alone is what must not be lost. One writer appends at a time.
+A memory, its event and its link are one commit: readers see all of them or none. rebuild() projects the events anew,
+so the event log alone is what must not be lost.
 """
 
 from __future__ import annotations
@@ -56,16 +56,17 @@ class Memory(Store):
 
     def migrate(self) -> list[str]:
         """Applies what the layout still lacks, in order; returns the names applied now. Done once, it does nothing."""
+        return self.committed(self._migrate)
+
+    def _migrate(self) -> list[str]:
         done = {r.name for r in self._read("schema_migrations", "name string, at timestamp").collect()}
-        fresh = []
+        fresh = [name for name, _ in MIGRATIONS if name not in done]
         for name, tables in MIGRATIONS:
-            if name in done:
-                continue
-            for table, schema in tables.items():
-                if not self._exists(table):
-                    self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{table}")
-            self.spark.createDataFrame([(name, instant(None))], "name string, at timestamp").write.mode("append").parquet(f"{self.path}/schema_migrations")
-            fresh.append(name)
+            for table, schema in tables.items() if name in fresh else ():
+                if not self._folders(table):
+                    self._put(table, self.spark.createDataFrame([], schema))
+        if fresh:
+            self._put("schema_migrations", self.spark.createDataFrame([(name, instant(None)) for name in fresh], "name string, at timestamp"))
         return fresh
 
     def events(self) -> DataFrame:
@@ -76,11 +77,14 @@ class Memory(Store):
         self._append("events", rows, EVENT, "event_id")
 
     def _append(self, table: str, rows: DataFrame, schema: str, number: str | None = None) -> None:
+        self.committed(lambda: self._put_rows(table, rows, schema, number))
+
+    def _put_rows(self, table: str, rows: DataFrame, schema: str, number: str | None) -> None:
         kind = self.spark.createDataFrame([], schema).schema
         if number:
             last = self._read(table, schema).agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
             rows = rows.withColumn(number, F.monotonically_increasing_id() + last + 1)
-        rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind)).write.mode("append").parquet(f"{self.path}/{table}")
+        self._put(table, rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind)))
 
     def remember(self, rows: DataFrame, now=None, session: str | None = None) -> int:
         """Record memories with their events: a missing id is minted, a missing time is now, the session is the writer's."""
@@ -90,6 +94,9 @@ class Memory(Store):
         if session is not None:
             full = full.withColumn("writer_session", F.lit(session))
         held = self._scratch("remember").keep(full.withColumn("_nth", F.monotonically_increasing_id()), "rows")  # minted ids must not be minted twice
+        return self.committed(lambda: self._remember(held, now))
+
+    def _remember(self, held: DataFrame, now: datetime) -> int:
         fresh = held.join(self.facts().select("id"), "id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*(c for c in held.columns if c != "id")), "_nth").alias("r")).select("id", "r.*")
         self.append_events(fresh.orderBy("_nth").select(F.lit("ExperienceRecorded").alias("event_type"), "id", F.to_json(F.struct(*(c for c in fresh.columns if c != "_nth"))).alias("payload"), F.lit(now).alias("at")))
         return self.record(fresh.drop("_nth"))
@@ -99,13 +106,15 @@ class Memory(Store):
 
         Anchors and related nodes that the row leaves null are those of the corrected memory; an empty list stays empty.
         """
-        now = instant(now)
+        now, new = instant(now), str(uuid.uuid4())
+        return self.committed(lambda: self._correct(row, supersedes, new, now, session))
+
+    def _correct(self, row: DataFrame, supersedes: str, new: str, now: datetime, session: str | None) -> str:
         old = self.get(supersedes)
         if old is None:
             raise ValueError(f"there is no memory {supersedes} to supersede")
         if old.superseded_by is not None:
             raise ValueError(f"can't supersede {supersedes}: fork")
-        new = str(uuid.uuid4())
         before = self.facts().where(F.col("id") == supersedes).select(F.col("anchors").alias("_anchors"), F.col("related_nodes").alias("_nodes"))
         have = lambda c: F.col(c) if c in row.columns else F.lit(None)
         one = row.crossJoin(F.broadcast(before)).withColumn("anchors", F.coalesce(have("anchors"), "_anchors")).withColumn("related_nodes", F.coalesce(have("related_nodes"), "_nodes")).drop("_anchors", "_nodes")  # one row beside one
@@ -115,6 +124,9 @@ class Memory(Store):
 
     def link(self, old: str, new: str, now=None) -> bool:
         now = instant(now)
+        return self.committed(lambda: self._link(old, new, now))
+
+    def _link(self, old: str, new: str, now: datetime) -> bool:
         linked = self.supersede(old, new, iso_text(now))
         if linked:
             self.append_events(self.spark.createDataFrame([("ExperienceSuperseded", old, new, now)], "event_type string, id string, new_id string, at timestamp"))
@@ -220,16 +232,20 @@ class Memory(Store):
         return {"experiences": counts.experiences, "tiers": {t: counts[t] for t in TIERS}, **{c: counts[c] for c in ("suspect", "superseded", "cold")}, "newest": [r.line for r in newest.collect()]}
 
     def rebuild(self) -> dict[str, int]:
-        """Projects the event log into facts and links anew. Accesses, tiers and other notes are no events and start again."""
+        """Projects the event log into facts and links anew, in one commit. Accesses, tiers and other notes are no events and start again."""
+        return self.committed(self._rebuild)
+
+    def _rebuild(self) -> dict[str, int]:
         counts = replay_counts(self.events()).first().asDict()
         rebuilt = replay(self.events())
         fields = [f for f in self.facts().schema.fields if f.name != "id"]
         scratch = self._scratch("rebuild")
         facts = scratch.keep(rebuilt.where("payload is not null").select("id", F.from_json("payload", EXPERIENCE).alias("p")).select("id", *(F.col(f"p.{f.name}").cast(f.dataType).alias(f.name) for f in fields)), "facts")
         links = scratch.keep(self.events().where("event_type = 'ExperienceSuperseded'").groupBy("id").agg(F.max_by(F.struct("new_id", "at"), "event_id").alias("l")).select("id", F.lit("superseded").alias("kind"), F.col("l.new_id").alias("text"), F.col("l.at").alias("at")), "links")
-        for table in ("facts", "notes", "accesses", "settles", "used", "tiers"):
-            self._drop(table)
-        facts.write.parquet(f"{self.path}/facts")
+        schemas = {table: schema for _, tables in MIGRATIONS for table, schema in tables.items() if table not in ("events", "facts")}
+        for table, schema in schemas.items():
+            self._put(table, self.spark.createDataFrame([], schema), replace=True)
+        self._put("facts", facts, replace=True)
         if not links.isEmpty():
             self.note(links)
         return counts
@@ -247,7 +263,7 @@ def temporary_memory(spark: SparkSession) -> Iterator[Memory]:
     try:
         yield memory
     finally:
-        memory._drop("")
+        memory.log.drop()
 
 
 def why_context(hits: DataFrame, root: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import contextlib
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import Scratch
+from .commits import Commits, Conflict
 
 EXPERIENCE = "id string, task string, observation string, digest string, hypothesis string, action string, result string, lessons array<string>, related_nodes array<string>, anchors array<struct<path:string,symbol:string>>, confidence double, ts timestamp, writer_session string"
 NOTE = "seq long, id string, kind string, text string, at timestamp, vec array<float>"
@@ -26,26 +31,61 @@ class Store:
     """A folder with two logs: facts (memories, never changed) and notes (what is learnt about them).
 
     Notes of kind digest, embedding, suspect, clear, verified, superseded, cold are ordered by seq; the latest of a
-    kind wins. One writer appends at a time; a batch is one file commit of Spark's writer.
+    kind wins. What is written inside together() becomes visible at once when it ends, to the store itself before;
+    any other write is a commit of its own. Several writers may share a folder: numbers follow the state that a commit
+    is based on, and who comes second starts again (see commits).
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _folder(self, name: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _exists(self, name: str) -> bool:
-        folder, fs = self._folder(name)
-        return fs.exists(folder)
-
-    def _drop(self, name: str) -> None:
-        folder, fs = self._folder(name)
-        fs.delete(folder, True)
+        self.spark, self.path, self.log = spark, path, Commits(spark, path)
+        self._open: tuple[int, dict[str, list[str]], set[str]] | None = None
+
+    @contextlib.contextmanager
+    def together(self):
+        """All writes within as one commit; an error commits none of them. Inside another one it adds to that."""
+        if self._open is not None:
+            yield
+            return
+        self._open = (self.log.latest(), {}, set())
+        try:
+            yield
+            base, added, replaced = self._open
+            if added or replaced:
+                self.log.commit(base, added, replaced)
+        finally:
+            self._open = None
+
+    def committed(self, write: Callable[[], Any], tries: int = 20) -> Any:
+        """write(), with all that it writes as one commit, done anew where another writer came first."""
+        if self._open is not None:
+            return write()
+        for left in reversed(range(tries)):
+            try:
+                with self.together():
+                    return write()
+            except Conflict:
+                if not left:
+                    raise
+
+    def _folders(self, name: str) -> list[str]:
+        if self._open is None:
+            return self.log.tables().get(name, [])
+        base, added, replaced = self._open
+        return ([] if name in replaced else self.log.tables(base).get(name, [])) + added.get(name, [])
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+        return self.log.read(self._folders(name), schema)
+
+    def _put(self, name: str, rows: DataFrame, replace: bool = False) -> None:
+        """Add rows to a table, or make them all that it holds."""
+        if self._open is None:
+            raise RuntimeError("written outside of a commit")
+        base, added, replaced = self._open
+        folder = self.log.stage(name, rows)
+        if replace:
+            replaced.add(name)
+            added[name] = []
+        added.setdefault(name, []).append(folder)
 
     def _scratch(self, name: str) -> Scratch:
         return Scratch(self.spark, name)
@@ -58,22 +98,31 @@ class Store:
 
     def record(self, rows: DataFrame) -> int:
         """Append memories whose id isn't there yet; confidence must lie in 0..1. Returns how many were new."""
+        return self.committed(lambda: self._record(rows))
+
+    def _record(self, rows: DataFrame) -> int:
         if rows.where("confidence < 0 or confidence > 1").limit(1).count():
             raise ValueError("confidence must lie between 0 and 1")
         fresh = rows.join(self.facts().select("id"), "id", "left_anti").dropDuplicates(["id"])
         fields = self.facts().schema.fields
         n = fresh.count()
-        fresh.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("append").parquet(f"{self.path}/facts")
+        self._put("facts", fresh.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)))
         return n
 
     def note(self, rows: DataFrame) -> None:
         """Append notes (id, kind, text, at, vec) after the last."""
+        self.committed(lambda: self._note(rows))
+
+    def _note(self, rows: DataFrame) -> None:
         last = self.notes().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         full = rows.select("id", "kind", *(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("text", "string"), ("at", "timestamp"), ("vec", "array<float>"))))
-        full.select((F.monotonically_increasing_id() + last + 1).alias("seq"), "*").write.mode("append").parquet(f"{self.path}/notes")
+        self._put("notes", full.select((F.monotonically_increasing_id() + last + 1).alias("seq"), "*"))
 
     def supersede(self, old: str, new: str, at: str) -> bool:
         """Link old to its correction; False where the link is there already, an error for self, unknown, fork and cycle."""
+        return self.committed(lambda: self._supersede(old, new, at))
+
+    def _supersede(self, old: str, new: str, at: str) -> bool:
         from .history import judge_link
 
         verdict = judge_link(self.current().select("id", "superseded_by"), old, new)
@@ -178,10 +227,7 @@ def render_contexts(rows: DataFrame) -> DataFrame:
     return grouped.select("qid", F.concat(F.lit("# Context: "), "question", F.lit("\n\n## Prior Experience\n\n"), body).alias("context"))
 
 
-def session_windows(events: DataFrame, gap: str) -> DataFrame:
-    return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
 def first_occurrences(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The row of the least order for each key, by an aggregate that combines before the shuffle."""
+    first = rows.groupBy(key).agg(F.min_by(F.struct("*"), F.col(order)).alias("_row"))
+    return first.select("_row.*")

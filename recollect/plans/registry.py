@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import anchors as A, constants as C, stemming as ST, text as T, vectors as V
 from ..operators import context as CX, evals as E, history as H, lifecycle as L, retrieval as R, store as S, tiers as TI
+from ..sources.scratch import Scratch
 from ..streaming import events as EV_
 
 _queries: dict[str, Callable] = {}
@@ -560,13 +561,12 @@ def changed_path_universe(spark, d):
 
 @query(f"WITH RECURSIVE {_chg(200)}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM chg WHERE previous_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT path FROM chg UNION SELECT previous_path FROM rn), c(path, name) AS (SELECT path, path FROM p UNION SELECT c.path, rn.path FROM c JOIN rn ON rn.previous_path = c.name) SELECT path, name FROM c")
 def rename_closure(spark, d):
-    ch = changes(spark, d, chain=200)
+    ch = Scratch(spark, "feed").keep(changes(spark, d, chain=200), "changes")
     return H.path_closure(H.changed_paths(ch), H.rename_map(ch))
 
 
-def order_memories(spark, d):
+def order_memories(ch: DataFrame):
     """Every order as a memory anchored on its parts, as of its date."""
-    ch = changes(spark, d)
     anchors = ch.select(F.col("o").alias("id"), F.coalesce("previous_path", "path").alias("path")).distinct()
     m = ch.groupBy(F.col("o").alias("id")).agg(F.max("date").alias("as_of")).withColumn("suspect", F.col("id") % 30 == 0).withColumn("suspect_reason", F.when(F.col("suspect"), "kept from before"))
     return anchors, m
@@ -584,8 +584,8 @@ STALE = f"""{CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM c
 
 @query(f"WITH RECURSIVE {STALE} SELECT mm.id, n IS NOT NULL OR suspect AS possibly_stale, CASE WHEN n > 1 THEN why || ' (+' || (n - 1) || ' more)' WHEN n = 1 THEN why WHEN suspect THEN 'kept from before' END AS reason, newest, coalesce(n, 0) AS n_changes FROM mm LEFT JOIN f ON f.id = mm.id")
 def stale_verdicts(spark, d):
-    anchors, m = order_memories(spark, d)
-    ch = changes(spark, d)
+    ch = Scratch(spark, "feed").keep(changes(spark, d), "changes")  # a feed is a table; here a join makes it
+    anchors, m = order_memories(ch)
     return H.verdicts(anchors, m, ch, H.path_closure(anchors.select("path"), H.rename_map(ch)))
 
 
