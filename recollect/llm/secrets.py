@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings, in DataFrame functions only.
 
-A candidate is a run of at least `window` characters of one class (hexadecimal, or letters, digits and +/_-). A window
-slides over it; the counts of the character that enters and of the one that leaves change, and with them the sum of
-n log2 n, from which the entropy follows. A candidate whose best window reaches the class's threshold
-is a span, unless the allow list names it: a place holder, an identifier in UUID form, a run without both letters and
-digits, or what the caller lists.
+A candidate is a run of at least `window` characters of one class: hexadecimal; letters, digits and +/_- with some digit
+and some letter; letters alone. A window slides over it; the counts of the character that enters and of the one that
+leaves change, and with them the sum of n log2 n, from which the entropy follows. A candidate whose best window reaches
+its class's threshold is a span, unless the allow list names it: a run ends where a place holder begins, so only what
+stands beside it is judged, and identifiers in UUID form or of capitalised words are none.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ["assign", "access", "hex", "entropy"]
-HEX_RUN, MIXED_RUN = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}+(?![0-9A-Za-z])", r"[A-Za-z0-9+/_-]{%d,}+"
-# Strings that are no secrets.
-ALLOW = r"(?i)example|placeholder|sample|dummy|changeme|xxxx|0123456789|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+# Words that stand in place holders, and forms of runs that are no secrets.
+ALLOW = r"example|placeholder|sample|dummy|changeme|xxxx|0123456789|abcdefgh"
+NO_SECRET = r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$|^[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+$"
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
@@ -49,29 +49,38 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), walk)
 
 
+#: Counts of a window's characters, + to z, twelve to a whole number of 60 bits, five bits each: windows of 31 at most.
+FIRST, EACH, WORDS, BITS = ord("+"), 12, 7, 5
+
+
 def window_entropy(s: Column, window: int) -> Column:
-    """The largest Shannon entropy, in bits a character, of the windows of an ASCII string, by incremental counts."""
+    """The largest Shannon entropy, in bits a character, of the windows of a string of letters, digits and +/_-, by incremental counts."""
+    if not 1 <= window <= 31:
+        raise ValueError("a window has 1 to 31 characters")
     chars = F.filter(F.split(s, ""), lambda c: c != "")
     terms = F.array(*(F.lit(0.0 if n < 2 else n * log2(n)) for n in range(window + 2)))
+    places = F.array(*(F.struct(F.lit(i // EACH).alias("word"), F.lit(i % EACH * BITS).alias("shift"), F.lit(1 << i % EACH * BITS).cast("long").alias("one")) for i in range(EACH * WORDS)))
 
     def _fold(codes: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1e9).alias("low"))
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1e9).alias("low"), F.array_repeat(F.lit(0).cast("long"), WORDS).alias("counts"))
+        none = F.struct(F.lit(-1).alias("word"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("one"))
 
         def step(acc: Column, i: Column) -> Column:
             enter = F.element_at(codes, i)
-            leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-            held = F.slice(codes, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))  # the window before
-            count = lambda x: F.size(F.filter(held, lambda c: c == x))
-            n_in, n_out = count(enter), count(leave)
+            leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(none)
+            count = lambda p: F.call_function("shiftright", F.element_at(acc["counts"], F.greatest(p["word"], F.lit(0)) + 1), p["shift"]).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+            n_in, n_out = count(enter), F.when(leave["word"] < 0, 1).otherwise(count(leave))
             more = F.element_at(terms, n_in + 2) - F.element_at(terms, n_in + 1)
-            less = F.element_at(terms, n_out + 1) - F.element_at(terms, F.greatest(n_out, F.lit(1)))
-            total = acc.sum + F.when(enter == leave, 0.0).otherwise(more - F.when(leave < 0, 0.0).otherwise(less))
-            return F.struct(total.alias("sum"), F.when(i >= window, F.least(acc.low, total)).otherwise(acc.low).alias("low"))
+            less = F.element_at(terms, n_out + 1) - F.element_at(terms, n_out)
+            total = acc["sum"] + F.when(enter == leave, 0.0).otherwise(more - less)
+            change = lambda p, k: F.when(p["word"] == k, p["one"]).otherwise(F.lit(0).cast("long"))
+            counts = F.transform(acc["counts"], lambda w, k: w + change(enter, k) - change(leave, k))
+            return F.struct(total.alias("sum"), F.when(i >= window, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"), counts.alias("counts"))
 
         low = F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step).low
         return F.when(F.size(codes) >= window, F.lit(log2(window)) - low / window).otherwise(F.lit(0.0))
 
-    return let(F.transform(chars, lambda x: F.ascii(x)), _fold)
+    return let(F.transform(chars, lambda x: F.element_at(places, F.ascii(x) - (FIRST - 1))), _fold)
 
 
 def _ordered(spans: Column) -> Column:
@@ -83,10 +92,11 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.7, allow: str = ALLOW) -> DataFrame:
+def find_secrets(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.7, letter_bits: float = 3.64, allow: str = ALLOW) -> DataFrame:
     """All columns of docs, and _base and _spans: sorted arrays of (kind, start, end) of each row's text.
 
-    kind is 0 assign, 1 access, 2 hex, 3 entropy; offsets count code points, the end is exclusive. Null and empty texts
+    kind is 0 assign, 1 access, 2 hex, 3 entropy; offsets count code points, the end is exclusive. allow is a pattern,
+    in any case, of words that no run holds. Null and empty texts
     have no spans. Every row is judged alone, so ties, repeated rows and hot sources need no care.
     """
     t = F.coalesce("text", F.lit(""))
@@ -99,15 +109,18 @@ def find_secrets(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed
     access = when(F.contains(t, F.lit("AKIA")), _spans(t, r"AKIA[A-Z0-9]{16,}", 1, lambda m: F.lit(True)))
     hexes = when(F.rlike(t, F.lit(r"[0-9a-f]{24}")), _spans(t, r"[0-9a-f]{24,}", 2, lambda m: F.lit(True)))
 
-    def secret(bits: float):
-        return lambda m: F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")) & ~F.rlike(m, F.lit(allow)) & (window_entropy(m, window) >= bits)
-
-    hex_run, mixed_run = HEX_RUN % window, MIXED_RUN % window
-    some_digit = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])" + mixed_run
-    entropy = when(
-        F.rlike(t, F.lit(some_digit)),
-        F.concat(_spans(t, hex_run, 3, secret(hex_bits)), _spans(t, mixed_run, 3, secret(mixed_bits))),
-    )
+    def secret(bits: float, some: str):
+        return lambda m: F.rlike(m, F.lit(some)) & ~F.rlike(m, F.lit(NO_SECRET)) & (window_entropy(m, window) >= bits)
+
+    # A run ends where a word of the allow list begins, and may begin again within it.
+    run = lambda chars: rf"(?:(?!(?i:{allow}))[{chars}]){{{window},}}+"
+    hex_run, mixed_run = rf"(?<![0-9A-Fa-f]){run('0-9A-Fa-f')}(?![0-9A-Za-z])", run("A-Za-z0-9+/_-")
+    letter_run = rf"(?<![A-Za-z]){run('A-Za-z')}(?![A-Za-z])"
+    both = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
+    some_digit = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{window},}}+"
+    mixed = when(F.rlike(t, F.lit(some_digit)), F.concat(_spans(t, hex_run, 3, secret(hex_bits, both)), _spans(t, mixed_run, 3, secret(mixed_bits, both))))
+    letters = when(F.rlike(t, F.lit(rf"[A-Za-z]{{{window}}}")), _spans(t, letter_run, 3, secret(letter_bits, "^[A-Za-z]")))
+    entropy = F.concat(mixed, letters)
     found = docs.withColumn("_base", F.concat(assign, access, hexes)).withColumn("_entropy", entropy)
     return found.withColumn("_spans", _ordered(F.concat("_base", "_entropy"))).withColumn("_base", _ordered(F.col("_base"))).drop("_entropy")
 

@@ -421,12 +421,15 @@ def test_secret_recall(spark, tiny):
     rng = random.Random(12)
     texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").where("length(text) > 300").orderBy("doc_id").select("text").collect()]
     base62, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
-    kinds = {"hex": ("0123456789ABCDEF", [32, 40, 64]), "base62": (base62, [24, 32, 40]), "url": (url, [24, 43]), "lower": (string.ascii_lowercase + string.digits, [24, 32])}
+    kinds = {"hex": ("0123456789ABCDEF", [32, 40, 64]), "base62": (base62, [24, 32, 40]), "url": (url, [24, 43]), "lower": (string.ascii_lowercase + string.digits, [24, 32]), "letters": (string.ascii_letters, [24, 32]), "lower letters": (string.ascii_lowercase, [32, 40]), "behind": (base62, [24, 32])}
     rows, places = [], {}
     for kind, (letters, lengths) in kinds.items():
         for i in range(150):
             text, key = texts[(7 * i) % len(texts)], "".join(rng.choice(letters) for _ in range(rng.choice(lengths)))
             at = text.index(" ", rng.randrange(100, 250)) + 1
+            if kind == "behind":  # an allowed word in the same run leaves the key to be found
+                front = rng.choice(["samples/prod-", "example_", "xxxx", "dummy/0123456789-"])
+                text, at = text[:at] + front + text[at:], at + len(front)
             rows.append((len(rows), text[:at] + key + " " + text[at:]))
             places[len(rows) - 1] = (kind, at, at + len(key))
     clean = len(rows)
