@@ -2,7 +2,8 @@
 
 A block is a line, or a window of consecutive tokens over several lines, for notices that are wrapped. A template's
 windows are as long as it can be and still make up `percent` of one; tokens of lines that meet the template by
-themselves count in no window. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A
+themselves count in no window. Notices of several licences may differ in one word, so a block must also hold a token
+that names the licence, where the template does, and none that names another. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A
 block meets a template if it holds at least `percent` of the template's distinct tokens. Such a block must hold one of the
 template's first |T| - ceil(percent * |T|) + 1 tokens (prefix filter), have at least ceil(percent * |T|) tokens
 (length filter), and the tokens left in the template after the first shared one must suffice (positional filter). Windows
@@ -34,6 +35,12 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+# Tokens that name a licence. A template that holds one is met only by blocks that do.
+NAMES = {"apache-2": ["apache"], "cc-by-nc": ["nc", "noncommercial"], "gpl": ["gnu"], "mit": ["mit"], "mpl": ["mozilla"]}
+
+# Tokens that make another licence of a notice.
+APART = {"cc-by": ["noncommercial", "noderivatives", "sharealike", "nc", "nd", "sa"]}
+
 
 def lower_ascii(text: Column) -> Column:
     """The text (null: empty) with A-Z lower-cased, and no other character turned into an ASCII one.
@@ -70,7 +77,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, in
     return {**dict.fromkeys(vocabulary, 0), **{r.w: r.n for r in rows}}
 
 
-def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, names: dict[str, list[str]] = NAMES, apart: dict[str, list[str]] = APART) -> DataFrame:
     """Words, phrase places, labels and score of each row of docs (doc_id, text), and the blocks found.
 
     blocks lists (line, label, share) of every line and template that meet the threshold, then those of the windows: of
@@ -84,6 +91,8 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
     vocabulary = sorted({w for _, ws in sets for w in ws})
     frequency = document_frequencies(docs, vocabulary)
     ordered = [(label, sorted(ws, key=lambda w: (frequency[w], w))) for label, ws in sets]
+    named = [[w for w in ws if w in names.get(label, ())] for label, ws in ordered]
+    other = [apart.get(label, []) for label, _ in ordered]
     need = [ceil(percent * len(ws) / 100) for _, ws in ordered]
     prefixes = sorted({w for (_, ws), n in zip(ordered, need) for w in ws[: len(ws) - n + 1]})
 
@@ -121,7 +130,8 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
                 head = F.array(*map(F.lit, ws[: len(ws) - n + 1]))
                 first = F.array_position(literal, F.element_at(F.array_intersect(head, b), 1))
                 full = F.size(shared(literal))
-                passes = (F.size(b) >= n) & F.arrays_overlap(head, b) & (F.lit(len(ws)) - first + 1 >= n) & (full >= n)
+                known = (some(b, named[k]) if named[k] else F.lit(True)) & (~some(b, other[k]) if other[k] else F.lit(True))
+                passes = known & (F.size(b) >= n) & F.arrays_overlap(head, b) & (F.lit(len(ws)) - first + 1 >= n) & (full >= n)
                 found.append(F.when(passes, F.array(block(k, number, full / len(ws)))).otherwise(F.array().cast(by_template)))
             return F.flatten(F.array(*found))
 
@@ -144,6 +154,11 @@ def scan_licenses(docs: DataFrame, percent: int = 80, templates: dict[str, list[
                 starts = F.array_sort(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(first(p), p)))))
                 starts = F.filter(starts, lambda i: F.array_contains(literal, F.element_at(w, i).t))
                 each = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), held(i, F.lit(span)).alias("n"))), lambda x: x["n"] >= n)
+                inside = lambda x: F.transform(F.filter(F.slice(w, x["at"], span), lambda y: ~F.array_contains(own, y.line)), lambda y: y.t)
+                if named[k]:
+                    each = F.filter(each, lambda x: some(inside(x), named[k]))
+                if other[k]:
+                    each = F.filter(each, lambda x: ~some(inside(x), other[k]))
 
                 def step(kept: Column, x: Column) -> Column:
                     last = F.try_element_at(kept, F.lit(-1))
