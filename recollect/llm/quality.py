@@ -161,13 +161,22 @@ def _features(docs: DataFrame, *more: str) -> DataFrame:
     return base_statistics(docs, "lang", "source", *more).select("*", *(F.round(e * 1000).cast("long").alias(x) for x, e in zip(X, shape)))
 
 
-def _judged(features: DataFrame, stats: DataFrame, cut: float, least_rows: int) -> DataFrame:
-    """features with d2 and kept; groups of fewer than least_rows take the estimate over all."""
-    own = stats.where(f"not pool and n_all >= {least_rows}").drop("pool", "n_all")
-    pool = stats.where("pool").drop(*GROUP, "n_all")
-    names = pool.columns
-    held = _meet(features, own, ["lang", "source"], "left").join(F.broadcast(pool.select(*(F.col(c).alias(f"all_{c}") for c in names))), how="left")
-    held = held.select(*features.columns, *(F.coalesce(c, f"all_{c}").alias(c) for c in names))
+def _shrunk(stats: DataFrame, prior: float) -> DataFrame:
+    """Each group's estimate, drawn towards that of all rows as if the group had `prior` more rows distributed like all."""
+    names = [c for c in stats.columns if c[:2] in ("m_", "l_")]
+    pool = stats.where("pool").select(*(F.col(c).alias(f"all_{c}") for c in names))
+    both = stats.where("not pool").join(F.broadcast(pool))  # one row
+    own = F.col("n_all") / (F.col("n_all") + prior)
+    cov = lambda p, i, j: sum((F.col(f"{p}l_{i}{k}") * F.col(f"{p}l_{j}{k}") for k in range(1, j + 1)), F.col(f"{p}l_{i}0") * F.col(f"{p}l_{j}0"))
+    gap = [F.col(f"m_{x}") - F.col(f"all_m_{x}") for x in X]
+    mean = [(F.col(f"m_{x}") * own + F.col(f"all_m_{x}") * (1 - own)).alias(f"m_{x}") for x in X]
+    mixed = [(cov("", i, j) * own + cov("all_", i, j) * (1 - own) + gap[i] * gap[j] * own * (1 - own)).alias(f"c_{i}{j}") for i in range(P) for j in range(i + 1)]
+    return _cholesky(both.select("lang", "source", *mean, *mixed))
+
+
+def _judged(features: DataFrame, stats: DataFrame, cut: float, prior: float) -> DataFrame:
+    """features with d2 and kept."""
+    held = _meet(features, _shrunk(stats, prior), ["lang", "source"], "left")
     return _distance(held).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut))
 
 
@@ -176,22 +185,24 @@ def _grouped(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select("doc_id", "text", name("lang"), name("source"), *more)
 
 
-def judge_quality(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: int = 4, least_rows: int = 50) -> DataFrame:
+def judge_quality(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: int = 4, prior: float = 50.0) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and distance of each row of docs (doc_id, text, lang, source).
 
     A row is kept if it passes the base rules and its squared distance is at most `cut` (60: about 3e-12 of normal
-    data). Groups of fewer than least_rows documents take the estimate over all groups. A null lang or source is a
-    group of its own; a null text has no words and fails. Repeated rows each have a row; further columns are ignored;
+    data). A group's estimate is drawn towards that over all groups by the weight of `prior` rows: four statistics have
+    14 moments, so a few rows say little, and many outweigh the rest. A null lang or source is a
+    group of its own; a null text has no words and fails. The distance is null in a group where no row passes the base
+    rules. Repeated rows each have a row; further columns are ignored;
     an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     features = scratch.keep(_features(_grouped(docs)), "features")
     stats = robust_estimates(features.where("not base_failed"), scratch, share, steps)
-    d = _judged(features, stats, cut, least_rows)
+    d = _judged(features, stats, cut, prior)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance"))
 
 
-def keep_good(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: int = 4, least_rows: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: int = 4, prior: float = 50.0) -> DataFrame:
     """The rows of docs that judge_quality() keeps, with all columns.
 
     Statistics are taken once and written beside the rows that pass the base rules; the estimates read only the
@@ -201,4 +212,4 @@ def keep_good(docs: DataFrame, cut: float = 60.0, share: float = 0.75, steps: in
     rows = _features(_grouped(docs, F.struct("*").alias("_row")), "_row").select("lang", "source", "_row", *X, "base_failed")
     held = scratch.keep(rows, "rows").where("not base_failed")
     stats = robust_estimates(held.select("lang", "source", *X), scratch, share, steps)
-    return _judged(held, stats, cut, least_rows).where("kept").select("_row.*")
+    return _judged(held, stats, cut, prior).where("kept").select("_row.*")

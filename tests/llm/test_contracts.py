@@ -616,7 +616,7 @@ def test_urls(spark):
     assert probe(members) == 5000 and probe(spark.range(5000, 10000).select(F.concat(F.lit("u"), "id").alias("url"))) < 1500
 
 
-def quality_by_hand(rows, cut=60.0, share=0.75, steps=4, least_rows=50):
+def quality_by_hand(rows, cut=60.0, share=0.75, steps=4, prior=50.0):
     """judge_quality() of (doc_id, text, lang, source) by numpy: medians and quartiles, concentration steps, distances."""
     import numpy as np
 
@@ -647,21 +647,29 @@ def quality_by_hand(rows, cut=60.0, share=0.75, steps=4, least_rows=50):
             groups[lang, source].append(i)
     whole = estimate(x[[i for own in groups.values() for i in own]])
     out = []
-    of = {g: estimate(x[own]) if len(own) >= least_rows else whole for g, own in groups.items()}
+
+    def drawn(m):
+        (mean, cov), (all_mean, all_cov), own = estimate(m), whole, len(m) / (len(m) + prior)
+        gap = mean - all_mean
+        return mean * own + all_mean * (1 - own), cov * own + all_cov * (1 - own) + np.outer(gap, gap) * own * (1 - own)
+
+    of = {g: drawn(x[own]) for g, own in groups.items()}
     for i, (_, _, lang, source) in enumerate(rows):
-        mean, cov = of.get((lang, source), whole)
+        if (lang, source) not in of:  # nobody there to be judged by
+            out.append((False, None))
+            continue
+        mean, cov = of[lang, source]
         d2 = (x[i] - mean) @ np.linalg.inv(cov) @ (x[i] - mean)
         out.append((passed[i] and d2 <= cut, d2))
     return out
 
 
 def test_quality_by_hand(spark, tiny):
-    got = {r.doc_id: r for r in quality.judge_quality(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
-    for least in (50, 8):
-        got = {r.doc_id: r for r in quality.judge_quality(spark.read.parquet(f"{tiny}/documents.parquet"), least_rows=least).collect()}
-        for (i, *_), (kept, d2) in zip(rows, quality_by_hand(rows, least_rows=least)):
-            assert got[i].distance == pytest.approx(d2, rel=1e-6) and (got[i].kept == kept or abs(d2 - 60) < 1e-3), i
+    for prior in (50.0, 3.0):
+        got = {r.doc_id: r for r in quality.judge_quality(spark.read.parquet(f"{tiny}/documents.parquet"), prior=prior).collect()}
+        for (i, *_), (kept, d2) in zip(rows, quality_by_hand(rows, prior=prior)):
+            assert got[i].distance == (None if d2 is None else pytest.approx(d2, rel=1e-5)) and (got[i].kept == kept or abs((d2 or 0) - 60) < 1e-3), i
 
 
 def test_pipeline(spark, tiny):
