@@ -109,13 +109,14 @@ def rewired(edges: DataFrame, seed: int = 1, rounds: int = 60) -> DataFrame:
         partner = dealt.withColumn("p", place("partner")).select("g", "p", *(F.col(c).alias(f"{c}2") for c in ("source", "target", "confidence", "old")))
         pairs = first.join(partner, ["g", "p"]).where("source <> source2 and target <> target2 and source <> target2 and source2 <> target")
         pairs = pairs.withColumn("pair", F.struct(*ends))
-        touched = pairs.select("pair", F.explode(F.array(F.struct(*ends), F.struct(F.col("source2").alias("source"), F.col("target2").alias("target")))).alias("e")).groupBy("e").agg(F.min("pair").alias("pair"), F.count("*").alias("n"))
-        made = pairs.select("pair", F.explode(F.array(F.struct("source", F.col("target2").alias("target"), "confidence"), F.struct(F.col("source2").alias("source"), "target", F.col("confidence2").alias("confidence")))).alias("e")).select("pair", "e.*")
-        taken = now.select(*ends).unionAll(old)
-        bad = made.join(taken, ends, "left_semi").select("pair").unionAll(made.withColumn("k", F.count("*").over(Window.partitionBy(*ends))).where("k > 1").select("pair"))
-        twice = touched.where("n > 1").select(F.col("e").alias("twice"))
-        clash = pairs.join(twice, F.col("pair") == F.col("twice"), "left_semi").select("pair").unionAll(pairs.withColumn("second", F.struct(F.col("source2").alias("source"), F.col("target2").alias("target"))).join(twice, F.col("second") == F.col("twice"), "left_semi").select("pair"))
-        good = scratch.keep(pairs.join(bad.unionAll(clash).distinct(), "pair", "left_anti"), f"good-{n}")
+        # Each pair uses two edges and makes two: good is what nothing else uses, makes, or has.
+        entry = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"))
+        used = F.explode(F.array(entry("used", "source", "target"), entry("used", "source2", "target2"), entry("made", "source", "target2"), entry("made", "source2", "target")))
+        own = pairs.select("pair", used.alias("e"))
+        taken = now.select(*ends).unionAll(old).select(F.lit(None).cast(pairs.schema["pair"].dataType).alias("pair"), entry("made", *ends).alias("e"))
+        alone = own.unionAll(taken).groupBy("e").agg(F.count("*").alias("n"), F.min("pair").alias("pair")).where("n = 1 and pair is not null")
+        whole = alone.groupBy("pair").agg(F.count("*").alias("n")).where("n = 4").select("pair")
+        good = scratch.keep(pairs.join(whole, "pair", "left_semi"), f"good-{n}")
         gone = good.select(*ends).unionAll(good.select("source2", "target2"))
         fresh = good.select("source", F.col("target2").alias("target"), "confidence", F.lit(False).alias("old")).unionAll(good.select("source2", "target", "confidence2", F.lit(False)))
         now = scratch.keep(now.join(gone, ends, "left_anti").unionAll(fresh), str(n))
