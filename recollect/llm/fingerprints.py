@@ -55,19 +55,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest(containment(a, b), containment(b, a)), F.lit(0.0)))
 
 
+#: Stretches that are too full, up to which their list is broadcast; times that a stretch is cut anew.
+MOST_FULL, CUTS = 100_000, 4
+
+
+def _stretches(docs: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """docs with `at`, which orders stretches of about `most` documents, however the ids lie.
+
+    At first all stretches are as wide as `most` documents take on average. Where ids are clumped, or one lies far away,
+    some hold too many; these are cut anew, each by its own least and largest id, and so on. Only ids are read for it.
+    What still holds more after the last cut are single ids with many rows, or clumps within clumps within clumps.
+    """
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    width = max(most, (high - low + 1) * most // n) if n else most
+    none = F.lit(-(2**62)) + F.pmod(F.xxhash64("text"), F.lit(2**20))
+    docs = docs.withColumn("k0", F.coalesce(F.floor(F.col("doc_id") / F.lit(float(width))), none))
+    keys = ["k0"]
+    for cut in range(1, CUTS + 1):
+        held = docs.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), F.count("*").alias("_n"))
+        full = scratch.keep(held.where(f"_n > {4 * most} and _low < _high"), f"full-{cut}")
+        n_full = full.limit(MOST_FULL + 1).count()
+        if not n_full:
+            break
+        step = F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1).cast("double") * most / F.col("_n"))
+        full = full.select(*keys, "_low", step.alias("_step"))
+        docs = docs.join(F.broadcast(full) if n_full <= MOST_FULL else full, keys, "left")
+        docs = docs.withColumn(f"k{cut}", F.coalesce(F.floor((F.col("doc_id") - F.col("_low")) / F.col("_step")), F.lit(0))).drop("_low", "_step")
+        keys.append(f"k{cut}")
+    return docs.withColumn("at", F.struct(*keys)).drop(*keys)
+
+
 def with_next(docs: DataFrame, scratch: Scratch, carry: dict[str, Column], most: int = 512) -> DataFrame:
     """doc_id, text, the carried columns, and next: a struct of the next document's text and carried columns.
 
     The next document is that of the next doc_id; after the last comes the first. Order is found inside stretches of
-    ids, as wide as `most` documents take on average, and the first document of each stretch is also sent to the
-    stretch before: texts move once, and no task sorts more than a stretch. Stretches are put in order by range
-    partitions, of which only the ends meet in one task. Equal ids are ordered by text; rows without an id come first,
-    by a hash of the text.
+    ids (see _stretches), and the first document of each stretch is also sent to the stretch before: texts move once,
+    and no task sorts more than a stretch. Stretches are put in order by range partitions, of which only the ends meet
+    in one task. Equal ids are ordered by text; rows without an id come first, by a hash of the text.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(most, (high - low + 1) * most // n) if n else most
-    at = F.coalesce(F.floor(F.col("doc_id") / F.lit(float(width))), F.lit(-(2**62)) + F.pmod(F.xxhash64("text"), F.lit(2**20)))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", at)
+    docs = _stretches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), scratch, most)
     ordered = docs.groupBy("at").agg(F.min("doc_id").alias("first_id")).repartitionByRange("at")
     firsts = scratch.keep(ordered.withColumn("part", F.spark_partition_id()), "firsts")
     ends = firsts.groupBy("part").agg(F.max("at").alias("last"))  # a row for each partition

@@ -279,6 +279,20 @@ def test_fingerprints_by_hand(spark, tiny):
             assert r.near_edited == pytest.approx(like(a, e)) and r.near_next == pytest.approx(like(a, n))
 
 
+@pytest.mark.parametrize("kind", ["far", "clumped", "nested"])
+def test_stretches_hold_few_however_ids_lie(spark, kind):
+    """One far id, clumps, and clumps within clumps: stretches stay small, in order, and each document finds its next one."""
+    from recollect.llm.scratch import Scratch
+
+    ids = {"far": [*range(5000), 10**15], "clumped": [c * 10**12 + i for c in (0, 1, 7, 500) for i in range(1500)], "nested": [*range(3000), *(10**6 + 3 * i for i in range(3000)), 10**10, 10**15]}[kind]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
+    held = fingerprints._stretches(docs, Scratch(spark, "test"), 64)
+    sizes = [(r.n, r.low, r.high) for r in held.groupBy("at").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("at").collect()]
+    assert max(n for n, _, _ in sizes) <= 4 * 64 and all(a[2] < b[1] for a, b in zip(sizes, sizes[1:]))
+    out = {r.doc_id: r.n for r in fingerprints.with_next(docs, Scratch(spark, "test"), {}, most=64).select("doc_id", F.col("next.text").alias("n")).collect()}
+    assert out == {a: f"text {b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
 def test_sketches_merge(spark):
     """Merging the sketches of parts gives the sketch of all their shingles, also where a part has only its smallest hash."""
     import random
