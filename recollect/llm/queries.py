@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, context_tree, encoding, fingerprints, hard_negatives, licenses, merkle, near_dedup, packing, quality, secrets, toxicity, urls
+from . import chat, context_tree, encoding, fingerprints, hard_negatives, licenses, merkle, near_dedup, oracles, packing, quality, secrets, toxicity, urls
 
 # Host labels whose pages make up the example list of blocked URLs.
 LISTED_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
@@ -74,10 +74,20 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 finds by phrases alone, which SQL can say: its other labels come from the method."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict:
-    own = [op1_near_duplicates, op2_context_tree_scores, op3_fingerprints, op4_license_scans, op5_quality_rules, op6_secret_scans, op7_packing, op8_bpe_round_trip, op9_chat_format, op10_url_filter, op11_merkle_manifest, op12_hard_negatives, op13_toxicity]
+    own = [op1_near_duplicates, op2_context_tree_scores, op3_fingerprints, op4_license_scans, op5_quality_rules, op6_secret_scans, op7_packing, op8_bpe_round_trip, op9_chat_format, op10_url_filter, op11_merkle_manifest, op12_hard_negatives, op13_toxicity, license_phrases]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in the tests."""
+    return {
+        "op1_near_duplicates": oracles.near_duplicates(), "op9_chat_format": oracles.chat_digest(), "op10_url_filter": oracles.url_verdicts(urls.RULES, LISTED_LABELS), "op11_merkle_manifest": oracles.merkle(),
+        "op12_hard_negatives": oracles.hard_negatives(), "license_phrases": oracles.license_phrases(licenses.PHRASES, licenses.WORD),
+    }
