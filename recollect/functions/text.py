@@ -104,7 +104,7 @@ def scout_action(source: Column) -> Column:
 
 def gap_label(ms: Column) -> Column:
     hours = ms / 3600000.0
-    return F.when(hours < 48, F.concat(F.format_number(hours, 1), F.lit("h"))).otherwise(F.concat(F.format_number(hours / 24, 1), F.lit("d")))
+    return F.when(hours < 48, F.format_string("%.1fh", hours)).otherwise(F.format_string("%.1fd", hours / 24))
 
 
 def digest_prompt(task: Column, paths: Column, body: Column, most: int = 12_000) -> Column:

@@ -25,6 +25,11 @@ def slot_report(slots: DataFrame) -> DataFrame:
     return slots.groupBy("arm").agg(F.count("*").alias("questions"), F.avg((F.col("found") == F.col("wanted")).cast("int")).alias("all_slots"), (F.sum("found") / F.nullif(F.sum("wanted"), F.lit(0))).alias("slot_recall"), F.avg("returned").alias("mean_returned"), F.sum("links_used").alias("links_used"))
 
 
+def precision_by(samples: DataFrame) -> DataFrame:
+    """(relation, n, precision) of judged samples (relation, good)."""
+    return samples.groupBy("relation").agg(F.count("*").alias("n"), F.avg(F.col("good").cast("double")).alias("precision"))
+
+
 def weighted_precision(samples: DataFrame, population: DataFrame) -> DataFrame:
     """Sampled precision of each relation (relation, good) weighted by its population (relation, n): one row of precision and weighted."""
     per = samples.groupBy("relation").agg(F.count("*").alias("k"), F.sum(F.col("good").cast("int")).alias("good")).join(population, "relation")

@@ -187,16 +187,21 @@ def verdicts(anchors: DataFrame, memories: DataFrame, changes: DataFrame, closur
 
 
 def follow_ups(touches: DataFrame, max_gap, fanout: int) -> DataFrame:
-    """(source, target, file): neighbouring touches (file, commit, date, seq) of one file at most max_gap apart; files with more than fanout touches are no evidence."""
-    by = Window.partitionBy("file")
-    order = by.orderBy("date", "seq")
-    w = touches.withColumn("n", F.count("*").over(by)).withColumn("before", F.lag("commit").over(order)).withColumn("before_date", F.lag("date").over(order))
-    return w.where((F.col("n") <= fanout) & F.col("before").isNotNull() & (F.col("date") - F.col("before_date") <= max_gap)).select(F.col("commit").alias("source"), F.col("before").alias("target"), "file")
+    """(source, target, file): neighbouring touches (file, commit, date, seq) of one file at most max_gap apart; files with more than fanout touches are no evidence.
+
+    Files are counted before their touches are put in order, so what is ordered together is bounded by the fanout.
+    """
+    few = touches.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") <= fanout).select("file")
+    order = Window.partitionBy("file").orderBy("date", "seq")
+    w = touches.join(few, "file", "left_semi").withColumn("before", F.lag("commit").over(order)).withColumn("before_date", F.lag("date").over(order))
+    return w.where(F.col("before").isNotNull() & (F.col("date") - F.col("before_date") <= max_gap)).select(F.col("commit").alias("source"), F.col("before").alias("target"), "file")
 
 
 def shared_references(refs: DataFrame, most: int = 6) -> DataFrame:
     """(source, target, ref): pairs within references that 2 to `most` commits share; larger groups are no evidence, so a group gives a bounded number of pairs."""
-    sized = refs.select("ref", "commit").distinct().withColumn("n", F.count("*").over(Window.partitionBy("ref"))).where(F.col("n").between(2, most))
+    each = refs.select("ref", "commit").distinct()
+    few = each.groupBy("ref").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("ref")
+    sized = each.join(few, "ref", "left_semi")
     a, b = sized.select("ref", F.col("commit").alias("target")), sized.select("ref", F.col("commit").alias("source"))
     return a.join(b, "ref").where("target < source").select("source", "target", "ref")
 
@@ -213,7 +218,8 @@ def reverts(commits: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("string")
     quoting = commits.join(by_sha, commits.sha == by_sha.source, "left_anti").select(reverted_subject(F.col("subject")).alias("subject"), "date", F.lit(1).alias("late"), none.alias("sha"), F.col("sha").alias("source")).where("subject is not null")
-    rows = commits.select("subject", "date", F.lit(0).alias("late"), "sha", none.alias("source")).unionAll(quoting)
+    asked = quoting.groupBy("subject").agg(F.count("*").alias("asked")).select("subject")
+    rows = commits.select("subject", "date", F.lit(0).alias("late"), "sha", none.alias("source")).join(asked, "subject", "left_semi").unionAll(quoting)  # only subjects that a revert quotes
     before = Window.partitionBy("subject").orderBy("date", "late", "sha").rowsBetween(Window.unboundedPreceding, -1)
     by_subject = rows.withColumn("target", F.last("sha", ignorenulls=True).over(before)).where("source is not null and target is not null").select("source", "target")
     return by_sha.unionAll(by_subject)
@@ -226,8 +232,8 @@ def memories_of(memories: DataFrame, shas: DataFrame) -> DataFrame:
 
 def strongest(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target): the strongest relation, ties to the first rule."""
-    order = Window.partitionBy("source", "target").orderBy(F.desc("strength"), "rule")
-    return edges.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    best = edges.groupBy("source", "target").agg(F.max_by(F.struct(*(c for c in edges.columns if c not in ("source", "target"))), F.struct("strength", -F.col("rule"))).alias("e"))
+    return best.select("source", "target", "e.*").select(*edges.columns)
 
 
 def one_hop(seeds: DataFrame, edges: DataFrame, budget: int) -> DataFrame:

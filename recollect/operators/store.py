@@ -192,6 +192,11 @@ def import_reports(store: Store, rows: DataFrame, version: int = 2) -> dict[str,
     return {"imported": imported, "skipped": total - imported, "relinked": linked, "unlinkable": n - linked}
 
 
+def actions_with(memories: DataFrame, prefix: str) -> DataFrame:
+    """(action): the different actions that begin with the prefix, in any case."""
+    return memories.where(F.startswith(F.lower("action"), F.lit(prefix.lower()))).select("action").distinct()
+
+
 def latest_first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("ts"), "id").limit(limit)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.constants import TIERS
 from ..functions.policy import next_tier, tier_decision
 
 
@@ -77,32 +78,10 @@ def idle_candidates(states: DataFrame, cutoff, limit: int = 1000) -> DataFrame:
     return states.where((F.col("tier") == "short") & ~F.col("cold") & (since < F.lit(cutoff))).select("id", since.alias("idle_since")).orderBy("idle_since", "id").limit(limit)
 
 
-# The published linear congruential generator, whose draws make the workload what it is.
-LCG_FACTOR, LCG_STEP = 1664525, 1013904223
-
-
-def build_traffic(ids: list[str], seed: int = 20260819, misleading_share: float = 0.125, cold_share: float = 0.45, mean_sessions: float = 3, bystanders: int = 4, fail_misleading: float = 0.7, fail_base: float = 0.1):
-    """A seeded workload: (session number, retrieved, relied on, outcome) and the misleading ids. Sequential by nature, made on the driver."""
-    state = seed & 0xFFFFFFFF
-
-    def draw() -> float:
-        nonlocal state
-        state = (LCG_FACTOR * state + LCG_STEP) & 0xFFFFFFFF
-        return state / 4294967296
-
-    misleading = {i for i in ids if draw() < misleading_share}
-    events = []
-    for i in ids:
-        if draw() < cold_share:
-            continue
-        sessions = 1
-        while draw() > 1 / mean_sessions and sessions < 12:
-            sessions += 1
-        for _ in range(sessions):
-            others = [ids[int(draw() * len(ids))] for _ in range(bystanders)]
-            failed = draw() < (fail_misleading if i in misleading else fail_base)
-            events.append((len(events), [i, *(o for o in others if o != i)], [i], "rejected" if failed else "confirmed"))
-    return events, misleading
+def histogram(memories: DataFrame) -> DataFrame:
+    """(tier, n): how many memories each tier holds, tiers without any included."""
+    domain = memories.sparkSession.createDataFrame([(x,) for x in TIERS], "tier string")
+    return domain.join(memories.groupBy("tier").agg(F.count("*").alias("c")), "tier", "left").select("tier", F.coalesce("c", F.lit(0)).alias("n"))
 
 
 def _fold(strategy: str):

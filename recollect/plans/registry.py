@@ -91,10 +91,9 @@ def newest_memories(spark, d):
     return S.latest_first(memories(spark, d), 5).select("id", "task")
 
 
-@query(f"WITH {MEM} SELECT v.tier, count(mem.id) AS n FROM (VALUES ('short'), ('mid'), ('long')) v(tier) LEFT JOIN mem ON mem.tier = v.tier AND mem.body_length > 20000 GROUP BY 1")
+@query(f"WITH {MEM} SELECT v.tier, count(mem.id) AS n FROM (VALUES ('short'), ('mid'), ('long')) v(tier) LEFT JOIN mem ON mem.tier = v.tier GROUP BY 1")
 def tier_histogram(spark, d):
-    domain = spark.createDataFrame([(x,) for x in C.TIERS], "tier string")
-    return domain.join(memories(spark, d).where("body_length > 20000").groupBy("tier").agg(F.count("*").alias("c")), "tier", "left").select("tier", F.coalesce("c", F.lit(0)).alias("n"))
+    return TI.histogram(memories(spark, d))
 
 
 @query(f"WITH {MEM} SELECT count(*) FILTER (suspect) AS flagged, count(*) AS heads, count(*) FILTER (suspect) * 2 <= count(*) AND count(*) FILTER (suspect) > 0 AS banner FROM mem WHERE superseded_by IS NULL")
@@ -115,9 +114,12 @@ def missing_digest(spark, d):
     return memories(spark, d).where("superseded_by is null").join(digests, "id", "left_anti").orderBy("ts", "id").limit(200).select("id")
 
 
-@query("SELECT DISTINCT 'commit ' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS action FROM orders WHERE o_orderstatus = 'F'")
+@query("WITH a AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'commit ' WHEN 'O' THEN 'Commit ' ELSE 'scout-report ' END || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS action FROM orders) SELECT DISTINCT action FROM a WHERE starts_with(lower(action), 'commit ')")
 def recorded_actions(spark, d):
-    return t(spark, d, "orders").where("o_orderstatus = 'F'").select(T.commit_action(F.md5(F.col("o_orderkey").cast("string"))).alias("action")).where(F.startswith("action", F.lit("commit "))).distinct()
+    """Actions that a prefix names in any case: of commits, not of reports."""
+    sha = F.md5(F.col("o_orderkey").cast("string"))
+    action = F.when(F.col("o_orderstatus") == "F", T.commit_action(sha)).when(F.col("o_orderstatus") == "O", F.concat(F.lit("Commit "), F.substring(sha, 1, 8))).otherwise(T.scout_action(F.substring(sha, 1, 8)))
+    return S.actions_with(t(spark, d, "orders").select(action.alias("action")), "commit ")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 500")
@@ -384,7 +386,12 @@ def question_vectors(spark, d):
 
 @query(f"WITH {COS} SELECT qid, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS worst FROM cos GROUP BY 1")
 def cosine_batch(spark, d):
-    return R.vector_leg(question_vectors(spark, d), vectors(spark, d)).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("worst"))
+    """The best and the worst of all: the worst is the best of the opposite question, so that neither gives all pairs."""
+    q, m = question_vectors(spark, d), vectors(spark, d)
+    opposite = q.withColumn("vec", F.transform("vec", lambda x: -x))
+    best, worst = (R.vector_leg(x, m, 1).groupBy("qid").agg(F.round(F.max("score"), 6).alias("s")) for x in (q, opposite))
+    n = m.where("vec is not null").agg(F.count("*").alias("n"))
+    return best.withColumnRenamed("s", "best").join(worst.select("qid", (-F.col("s")).alias("worst")), "qid").crossJoin(n).select("qid", "n", "best", "worst")  # one row of counts
 
 
 @query(f"WITH {COS}, r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM cos) SELECT * FROM r WHERE rank <= 10")
@@ -429,14 +436,15 @@ def tier_length_boost(spark, d):
 def relevance_gate(spark, d):
     _, ls = legs(spark, d)
     m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
-    hits = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).withColumn("score", F.round("score", 6)).where("id <> qid").join(m.where("visible").select("id"), "id", "left_semi")
+    seen = vectors(spark, d).join(m.where("visible").select("id"), "id", "left_semi")
+    hits = R.vector_leg(question_vectors(spark, d), seen, 2).withColumn("score", F.round("score", 6)).where("id <> qid")  # a question's own vector and the best other one
     return R.gate(hits, 0.6)
 
 
 @query(f"WITH {COS}, best AS (SELECT qid, max(round(score, 6)) AS b FROM cos WHERE id <> qid GROUP BY 1) SELECT CAST(f.f AS DOUBLE) AS floor, count(*) FILTER (b >= f AND qid % 2 = 0) AS answered, count(*) FILTER (b >= f AND qid % 2 = 1) AS leaked FROM best, (VALUES (0.0), (0.2), (0.3), (0.5), (0.7), (0.9)) f(f) GROUP BY 1")
 def gate_sweep(spark, d):
     floors = spark.createDataFrame([(x,) for x in (0.0, 0.2, 0.3, 0.5, 0.7, 0.9)], "floor double")
-    best = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b"))
+    best = R.vector_leg(question_vectors(spark, d), vectors(spark, d), 2).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b"))
     return best.crossJoin(floors).groupBy("floor").agg(F.count_if(F.expr("b >= floor and qid % 2 = 0")).alias("answered"), F.count_if(F.expr("b >= floor and qid % 2 = 1")).alias("leaked"))
 
 
@@ -464,7 +472,7 @@ def gate_answered_leaked(spark, d):
     floors = spark.createDataFrame([(x,) for x in (0.2, 0.4, 0.6, 0.8)], "floor double")
     docs, q = t(spark, d, "documents"), questions(spark, d)
     gold = E.contained(q, docs.select(F.col("doc_id").alias("id"), "text")).select("qid").distinct().withColumn("gold", F.lit(True))
-    best = R.vector_leg(question_vectors(spark, d), vectors(spark, d)).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b")).join(gold, "qid", "left")
+    best = R.vector_leg(question_vectors(spark, d), vectors(spark, d), 2).where("id <> qid").groupBy("qid").agg(F.max(F.round("score", 6)).alias("b")).join(gold, "qid", "left")
     return best.crossJoin(floors).groupBy("floor").agg(F.count_if(F.expr("b >= floor and gold is not null")).alias("answered"), F.count_if(F.expr("b >= floor and gold is null")).alias("leaked"))
 
 
@@ -807,24 +815,6 @@ def promotion_replay(spark, d):
     return out
 
 
-@query()
-def promotion_simulation(spark, d):
-    """The published workload of 400 memories, made by a sequential generator; tests hold it against the published counts."""
-    ids = [f"mem-{i}" for i in range(400)]
-    traffic, misleading = TI.build_traffic(ids)
-    rows = [(m, seq, outcome, m in relied) for seq, got, relied, outcome in traffic for m in dict.fromkeys(got)]
-    ev = spark.createDataFrame(rows, "id string, seq long, outcome string, relied boolean")
-    every = spark.createDataFrame([(i, i in misleading) for i in ids], "id string, wrong boolean")
-    out = None
-    for name in ("raw", "broad", "narrow"):
-        r = every.join(TI.replay_strategy(ev, name), "id", "left").withColumn("tier", F.coalesce("tier", F.lit("short")))
-        up = F.col("tier") != "short"
-        n = lambda c: F.count_if(c).cast("int")
-        one = r.agg(*(n(F.col("tier") == x).alias(x) for x in C.TIERS), n(up & F.col("wrong")).alias("wrong"), n(up & ~F.col("wrong")).alias("sound")).select(F.lit(name).alias("strategy"), "*")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
 # --- events, context, streams ---
 
 @query("WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'ExperienceRecorded' WHEN 'purchase' THEN 'ExperienceSuperseded' WHEN 'view' THEN 'CodeChanged' WHEN 'signup' THEN 'SymbolAdded' ELSE event_type END AS t FROM events) SELECT count(*) FILTER (t LIKE 'Experience%') AS applied, count(*) FILTER (t IN ('CodeChanged', 'SymbolAdded')) AS retired, count(*) FILTER (t NOT LIKE 'Experience%' AND t NOT IN ('CodeChanged', 'SymbolAdded')) AS unrecognised FROM e")
@@ -843,21 +833,31 @@ def body_budget(spark, d):
     return S.body_budget(t(spark, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("rank"), F.length("text").alias("len")))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role = 'assistant' ORDER BY turn DESC, conv_id LIMIT 10")
+@query("SELECT conv_id AS qid, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, conv_id * 100 + turn) AS INTEGER) AS place, conv_id * 100 + turn AS id FROM conversations WHERE turn < 3")
 def context_topn(spark, d):
-    return t(spark, d, "conversations").where("role = 'assistant'").orderBy(F.desc("turn"), "conv_id").limit(10).select("conv_id", "turn")
+    """A conversation's first three turns as its answers, put in order by the library: the longest counts as the newest."""
+    turns = t(spark, d, "conversations").select(F.col("conv_id").alias("qid"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("turn") + 1).alias("rank"), F.length("text").alias("ts"))
+    return CX.build_context(turns.select("qid", "id", "rank"), turns.select("id", "ts"), most=3).select("qid", "place", "id")
 
 
-@query("SELECT conv_id, string_agg('- [' || role || '] ' || substr(text, 1, 60), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS qid, '# Context: talk ' || conv_id || chr(10) || chr(10) || '## Prior Experience' || chr(10) || chr(10) || string_agg('- [' || role || '] ' || CASE WHEN turn % 3 = 0 THEN '(no recorded outcome)' ELSE substr(text, 1, 60) END || CASE WHEN turn % 4 = 1 THEN ' — **old** (since ' || turn || ')' ELSE '' END || CASE WHEN turn % 2 = 1 THEN chr(10) || '  - ' || length(text) ELSE '' END, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def chat_context(spark, d):
-    line = F.concat(F.lit("- ["), "role", F.lit("] "), F.substring("text", 1, 60))
-    rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))).alias("xs"))
-    return rows.select("conv_id", F.array_join(F.transform("xs", lambda s: s.x), "\n").alias("context"))
+    """Conversations as the contexts that the library renders: outcomes, staleness with its reason, and lessons."""
+    n = F.col("turn")
+    rows = t(spark, d, "conversations").select(
+        F.col("conv_id").alias("qid"), F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("question"), n.alias("place"), F.col("role").alias("task"), F.when(n % 3 != 0, F.substring("text", 1, 60)).alias("result"),
+        F.when(n % 2 == 1, F.array(F.length("text").cast("string"))).alias("lessons"), F.when(n % 4 == 1, "old").alias("staleness"), F.when(n % 4 == 1, F.concat(F.lit("since "), n.cast("string"))).alias("staleness_reason"),
+    )
+    return S.render_contexts(rows)
 
 
-@query("SELECT o_orderpriority AS stratum, count(*) AS n, round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 6) AS precision_ FROM orders GROUP BY 1")
+@query("WITH s AS (SELECT o_orderpriority AS relation, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('5|' || o_custkey || '|' || o_orderkey), o_custkey, o_orderkey) <= 200) SELECT relation AS stratum, count(*) AS n, round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 6) AS precision_ FROM s GROUP BY 1")
 def stratified_precision(spark, d):
-    return t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0)), 6).alias("precision_"))
+    """Edges from customers to their orders, two hundred of each priority drawn by seed, judged by their price."""
+    o = t(spark, d, "orders")
+    drawn = E.label_sample(o.select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.col("o_orderpriority").alias("relation")), 200, 5)
+    judged = drawn.join(o.select(F.col("o_orderkey").alias("target"), (F.col("o_totalprice") > 150000).alias("good")), "target")
+    return E.precision_by(judged).select(F.col("relation").alias("stratum"), "n", F.round("precision", 6).alias("precision_"))
 
 
 @query("SELECT conv_id, turn, round((CASE WHEN contains(lower(text), 'a') OR contains(lower(text), 'zu') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'qu') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'er') THEN 1 ELSE 0 END) / 3.0, 6) AS score FROM conversations WHERE text IS NOT NULL")

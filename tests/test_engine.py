@@ -128,11 +128,18 @@ def test_policy_forms_agree(spark):
     assert all(x.to == policy.next_tier(x.t, x.c, x.r) for x in got)
 
 
-def test_promotion_counts(spark):
-    from recollect.plans import registry
+def test_tiers_without_memories_are_counted(spark):
+    from recollect.operators import tiers
 
-    got = {tuple(r) for r in registry.queries()["promotion_simulation"](spark, "").collect()}
-    assert got == {("raw", 0, 7, 393, 45, 355), ("broad", 1, 21, 378, 45, 354), ("narrow", 213, 102, 85, 6, 181)}
+    rows = spark.createDataFrame([(1, "mid"), (2, "mid"), (3, "long")], "id long, tier string")
+    assert {r.tier: r.n for r in tiers.histogram(rows).collect()} == {"short": 0, "mid": 2, "long": 1}
+    assert {r.tier: r.n for r in tiers.histogram(rows.limit(0)).collect()} == {"short": 0, "mid": 0, "long": 0}
+
+
+def test_gap_labels(spark):
+    hours = [0, 1, 47.9, 48, 24_000]
+    got = spark.createDataFrame([(h, h * 3_600_000.0) for h in hours], "h double, ms double").orderBy("h").select(text.gap_label(F.col("ms")).alias("g")).collect()
+    assert [r.g for r in got] == ["0.0h", "1.0h", "47.9h", "2.0d", "1000.0d"]
 
 
 def test_change_touches_agrees_with_verdicts(spark):
