@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import anchors as A, constants as C, stemming as ST, text as T, vectors as V
-from ..operators import context as CX, evals as E, history as H, lifecycle as L, retrieval as R, store as S, tiers as TI
+from ..operators import context as CX, evals as E, fulltext as FT, history as H, lifecycle as L, retrieval as R, store as S, tiers as TI
 from ..sources.scratch import Scratch
 from ..streaming import events as EV_
 
@@ -301,6 +301,21 @@ def bm25_stemmed(spark, d):
     return _round_rank(R.bm25(questions(spark, d), docs), ["id"], 10).select("qid", "id", "score", "rank")
 
 
+def kept_index(spark, d) -> FT.TextIndex:
+    """An index of all documents, filled in two batches of which the second outdoes half of the first."""
+    index = FT.TextIndex(spark, f"{Scratch(spark, 'index').root}/text")
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index.add(docs.where("id % 3 <> 0").withColumn("text", F.when(F.col("id") % 2 == 0, F.lit("an older text")).otherwise(F.col("text"))))
+    index.add(docs.where("id % 3 = 0 or id % 2 = 0"))
+    return index
+
+
+@query(f"WITH {STEMMED}, {TOP}")
+def index_search(spark, d):
+    """As bm25_stemmed, from a kept index: once it is filled, questions read no text."""
+    return _round_rank(kept_index(spark, d).search(questions(spark, d)), ["id"], 10).select("qid", "id", "score", "rank")
+
+
 def parts(spark, d):
     """Part descriptions as memories, the names of parts as questions; both with vectors where their number has one."""
     p = t(spark, d, "part")
