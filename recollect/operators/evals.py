@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.scratch import Scratch
+from .retrieval import spread
 
 
 def keyword_score(text: Column, groups: list[list[str]]) -> Column:
@@ -55,10 +56,11 @@ def contained(questions: DataFrame, docs: DataFrame, width: int = 4) -> DataFram
     words = F.split("question", " ")
     q = questions.where("question is not null").select("qid", "question", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("inner"))
     q = q.select("qid", "question", F.when(F.size("inner") >= width, width).otherwise(F.least(F.size("inner"), F.lit(1))).alias("w"), "inner")
-    keys = q.where("w > 0").select("qid", "question", "w", F.xxhash64(F.array_join(F.slice("inner", 1, F.col("w")), " ")).alias("key"))
+    first = lambda n: F.xxhash64(*(F.element_at("inner", j) for j in range(1, n + 1)))
+    keys = q.where("w > 0").select("qid", "question", "w", F.when(F.col("w") == width, first(width)).otherwise(first(1)).alias("key"))
     keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
-    cut = docs.where("text is not null").select("id", "text", F.split("text", " ").alias("ts"))
-    windows = lambda w: F.when(F.size("ts") >= w, F.transform(F.sequence(F.lit(1), F.size("ts") - (w - 1)), lambda i: F.xxhash64(F.array_join(F.slice("ts", i, w), " ")))).otherwise(F.array().cast("array<bigint>"))
+    cut = spread(docs.where("text is not null").select("id", "text")).select("id", "text", F.split("text", " ").alias("ts"))
+    windows = lambda w: F.when(F.size("ts") >= w, F.transform(F.sequence(F.lit(1), F.size("ts") - (w - 1)), lambda i: F.xxhash64(*(F.element_at("ts", i + j) for j in range(w))))).otherwise(F.array().cast("array<bigint>"))
     used = {r.w for r in q.select("w").distinct().collect()}
     out = docs.sparkSession.createDataFrame([], StructType([questions.schema["qid"], docs.schema["id"]])).toDF("qid", "id")
     for w in sorted(used - {0}):
@@ -108,10 +110,10 @@ def rewired(edges: DataFrame, seed: int = 1, rounds: int = 60) -> DataFrame:
         if now.where("old").isEmpty():
             return now.drop("old")
         draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(n), F.lit(salt), *ends)
-        dealt = now.withColumn("g", F.pmod(draw("group"), F.lit(groups)))
+        dealt = now.withColumn("g", F.pmod(draw("group"), F.lit(groups))).withColumn("asks", F.pmod(draw("role"), F.lit(2)) == 0)  # an edge asks or is asked, not both
         place = lambda salt: F.row_number().over(Window.partitionBy("g").orderBy(draw(salt), *ends))
-        first = dealt.where("old").withColumn("p", place("first"))
-        partner = dealt.withColumn("p", place("partner")).select("g", "p", *(F.col(c).alias(f"{c}2") for c in ("source", "target", "confidence", "old")))
+        first = dealt.where("old and asks").withColumn("p", place("first"))
+        partner = dealt.where("not asks").withColumn("p", place("partner")).select("g", "p", *(F.col(c).alias(f"{c}2") for c in ("source", "target", "confidence", "old")))
         pairs = first.join(partner, ["g", "p"]).where("source <> source2 and target <> target2 and source <> target2 and source2 <> target")
         pairs = pairs.withColumn("pair", F.struct(*ends))
         # Each pair uses two edges and makes two: good is what nothing else uses, makes, or has.

@@ -130,17 +130,17 @@ def test_sqlite_store(spark, tmp_path):
 
 def test_rewired_control(spark):
     rng = random.Random(4)
-    edges = list({(rng.randrange(40), 40 + rng.randrange(60)) for _ in range(150)} | {(a, a + 1) for a in range(0, 90, 3)})
+    edges = list({(rng.randrange(60), 60 + rng.randrange(90)) for _ in range(50)} | {(3, 60), (3, 61), (4, 60)})
     df = spark.createDataFrame([(a, b, 0.5 + (a % 5) / 10) for a, b in edges], "source long, target long, confidence double")
     new = [tuple(r) for r in evals.rewired(df, 7).collect()]
     assert len(new) == len(edges) and not {(a, b) for a, b, _ in new} & set(edges) and len({(a, b) for a, b, _ in new}) == len(edges) and all(a != b for a, b, _ in new)
     for end in (0, 1):
         assert sorted(e[end] for e in new) == sorted(e[end] for e in edges)
     assert sorted(tuple(r) for r in evals.rewired(df.repartition(3), 7).collect()) == sorted(new)
-    ranked = spark.createDataFrame([("q", e, i + 1) for i, e in enumerate([40, 41, 42])], "qid string, id long, rank int")
+    ranked = spark.createDataFrame([("q", e, i + 1) for i, e in enumerate([60, 61, 62])], "qid string, id long, rank int")
     ceiling = evals.linked_arm(ranked, df, None, 2)
-    near = {a for a, b in edges if b in (40, 41)} | {b for a, b in edges if a in (40, 41)}
-    assert {r.id for r in ceiling.collect()} == near | {40, 41, 42}
+    near = {a for a, b in edges if b in (60, 61)} | {b for a, b in edges if a in (60, 61)}
+    assert {r.id for r in ceiling.collect()} == near | {60, 61, 62}
 
 
 def test_label_sample(spark):
