@@ -73,6 +73,9 @@ class Store:
         base, added, replaced = self._open
         return ([] if name in replaced else self.log.tables(base).get(name, [])) + added.get(name, [])
 
+    def _exists(self, name: str) -> bool:
+        return bool(self._folders(name))
+
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.log.read(self._folders(name), schema)
 

@@ -137,7 +137,7 @@ def test_tiers_without_memories_are_counted(spark):
 
 
 def test_gap_labels(spark):
-    hours = [0, 1, 47.9, 48, 24_000]
+    hours = [0.0, 1.0, 47.9, 48.0, 24_000.0]
     got = spark.createDataFrame([(h, h * 3_600_000.0) for h in hours], "h double, ms double").orderBy("h").select(text.gap_label(F.col("ms")).alias("g")).collect()
     assert [r.g for r in got] == ["0.0h", "1.0h", "47.9h", "2.0d", "1000.0d"]
 
