@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.plans import registry
 from recollect.functions import similarity
 from recollect.operators import capture, commits, evals, history, lifecycle, retrieval, store
 from recollect.sources import git, sqlite
@@ -149,6 +150,12 @@ def test_label_sample(spark):
     assert one == again != other and len(one) == 36
 
 
+def test_precision_of_every_order(spark, tiny):
+    """All orders are judged, none left out by a sample."""
+    got = registry.queries()["stratified_precision"](spark, tiny).agg({"n": "sum"}).first()[0]
+    assert got == spark.read.parquet(f"{tiny}/orders.parquet").count()
+
+
 def test_pieces(spark):
     texts = [(1, "short"), (2, " " * 50 + "word\n" * 500), (3, None), (4, "x" * 2500)]
     got = similarity.chunk_rows(spark.createDataFrame(texts, "id long, text string"), size=100).collect()
