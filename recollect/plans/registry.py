@@ -353,7 +353,7 @@ def trigram_topk(spark, d):
 def trigram_documents(spark, d):
     """Questions against whole documents; SQL would enumerate every extent of every text, so tests hold it against brute force."""
     m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
-    return R.rank_leg(R.trigram_leg(questions(spark, d), m.select("id", "text")), m, 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return R.rank_leg(R.trigram_leg(questions(spark, d), m.where("visible").select("id", "text"), limit=5), m, 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 THREE = f"""{SIM}, pd AS (SELECT id, {ITOKENS.format('text')} AS ts FROM pt), whole AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM pd), terms AS (SELECT DISTINCT qid, unnest({QTOKENS.format('question')}) AS term FROM pq),

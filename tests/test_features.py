@@ -163,6 +163,16 @@ def test_pieces(spark):
         assert [r.chunk for r in sorted(got, key=lambda r: r.pos) if r.id == i] == similarity.chunks(t or "", 100)
 
 
+def test_trigram_leg_with_a_limit(spark, tiny):
+    """The best of each question are those of the whole leg, ties included, from fewer scored pairs."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select(F.col("doc_id").alias("id"), "text").where("id < 120")
+    docs = docs.unionAll(docs.where("id % 9 = 0").select(F.col("id") + 1000, "text")).select("id", "text", F.col("id").alias("ts"), F.lit(True).alias("visible")).coalesce(1)
+    asked = spark.read.parquet(f"{tiny}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question")).limit(8)
+    whole, few = retrieval.trigram_leg(asked, docs, 0.2), retrieval.trigram_leg(asked, docs, 0.2, limit=3)
+    ranked = lambda hits: sorted(map(tuple, retrieval.rank_leg(hits, docs, 3).collect()))
+    assert ranked(few) == ranked(whole) and few.count() < whole.count()
+
+
 def best_by_hand(q, t):
     """Every extent, by running sets; the question's trigrams as codes."""
     want, seq, best = set(similarity.trigrams(q)), similarity.trigrams(t), 0.0
