@@ -559,7 +559,9 @@ def changes(spark, d, chain: int = 0):
     """
     o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
     day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
-    rows = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o"), day.alias("date")).distinct()
+    parts = max(spark.sparkContext.defaultParallelism, -(-li.count() // H.PART))  # both are dealt by order: equal rows meet there, and a task's share doesn't grow
+    touched = li.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).repartition(parts, "o").distinct()
+    rows = touched.join(o.select(F.col("o_orderkey").alias("o"), day.alias("date")).repartition(parts, "o").distinct(), "o")
     name = lambda c: F.concat(F.lit("src/p"), c.cast("string"))
     p = F.col("p")
     ring = p.isin(310, 311, 312)

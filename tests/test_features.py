@@ -210,6 +210,33 @@ def test_trigrams_of_texts_of_twenty_thousand_words(spark, monkeypatch):
     assert time.time() - began < 60
 
 
+def test_changes_that_share_a_seq(spark):
+    """A memory has one row, whatever the changes' numbers."""
+    feed = spark.createDataFrame([(1, "b", None, "modified", "s1", 9), (1, "a", None, "modified", "s2", 9), (2, "a", None, "modified", "s3", 8)], "seq long, path string, previous_path string, kind string, sha string, date long")
+    mem = spark.createDataFrame([(7, 1, False, None)], "id long, as_of long, suspect boolean, suspect_reason string")
+    (row,) = history.verdicts(spark.createDataFrame([(7, "a")], "id long, path string"), mem, feed).collect()
+    assert (row.n_changes, row.newest, row.reason) == (2, 9, "modified a in s2 (+1 more)")
+
+
+def test_parts_grow_with_the_table(spark):
+    """More rows, more parts: of follow-ups as of whatever else is dealt."""
+    rows = spark.range(3 * history.PART)
+    assert history.dealt(rows, "id").rdd.getNumPartitions() == max(3, spark.sparkContext.defaultParallelism) and history.dealt(spark.range(11 * history.PART), "id").rdd.getNumPartitions() == 11
+
+
+def test_long_chains_are_made_once(spark):
+    """A chain is followed by many jobs, its links are made in one; heads agree with it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def link(i):
+        made.add(1)
+        return i + 1 if i < 9 else None
+
+    links = spark.range(10, numPartitions=1).select("id", F.udf(link, "long")("id").alias("superseded_by"))
+    assert [(r.id, r.depth) for r in history.chain_of(links, 4).collect()] == [(i, i) for i in range(10)] and made.value == 10
+    assert sorted(map(tuple, history.heads(links).collect())) == [(i, 9, 9 - i) for i in range(10)]
+
+
 def test_staleness_counts_each_change_once(spark):
     """Random feeds with renames against all pairs."""
     rng = random.Random(11)
