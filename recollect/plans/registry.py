@@ -230,8 +230,8 @@ def _round_rank(df: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 @query(f"WITH {BM25}, {MEM}, r AS (SELECT qid, bm.id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ts DESC, bm.id) AS rank FROM bm JOIN mem ON mem.id = bm.id WHERE {VISIBLE}) SELECT qid, id, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, d):
-    m = memories(spark, d)
-    hits = R.bm25(questions(spark, d), m.select("id", "text"), stemmed=False).join(m.where(R.visible(F.col("cold"), F.col("superseded_by"))).select("id", "ts"), "id")
+    m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
+    hits = R.bm25(questions(spark, d), m.select("id", "text", "visible"), stemmed=False, limit=10).join(m.where("visible").select("id", "ts"), "id")
     return _round_rank(hits, [F.desc("ts"), "id"], 10).select("qid", "id", "score", "rank")
 
 
@@ -260,7 +260,7 @@ def bm25_phrase(spark, d):
     pick = lambda *ns: F.concat_ws("_", *(F.element_at("w", n) for n in ns))
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), w.alias("w")).where(F.size("w") >= 9).select("qid", F.concat_ws(" ", pick(2, 3), pick(5, 6, 7), pick(9)).alias("question"))
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return _round_rank(R.bm25(q, docs, stemmed=False), ["id"], 10).select("qid", "id", "score", "rank")
+    return _round_rank(R.bm25(q, docs, stemmed=False, limit=10), ["id"], 10).select("qid", "id", "score", "rank")
 
 
 def _porter(words: str) -> str:
@@ -425,7 +425,7 @@ LEGS = f"""{BM25}, {COS}, {MEM},
 def legs(spark, d):
     m = memories(spark, d).withColumn("visible", R.visible(F.col("cold"), F.col("superseded_by")))
     rounded = lambda df: df.withColumn("score", F.round("score", 6))
-    text = R.rank_leg(rounded(R.bm25(questions(spark, d), m.select("id", "text"), stemmed=False)), m)
+    text = R.rank_leg(rounded(R.bm25(questions(spark, d), m.select("id", "text", "visible"), stemmed=False, limit=20)), m)
     vector = R.rank_leg(rounded(R.vector_leg(question_vectors(spark, d), vectors(spark, d).join(m.where("visible").select("id"), "id", "left_semi"), 20)), m)
     return m, {"text": text, "vector": vector}
 
