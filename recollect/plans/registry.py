@@ -298,7 +298,7 @@ STEMMED = f"""dw AS (SELECT doc_id AS id, {FOLDED.format('text')} AS ts FROM doc
 @query(f"WITH {STEMMED}, {TOP}")
 def bm25_stemmed(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return _round_rank(R.bm25(questions(spark, d), docs), ["id"], 10).select("qid", "id", "score", "rank")
+    return _round_rank(R.bm25(questions(spark, d), docs, limit=10), ["id"], 10).select("qid", "id", "score", "rank")
 
 
 def kept_index(spark, d) -> FT.TextIndex:

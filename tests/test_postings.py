@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions import postings
 from recollect.functions.stemming import StemNumbers, stem
 from recollect.operators import retrieval
+from recollect.plans import registry
 
 
 def test_counts():
@@ -97,3 +98,13 @@ def test_bm25_moves_no_postings(spark):
     hits = retrieval.bm25(q, docs, stemmed=False, limit=5)
     assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
     assert hits.where("qid = 1").count() >= 5
+
+
+@pytest.mark.parametrize("name", ["bm25_stemmed"])
+def test_ranked_queries_rank_few(spark, tiny, monkeypatch, name):
+    """What is ranked is each task's best, not every hit."""
+    ranked, rank = [], registry._round_rank
+    monkeypatch.setattr(registry, "_round_rank", lambda df, keys, k: ranked.append(df) or rank(df, keys, k))
+    assert registry.queries()[name](spark, tiny).count()
+    docs = registry.t(spark, tiny, "documents").select(F.col("doc_id").alias("id"), "text")
+    assert ranked[0].count() < retrieval.bm25(registry.questions(spark, tiny), docs, stemmed=name == "bm25_stemmed").count()
