@@ -471,7 +471,7 @@ def mrr_recall(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     q = questions(spark, d)
     gold = E.contained(q, docs)
-    ranked = _round_rank(R.bm25(q, docs, stemmed=False), ["id"], 10).select("qid", "id", "rank")
+    ranked = _round_rank(R.bm25(q, docs, stemmed=False, limit=10), ["id"], 10).select("qid", "id", "rank")
     found = gold.join(ranked, ["qid", "id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
     return found.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 

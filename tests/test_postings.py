@@ -100,7 +100,7 @@ def test_bm25_moves_no_postings(spark):
     assert hits.where("qid = 1").count() >= 5
 
 
-@pytest.mark.parametrize("name", ["bm25_stemmed"])
+@pytest.mark.parametrize("name", ["bm25_stemmed", "mrr_recall"])
 def test_ranked_queries_rank_few(spark, tiny, monkeypatch, name):
     """What is ranked is each task's best, not every hit."""
     ranked, rank = [], registry._round_rank
