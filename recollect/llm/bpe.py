@@ -3,26 +3,40 @@
 A text is cut at single spaces between non-spaces, where the public pattern always cuts too (a pattern that fails a
 trial of this gets whole texts); what lies between is remembered with its ids, so that the pattern and the library's
 merges run once for each distinct stretch. The memory is bounded: two generations of at most MEMO entries of at most
-LONGEST characters each. Strings of the tokenizer's added tokens are ordinary text, as the vocabulary files' own description has it: no
+LONGEST characters each. Whole columns are cut by arrays, some megabytes at a time, and each distinct stretch of these
+is looked up once. Strings of the tokenizer's added tokens are ordinary text, as the vocabulary files' own description has it: no
 document can bring in a token that ends one.
 """
 
 from __future__ import annotations
 
 import base64
+import string
 import sys
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, models
 
 MEMO = 400_000
 LONGEST = 48
+#: Bytes of text whose stretches are told apart at once.
+SLICE = 4 << 20
+#: White space as str.isspace has it: single bytes as a table, longer ones as numbers, their first byte highest.
+WHITE = [chr(i).encode() for i in range(0x3001) if chr(i).isspace()]
+WHITE_BYTES = np.isin(np.arange(256), [w[0] for w in WHITE if len(w) == 1])
+WHITE_LONG = {n: np.array([int.from_bytes(w, "big") for w in WHITE if len(w) == n]) for n in (2, 3)}
 #: Ends and beginnings of words with which a pattern is tried.
 TRIAL = ["a", "Z", "\u00e9t\u00e9", "12", "\u00b2", "!?", "'s", "_", "-", "\u4e2d\u6587", "\U0001f600", "\u0301", "\x00"]
 
+#: What ends a word of letters in most patterns: ASCII marks that begin no contraction, and the end of a line.
+MARKS = "".join(c for c in string.punctuation if c not in "'_") + "\n"
+IS_LETTER, IS_MARK = (np.isin(np.arange(256), list(c.encode("ascii"))) for c in (string.ascii_letters, MARKS))
+
 
 def byte_table() -> list[str]:
     """The character that stands for each byte: itself where printable in Latin-1, else the next one from U+0100 on."""
@@ -61,6 +75,8 @@ class Codec:
     def __init__(self, model: models.BPE, vocabulary: dict[str, int], pattern: str):
         self.model, self.find = model, regex.compile(pattern).findall
         self.cuts = all(self.find(f"{a} {b}") == self.find(a) + self.find(f" {b}") for a in TRIAL for b in TRIAL)
+        self.more_cuts = self.cuts and all(self.find(f"{w}{m}{b}") == self.find(w) + self.find(f"{m}{b}") for w in ("a", "Zq", "it") for m in MARKS for b in ["", " ", *TRIAL])
+        self.more_cuts &= all(self.find(f"{a}\n{b}") == self.find(f"{a}\n") + self.find(b) for a in TRIAL for b in TRIAL)
         self.letters = self.find(" abcxyzABCXYZ") == [" abcxyzABCXYZ"]
         table = byte_table()
         self.to_chars = str.maketrans({chr(b): table[b] for b in range(256)})
@@ -148,6 +164,36 @@ class Codec:
             return b""
         return b"".join([self.young.get(s) or self._stretch(s) for s in self._stretches(text)])
 
+    def encode_each(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode() of each row of a string column."""
+        if not self.cuts:
+            yield from map(self.encode, texts_of(texts))
+            return
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+            first, ids = self._encode_slice(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+            for a, b in zip(first[:-1], first[1:]):
+                yield ids[a:b].tobytes()
+            at = to
+
+    def _encode_slice(self, data: np.ndarray, ends: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Where each text's ids begin, and all ids, of texts that lie one after the other."""
+        starts = stretch_starts(data, ends, self.more_cuts)
+        rows = np.searchsorted(starts, ends)  # of stretches before each text
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        each = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        young, which = self.young, each.indices.to_numpy()
+        found = [young.get(s) or self._stretch(s) for s in each.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = lens[which]
+        done = np.concatenate([[0], np.cumsum(n)])
+        take = np.arange(done[-1]) + np.repeat((np.cumsum(lens) - lens)[which] - done[:-1], n)
+        return done[rows].tolist(), np.frombuffer(b"".join(found), np.uint32)[take]
+
     def offsets(self, text: str | None) -> list[tuple[int, int]]:
         """First and end character of each token; tokens that split one character's bytes all span that character."""
         text = text or ""
@@ -161,6 +207,31 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def stretch_starts(data: np.ndarray, ends: np.ndarray, more: bool) -> np.ndarray:
+    """First bytes of the stretches of texts in UTF-8: where a text begins, and single spaces between non-spaces.
+
+    With more, also marks after an ASCII letter, and what follows a single end of a line.
+    """
+    white = np.append(WHITE_BYTES[data], False)
+    for n, chars in WHITE_LONG.items():
+        lead = np.flatnonzero(np.isin(data, chars >> (8 * (n - 1))))
+        lead = lead[lead + n <= len(data)]
+        own = lead[np.isin(sum(data[lead + i].astype(np.int64) << (8 * (n - 1 - i)) for i in range(n)), chars)]
+        for i in range(n):
+            white[own + i] = True
+    begins = np.zeros(len(data) + 1, bool)
+    begins[ends] = True
+    space = np.flatnonzero(data == 0x20)
+    begins[space[~(white[space - 1] | white[space + 1] | begins[space + 1])]] = True
+    if more:
+        own = begins.copy()
+        own[1:-1] |= IS_LETTER[data[:-1]] & IS_MARK[data[1:]]
+        line = np.flatnonzero(data == 0x0A)
+        own[line[~(white[line - 1] | white[line + 1] | begins[line])] + 1] = True
+        begins = own
+    return np.flatnonzero(begins[:-1])
+
+
 def texts_of(column) -> Iterator[str | None]:
     for value in column:
         yield value.as_py()

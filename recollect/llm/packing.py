@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Codec, texts_of
+from .bpe import Codec
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -75,7 +75,6 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
 def _pack(path: str, pattern: str, end: int, capacity: int, max_piece: int, windows: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        encode = own.encode
         last = end.to_bytes(4, "little")
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         types = [pa.int64()] * 7 + [pa.binary()]
@@ -97,8 +96,8 @@ def _pack(path: str, pattern: str, end: int, capacity: int, max_piece: int, wind
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)][: 7 + with_ids], names=names[: 7 + with_ids])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = encode(text) + last
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_each(batch.column(1))):
+                ids += last
                 n, start = len(ids) // 4, 0
                 while start < n:
                     whole = n - start >= capacity

@@ -520,6 +520,48 @@ def test_codec_on_odd_texts(hf):
         assert len(spans) == len(own) // 4 and all(0 <= a < b <= len(text) for a, b in spans)
 
 
+def test_columns_of_texts(hf, monkeypatch):
+    """A column's rows are encoded as each alone: nulls, slices of columns, and texts around the bytes told apart at once."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    parts = [" ", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", "\u200b", "a", "Zebra", "it's", "'s", ".", "!?", ",", "42", "\u00b2", "_", "-", "\u00e9", "\u0301", "\u4e2d\u6587", "\u201c", "\U0001f600", "<|endoftext|>", "\x00", "\u0130"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) if rng.random() > 0.05 else None for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in hf.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    at = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own, whole = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), bpe.Codec.from_ranks(at, r"\S+\s\S+|\s|\S+")
+    ended = bpe.Codec.from_ranks(at, r" ?\p{L}+[.!]?| ?[^\s\p{L}]+|\s+(?!\S)|\s+")  # takes a mark with a word
+    assert own.more_cuts and not whole.cuts and ended.cuts and not ended.more_cuts
+    for size in (1, 100, 1 << 22):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        for kind in (pa.string(), pa.large_string()):
+            assert list(own.encode_each(pa.array([None, *texts, "x"], kind)[1:-1])) == want
+        for c in (whole, ended):
+            assert list(c.encode_each(pa.array(texts))) == [c.encode(t) for t in texts]
+    assert list(own.encode_each(pa.array([], pa.string()))) == [] and list(own.encode_each(pa.array([None, ""], pa.string()))) == [b"", b""]
+
+
+def test_packing_looks_up_a_stretch_once(monkeypatch):
+    """Not once for each time that it stands in the texts, however little is remembered."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    c, asked = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), []
+    piece = c._piece
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    monkeypatch.setattr(c, "_piece", lambda p: asked.append(p) or piece(p))
+    monkeypatch.setattr(packing, "codec", lambda path, pattern: c)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"word{chr(97 + (i + j) % 26)}." for j in range(100)) for i in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.Table.from_batches(packing._pack("", "", 1, 2048, 2048, 64, False)(iter([rows])))
+    assert out.num_rows == 200 and len(asked) < 200
+
+
 def test_codec_memory_and_patterns(hf):
     c = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     long = [f"{i}" + "z" * 20_000 for i in range(50)]
