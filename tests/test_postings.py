@@ -100,6 +100,12 @@ def test_bm25_moves_no_postings(spark):
     assert hits.where("qid = 1").count() >= 5
 
 
+def test_bm25_batch_moves_a_row_a_question(spark, tiny):
+    """What is shuffled is each task's sums of a question, however many texts it meets."""
+    plan = registry.queries()["bm25_batch"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(qid" in plan
+
+
 @pytest.mark.parametrize("name", ["bm25_stemmed", "mrr_recall"])
 def test_ranked_queries_rank_few(spark, tiny, monkeypatch, name):
     """What is ranked is each task's best, not every hit."""
