@@ -611,7 +611,7 @@ STALE = f"""{CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM c
 def stale_verdicts(spark, d):
     ch = Scratch(spark, "feed").keep(changes(spark, d), "changes")  # a feed is a table; here a join makes it
     anchors, m = order_memories(ch)
-    return H.verdicts(anchors, m, ch, H.path_closure(anchors.select("path"), H.rename_map(ch)))
+    return H.verdicts(anchors, m, ch, H.path_closure(anchors.select("path"), H.rename_map(ch)), by_seq=True)
 
 
 @query(f"WITH RECURSIVE {STALE} SELECT count(*) AS candidates, count(*) FILTER (n IS NOT NULL OR suspect) AS marked FROM mm LEFT JOIN f ON f.id = mm.id")
