@@ -313,7 +313,7 @@ def kept_index(spark, d) -> FT.TextIndex:
 @query(f"WITH {STEMMED}, {TOP}")
 def index_search(spark, d):
     """As bm25_stemmed, from a kept index: once it is filled, questions read no text."""
-    return _round_rank(kept_index(spark, d).search(questions(spark, d)), ["id"], 10).select("qid", "id", "score", "rank")
+    return _round_rank(kept_index(spark, d).search(questions(spark, d), limit=10), ["id"], 10).select("qid", "id", "score", "rank")
 
 
 def parts(spark, d):
