@@ -551,17 +551,22 @@ def cycle_check(spark, d):
     return H.would_cycle(m, p)
 
 
-def changes(spark, d, chain: int = 0):
-    """Commits are orders, touched paths their parts. Newest first by seq.
-
-    Three parts of every fifty were each renamed to the next, so paths have up to four names; the first `chain` parts
-    likewise, in one chain; and three parts around in a ring.
-    """
+def touched_parts(spark, d):
+    """(p, o, date): the parts that each order touches, once each."""
     o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
     day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
     parts = max(spark.sparkContext.defaultParallelism, -(-li.count() // H.PART))  # both are dealt by order: equal rows meet there, and a task's share doesn't grow
     touched = li.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).repartition(parts, "o").distinct()
-    rows = touched.join(o.select(F.col("o_orderkey").alias("o"), day.alias("date")).repartition(parts, "o").distinct(), "o")
+    return touched.join(o.select(F.col("o_orderkey").alias("o"), day.alias("date")).repartition(parts, "o").distinct(), "o")
+
+
+def changes(spark, d, chain: int = 0, rows: DataFrame | None = None):
+    """Commits are orders, touched paths their parts (touched_parts(), or rows as it gave them). Newest first by seq.
+
+    Three parts of every fifty were each renamed to the next, so paths have up to four names; the first `chain` parts
+    likewise, in one chain; and three parts around in a ring.
+    """
+    rows = touched_parts(spark, d) if rows is None else rows
     name = lambda c: F.concat(F.lit("src/p"), c.cast("string"))
     p = F.col("p")
     ring = p.isin(310, 311, 312)
@@ -592,6 +597,7 @@ def rename_closure(spark, d):
 
 def order_memories(ch: DataFrame):
     """Every order as a memory anchored on its parts, as of its date."""
+    ch = ch.repartition("o")  # an order's rows meet once, for its anchors, its date and what joins them
     anchors = ch.select(F.col("o").alias("id"), F.coalesce("previous_path", "path").alias("path")).distinct()
     m = ch.groupBy(F.col("o").alias("id")).agg(F.max("date").alias("as_of")).withColumn("suspect", F.col("id") % 30 == 0).withColumn("suspect_reason", F.when(F.col("suspect"), "kept from before"))
     return anchors, m
@@ -609,9 +615,10 @@ STALE = f"""{CHG}, rn AS (SELECT previous_path, max_by(path, seq) AS path FROM c
 
 @query(f"WITH RECURSIVE {STALE} SELECT mm.id, n IS NOT NULL OR suspect AS possibly_stale, CASE WHEN n > 1 THEN why || ' (+' || (n - 1) || ' more)' WHEN n = 1 THEN why WHEN suspect THEN 'kept from before' END AS reason, newest, coalesce(n, 0) AS n_changes FROM mm LEFT JOIN f ON f.id = mm.id")
 def stale_verdicts(spark, d):
-    ch = Scratch(spark, "feed").keep(changes(spark, d), "changes")  # a feed is a table; here a join makes it
+    rows = Scratch(spark, "feed").keep(touched_parts(spark, d), "rows")  # a feed is a table; here a join makes it, and its names and hashes need no room
+    ch = changes(spark, d, rows=rows)
     anchors, m = order_memories(ch)
-    return H.verdicts(anchors, m, ch, H.path_closure(anchors.select("path"), H.rename_map(ch)), by_seq=True)
+    return H.verdicts(anchors, m, ch, H.path_closure(ch.select(F.coalesce("previous_path", "path").alias("path")), H.rename_map(ch)), by_seq=True)
 
 
 @query(f"WITH RECURSIVE {STALE} SELECT count(*) AS candidates, count(*) FILTER (n IS NOT NULL OR suspect) AS marked FROM mm LEFT JOIN f ON f.id = mm.id")

@@ -62,6 +62,10 @@ class Scratch:
                     self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def settle(self) -> None:
+        """Let go what was shuffled for the tables that are written: Spark deletes it when the driver collects its garbage."""
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         path, fs = self._path(f"{self.root}/{name}")
         fs.delete(path, True)

@@ -210,6 +210,23 @@ def test_trigrams_of_texts_of_twenty_thousand_words(spark, monkeypatch):
     assert time.time() - began < 60
 
 
+def test_busy_timelines_are_dealt_into_eras(spark, monkeypatch):
+    """What is dealt into stretches of time counts as what is not; hashes and reasons are written for the named changes alone."""
+    rng = random.Random(3)
+    paths = [f"p{i}" for i in range(5)]
+    feed = spark.createDataFrame([(i, rng.choice(paths), rng.choice([None, None, *paths]), "renamed", f"sha{i}", rng.randrange(50)) for i in range(200)], "seq long, path string, previous_path string, kind string, sha string, date long")
+    anchors = spark.createDataFrame(sorted({(m, rng.choice([*paths, None])) for m in range(20) for _ in range(3)}, key=str), "id long, path string")
+    mem = spark.createDataFrame([(m, rng.choice([None, *range(50)]), m % 4 == 0, "kept") for m in range(22)], "id long, as_of long, suspect boolean, suspect_reason string")
+    closure = spark.createDataFrame([*((p, p) for p in paths), ("p0", "p3"), ("p1", "p2")], "path string, name string")
+    kept, keep = {}, history.Scratch.keep
+    monkeypatch.setattr(history.Scratch, "keep", lambda self, df, name, *a: kept.update({name: df.columns}) or keep(self, df, name, *a))
+    rows = lambda: sorted(map(tuple, history.verdicts(anchors, mem, feed, closure).collect()))
+    whole = rows()
+    assert "totals" not in kept and "line" not in kept and not [n for n, cs in kept.items() if {"sha", "kind"} & set(cs)]
+    monkeypatch.setattr(history, "BUSY", 3)
+    assert rows() == whole and "totals" in kept and any(r[4] > 1 for r in whole)
+
+
 def test_trigram_waves_know_what_is_outdone(spark, monkeypatch):
     """Later waves begin with the best of the earlier ones; what comes out is as without waves, ties too."""
     rng = random.Random(5)
